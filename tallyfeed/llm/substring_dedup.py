@@ -149,9 +149,9 @@ def _count_minis(k: int, m: int):
             s = SuperKmers(docs, cache, k, m)
             if len(s.mini):
                 mini, inverse, n = np.unique(s.mini, return_inverse=True, return_counts=True)
-                bits = np.zeros(len(mini), np.uint64)
-                np.bitwise_or.at(bits, inverse, np.uint64(1) << (s.sig & np.uint64(63)))
-                yield {"mini": mini.view(np.int64), "n": n, "bits": bits.view(np.int64)}
+                bits = np.zeros((2, len(mini)), np.uint64)
+                np.bitwise_or.at(bits, (((s.sig >> np.uint64(6)) & np.uint64(1)).astype(np.int64), inverse), np.uint64(1) << (s.sig & np.uint64(63)))
+                yield {"mini": mini.view(np.int64), "n": n, "low": bits[0].view(np.int64), "high": bits[1].view(np.int64)}
 
     return run
 
@@ -177,7 +177,7 @@ def _ship(shared, k: int, m: int):
                 continue
             pick = np.flatnonzero(_hits(repeated, s.mini))
             is_hot = _hits(hot, s.mini[pick])
-            out: dict[str, list] = {c: [] for c in ("bucket", "sh", "packed", "doc_id", "th", "start", "n_win")}
+            out: dict[str, list] = {c: [] for c in ("bucket", "sh", "packed", "doc_id", "th", "start", "alone")}
             ids, hashes = batch.column(1), batch.column(2)
             for j, split in zip(pick.tolist(), is_hot.tolist(), strict=True):
                 a, n, d = int(s.start[j]), int(s.n_win[j]), int(s.doc[j])
@@ -191,7 +191,7 @@ def _ship(shared, k: int, m: int):
                     out["doc_id"].append(doc_id)
                     out["th"].append(th)
                     out["start"].append(from_ + i)
-                    out["n_win"].append(w)
+                    out["alone"].append(split)
             if out["sh"]:
                 yield out
 
@@ -264,19 +264,21 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M, filter_blocks: int =
     """(doc_id, th, spans): word spans (start, end) of documents that repeated windows cover; th = xxhash64(text)."""
     sc = docs.sparkSession.sparkContext
     source = docs.select(F.col(text).cast("binary").alias("t"), F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("th")).where("t IS NOT NULL")
-    minis = produce(source.select("t"), _count_minis(k, m), "mini bigint, n bigint, bits bigint").groupBy("mini").agg(F.sum("n").alias("n"), F.bit_or("bits").alias("bits")).where("n > 1")
-    slots = produce(minis.select("mini", (F.bit_count("bits") >= 60).alias("hot")), _filter_rows(filter_blocks), "at bigint, mask bigint, hot bigint").groupBy("at").agg(F.bit_or("mask").alias("mask"), F.bit_or("hot").alias("hot"))
+    minis = produce(source.select("t"), _count_minis(k, m), "mini bigint, n bigint, low bigint, high bigint").groupBy("mini").agg(F.sum("n").alias("n"), F.bit_or("low").alias("low"), F.bit_or("high").alias("high")).where("n > 1")
+    # 126 of 128 bits set: some 600 distinct strings
+    slots = produce(minis.select("mini", (F.bit_count("low") + F.bit_count("high") >= 126).alias("hot")), _filter_rows(filter_blocks), "at bigint, mask bigint, hot bigint").groupBy("at").agg(F.bit_or("mask").alias("mask"), F.bit_or("hot").alias("hot"))
     tables = np.zeros(filter_blocks, np.uint64), np.zeros(filter_blocks, np.uint64)
     found = slots.toArrow()
     for table, name in zip(tables, ("mask", "hot"), strict=True):
         table[found["at"].to_numpy()] = found[name].to_numpy().view(np.uint64)
     id_type = docs.schema[doc_id].dataType.simpleString()
-    shipped = materialize(produce(source, _ship(sc.broadcast(tables), k, m), f"bucket bigint, sh bigint, packed binary, doc_id {id_type}, th bigint, start bigint, n_win bigint"), "superkmers")
-    distinct = shipped.groupBy("bucket", "sh", "packed").agg(F.count("*").alias("n"))
-    runs = produce(distinct.repartition("bucket").sortWithinPartitions("bucket"), _count_windows(k), "bucket bigint, sh bigint, runs array<struct<a: bigint, b: bigint>>")
+    shipped = materialize(produce(source, _ship(sc.broadcast(tables), k, m), f"bucket bigint, sh bigint, packed binary, doc_id {id_type}, th bigint, start bigint, alone boolean"), "superkmers")
+    distinct = shipped.groupBy("bucket", "sh", "packed", "alone").agg(F.count("*").alias("n"))
+    alone = distinct.where("alone AND n > 1").select("bucket", "sh", F.array(F.struct(F.lit(0).cast("bigint").alias("a"), F.lit(1).cast("bigint").alias("b"))).alias("runs"))
+    runs = produce(distinct.where("NOT alone").drop("alone").repartition("bucket").sortWithinPartitions("bucket"), _count_windows(k), "bucket bigint, sh bigint, runs array<struct<a: bigint, b: bigint>>")
     spans = (
         shipped.select("bucket", "sh", "doc_id", "th", "start")
-        .join(runs, ["bucket", "sh"])
+        .join(runs.union(alone), ["bucket", "sh"])
         .select("doc_id", "th", F.transform("runs", lambda x: F.struct((x["a"] + F.col("start")).alias("a"), (x["b"] + F.col("start") + (k - 1)).alias("b"))).alias("s"))
     )
     return spans.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("s")).alias("spans"))
