@@ -10,6 +10,7 @@ from .common import read_table
 from .decontaminate import decontaminate
 from .near_dedup import near_duplicates
 from .packing import pack
+from .pii import find_pii
 from .substring_dedup import remove_repeats
 from .token_counts import length_histogram, suffix_sums
 from .tokens import tokenizer_path
@@ -88,6 +89,10 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, cast(list_sum(list_transf
 SELECT query_id, cast(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
 OP1_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
@@ -143,5 +148,6 @@ QUERIES = {
     "op7_url_filter": op7_url_filter,
     "op8_decontaminate": op8_decontaminate,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_pii": op10_pii,
 }
 ORACLES = {"op1_chat_format": OP1_SQL, "op2_near_dedup": OP2_SQL, "op6_topk": OP6_SQL, "op7_url_filter": OP7_SQL, "op8_decontaminate": OP8_SQL, "op9_substring_dedup": OP9_SQL}
