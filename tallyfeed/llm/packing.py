@@ -30,7 +30,7 @@ from .common import arrow_schema
 from .tokens import Encoder
 
 SIZE, END_ID = 4096, 2
-SENTENCE_COST, STEP_COST, STEP = 6, 48, 256
+SENTENCE_COST, STEP_COST, STEP = 2, 24, 64
 FLUSH = 1_000_000
 
 
@@ -129,7 +129,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, keep: list[str] | No
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder = Encoder(tokenizer)
+        encoder = Encoder.of(tokenizer)
         vocab = encoder.tokenizer.get_vocab()
         sentence_end = np.zeros(max(vocab.values()) + 1, bool)
         sentence_end[[i for t, i in vocab.items() if re.fullmatch(r"[^\w<]*[.!?][^\w<]*(</w>)", t)]] = True

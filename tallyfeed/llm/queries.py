@@ -11,6 +11,7 @@ from .decontaminate import decontaminate
 from .near_dedup import near_duplicates
 from .packing import pack
 from .pii import find_pii
+from .quality import score_quality
 from .substring_dedup import remove_repeats
 from .token_counts import length_histogram, suffix_sums
 from .tokens import tokenizer_path
@@ -41,6 +42,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_sums(length_histogram(read_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, read_table(spark, sf_dir, "labels").select("doc_id", "quality"), keep=["doc_id"])
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, k=5)
 
@@ -144,6 +150,7 @@ QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op3_packing": op3_packing,
     "op4_token_counts": op4_token_counts,
+    "op5_quality": op5_quality,
     "op6_topk": op6_topk,
     "op7_url_filter": op7_url_filter,
     "op8_decontaminate": op8_decontaminate,

@@ -25,7 +25,7 @@ def length_histogram(docs: DataFrame, tokenizer: str, text: str = "text") -> Dat
     """(length, n_docs): documents by encoded length."""
 
     def count(batches):
-        encoder = Encoder(tokenizer)
+        encoder = Encoder.of(tokenizer)
         for b in batches:
             col = b.column(0)
             length, n = np.unique(np.fromiter((len(encoder.encode(x.as_py())) // 4 for x in col), np.int64, len(col)), return_counts=True)

@@ -1,34 +1,81 @@
-"""Exact token ids through a cache of white-space separated chunks.
+"""Exact token ids through caches of white-space separated chunks.
 
 The tokenizer drops white space, so no token spans it and a text's ids are the
 ids of its chunks in order. ``Encoder`` keeps the ids of the chunks it has met
-(as little-endian unsigned 32-bit bytes), at most ``limit`` of them.
+(as little-endian unsigned 32-bit bytes), at most ``limit`` of them. A chunk of
+ASCII and Latin letters alone that it hasn't met is split by the tokenizer's own
+rule and only its unknown pieces go to the tokenizer's model; any other chunk,
+and one that may hold a special token, goes through the whole tokenizer. Tests
+hold the result against the tokenizer on hostile strings.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 
 #: str.split() also splits at these, which the tokenizer takes for symbols.
 _ODD = re.compile("[\x1c-\x1f]")
+#: Characters whose normal form, lower case and class are beyond doubt.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: The tokenizer's splitting rule for them.
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+def _byte_characters() -> dict[int, str]:
+    """Byte-level alphabet: printable bytes stand for themselves, the rest for code points from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTES = _byte_characters()
+_LETTERS = {c: "".join(_BYTES[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+class _Pieces(dict):
+    def __init__(self, model, pack, limit: int):
+        self.model, self.pack, self.limit = model, pack, limit
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        ids = [t.id for t in self.model.tokenize(piece.translate(_LETTERS))]
+        value = self[piece] = self.pack(f"<{len(ids)}I", *ids)
+        return value
 
 
 class Encoder(dict):
-    def __init__(self, path: str, limit: int = 300_000):
-        import numpy as np
+    def __init__(self, path: str, limit: int = 1_000_000):
+        import struct
+
         from tokenizers import Tokenizer
 
-        self.np, self.tokenizer, self.limit = np, Tokenizer.from_file(path), limit
+        self.tokenizer, self.limit, self.pack = Tokenizer.from_file(path), limit, struct.pack
+        self.pieces = _Pieces(self.tokenizer.model, self.pack, limit // 2)
+
+    @staticmethod
+    def of(path: str) -> Encoder:
+        """The process's encoder for a file: later tasks of a worker find its caches filled."""
+        kept = sys.__dict__.setdefault("_tallyfeed_encoders", {})
+        if path not in kept:
+            kept[path] = Encoder(path)
+        return kept[path]
 
     def ids(self, text: str) -> bytes:
-        return self.np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, chunk: str) -> bytes:
+        if len(chunk) > 64:
+            return self.ids(chunk)
         if len(self) >= self.limit:
             self.clear()
-        value = self.ids(chunk)
-        if len(chunk) <= 64:
-            self[chunk] = value
+        if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
+            value = b"".join(map(self.pieces.__getitem__, _PIECES.findall(chunk.lower())))
+        else:
+            value = self.ids(chunk)
+        self[chunk] = value
         return value
 
     def encode(self, text: str | None) -> bytes:
