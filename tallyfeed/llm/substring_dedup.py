@@ -18,7 +18,8 @@ included) is removed, judged on the input.
    filter, is split: each of its windows travels alone, keyed by its own hash.
    So no bucket holds an unbounded group.
 3. In a bucket the windows are sorted and counted exactly, on their words; the
-   result joins back to the occurrences and from there to the documents.
+   result joins back to the occurrences and from there to the documents. Texts
+   that repeat nothing skip that join, by a third filter.
 
 Null or empty texts have no words; texts of fewer than ``k`` words keep all.
 Repeated rows repeat each other's windows. Rows are matched by (doc_id, text
@@ -34,6 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import block_of, build, probe
 from .common import HashCache, map_rows, materialize, produce
 
 K, M = 35, 4
@@ -129,16 +131,8 @@ def _chunks(batches, text_at: int):
             yield batch, rows, docs
 
 
-def _block_of(x: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    x = _mix(x ^ np.uint64(_PRIME))
-    mask = np.zeros(len(x), np.uint64)
-    for i in range(4):
-        mask |= np.uint64(1) << ((x >> np.uint64(40 + 6 * i)) & np.uint64(63))
-    return (x & np.uint64(blocks - 1)).astype(np.int64), mask
-
-
 def _hits(table: np.ndarray, x: np.ndarray) -> np.ndarray:
-    at, mask = _block_of(x, len(table))
+    at, mask = block_of(_mix(x), len(table))
     return (table[at] & mask) == mask
 
 
@@ -159,7 +153,7 @@ def _count_minis(k: int, m: int):
 def _filter_rows(blocks: int):
     def run(batches):
         for b in batches:
-            at, mask = _block_of(b.column(0).to_numpy().view(np.uint64), blocks)
+            at, mask = block_of(_mix(b.column(0).to_numpy().view(np.uint64)), blocks)
             yield {"at": at, "mask": mask.view(np.int64), "hot": np.where(b.column(1).to_numpy(zero_copy_only=False), mask, np.uint64(0)).view(np.int64)}
 
     return run
@@ -303,7 +297,11 @@ def _remove(texts, spans):
 def remove_repeats(docs: DataFrame, k: int = K, m: int = M, keep: list[str] | None = None, text: str = "text", doc_id: str = "doc_id", filter_blocks: int = FILTER_BLOCKS) -> DataFrame:
     """docs with n_words, n_removed, kept_text (binary UTF-8, words joined by a space) and kept_sha256."""
     keep = docs.columns if keep is None else keep
-    spans = repeated_spans(docs, k, m, filter_blocks, text, doc_id).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
-    docs = docs.select(*dict.fromkeys([*keep, doc_id]), F.col(text).cast("binary").alias("_t"), F.xxhash64(F.col(text)).alias("_h"))
-    joined = docs.join(spans, docs[doc_id].eqNullSafe(spans["_id"]) & (docs["_h"] == spans["_th"]), "left")
-    return map_rows(joined, _remove, "n_words bigint, n_removed bigint, kept_text binary, kept_sha256 string", ["_t", "_spans"], keep)
+    spans = materialize(repeated_spans(docs, k, m, filter_blocks, text, doc_id).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans")), "spans")
+    docs = docs.select(*[f"`{c}`" for c in dict.fromkeys([*keep, doc_id])], F.col(text).cast("binary").alias("_t"), F.xxhash64(text).alias("_h")).withColumn("_key", F.xxhash64(doc_id, "_h"))
+    # most documents repeat nothing: a filter of those with spans spares the others' texts the shuffle
+    docs = probe(docs, build(spans.select(F.xxhash64("_id", "_th"))), "_key", "_maybe")
+    joined = docs.where("_maybe").join(spans, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
+    whole = docs.where("NOT _maybe").withColumn("_spans", F.lit(None).cast(spans.schema["_spans"].dataType))
+    out = "n_words bigint, n_removed bigint, kept_text binary, kept_sha256 string"
+    return map_rows(joined, _remove, out, ["_t", "_spans"], keep).unionByName(map_rows(whole, _remove, out, ["_t", "_spans"], keep))
