@@ -19,14 +19,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.money import INT64_MAX, fits, relieve
+from ..functions.schema import flat
 
 #: Events: viewpoint, instrument, effective, seq, kind (buy, sell, split, dividend), qty, price (fills), term (ratio or rate).
 EVENT_COLUMNS = ["viewpoint", "instrument", "effective", "seq", "kind", "qty", "price", "term"]
 #: Results: a position, a refusal, or a group's sums; sums are text, as they may exceed int64.
-OUT = T.StructType.fromDDL("what string, viewpoint bigint, instrument string, qty bigint, total_cost bigint, seq bigint, kind string, detail string, cash string, realized string, dividends string, reach string")
+OUT = flat("what string, viewpoint bigint, instrument string, qty bigint, total_cost bigint, seq bigint, kind string, detail string, cash string, realized string, dividends string, reach string")
 
 
 class Ledger:
