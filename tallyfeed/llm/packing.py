@@ -48,7 +48,8 @@ def choose_cuts(at: np.ndarray, cost: np.ndarray, size: int) -> list[int]:
         p = pos[j]
         while p - pos[queue[0]] > size:
             queue.popleft()
-        back[j] = i = queue[0]
+        # the last window ends the stream: its padding is not a choice, so only what came before counts
+        back[j] = i = queue[0] if j < n else min(queue, key=lambda i: key[i] - pos[i])
         # least cost of cuts up to p, plus p: the part of a later window's cost that depends on its start
         key[j] = k = key[i] + size + pen[j]
         while queue and key[queue[-1]] >= k:
