@@ -9,6 +9,8 @@ a lineage that a lost executor would force to be recomputed.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,9 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
         return found.get()
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="tallyfeed-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+    made = tempfile.mkdtemp(prefix="tallyfeed-")
+    atexit.register(shutil.rmtree, made, True)
+    spark.sparkContext.setCheckpointDir(f"file://{made}")
+    return f"file://{made}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
