@@ -219,7 +219,6 @@ ev AS (SELECT viewpoint, instrument, effective, seq, side AS kind, qty, price, c
   UNION ALL SELECT viewpoint, instrument, effective, seq, kind, NULL, NULL, coalesce(ratio, rate) FROM terms),
 """
 
-_A, _X = "a", "x"
 _BUY, _SELL = "x.k = 'buy'", "(x.k = 'sell' AND x.q <= a.qty)"
 _GONE = "((a.cost * x.q) // greatest(a.qty, 1) + CASE WHEN 2 * ((a.cost * x.q) % greatest(a.qty, 1)) > a.qty OR (2 * ((a.cost * x.q) % greatest(a.qty, 1)) = a.qty AND ((a.cost * x.q) // greatest(a.qty, 1)) % 2 = 1) THEN 1 ELSE 0 END)"
 _FOLD = (

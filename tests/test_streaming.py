@@ -1,4 +1,4 @@
-from tallyfeed.operators.fold import positions, fold
+from tallyfeed.operators.fold import fold, positions
 from tallyfeed.streaming.positions import current_positions, start, tumbling_volume
 
 EVENTS = "viewpoint bigint, instrument string, effective string, seq bigint, kind string, qty bigint, price bigint, term bigint"
