@@ -1,29 +1,28 @@
-"""MinHash near-dedup by a chosen-path set similarity join.
+"""Near-dedup by an exact set similarity join on prefixes.
 
 Documents are sets of hashed word shingles. Documents with equal sets form a
-class and only classes are joined, so exact copies cost nothing. The join is a
-set of independent trees over the classes. A tree's node holds the classes that
-share the minwise tokens chosen on the path to it: the root sends every class to
-one child per chosen minhash position, keyed by its minimum there. A node of one
-class is dropped; a node of at most ``LEAF`` classes is compared exhaustively; a
-larger one branches again at positions of its own choice (two paths in the first
-levels, then one path of three positions at once). Two sets of similarity s share a chosen minimum with
-probability s, so a path of d choices keeps them together with probability s^d;
-4 trees of 2 root paths miss a pair at 0.85 with probability 3e-7 in small
-nodes, and with the 32 paths of large ones 1 - (1 - 0.85^9)^32 = 0.9997 are found
-after nine choices. A node that is still large after ``MAX_DEPTH`` levels holds
-sets alike in all of them; it is cut at random into leaves that each also get
-the node's smallest class, in each path anew.
-
-A leaf is compared in one task, of bounded size, in two steps. Sizes and
-estimated similarity (by ``HASHES`` minima, 4.5 standard deviations below the
-threshold) rule pairs out; what remains connected is a cluster, and leaves that
-find the same cluster send it on once. Then every remaining pair of a cluster
-that is not yet connected is decided on the full sets, which travel as compressed
-texts, of documents in clusters only (a Bloom filter of fixed size picks them in
-a second pass). A cluster returns its connected classes as links to the smallest.
-Components of those links come from repeated minimum exchange with pointer
-jumping, written out between rounds.
+class and only classes are joined, so exact copies cost nothing. A set of n
+shingles has a prefix: its n - ceil(t n) + 1 rarest shingles, in an order that all
+sets share. Two sets of similarity t or more have a shingle in both prefixes, so
+every link is a pair with a common prefix shingle. The order comes from counts in
+a table of ``CELLS`` cells; any order is right, rare first is fast.
+
+Only components are wanted, so links are looked for in rounds, each between
+classes of different components so far. First every class is compared with one
+pivot: of the classes that share a prefix shingle with it, one where that shingle
+comes earliest (the original of edited copies, whose own new shingles come before);
+then with the pivots of all its prefix shingles. The last round takes every pair
+that is left: members of different components with a common prefix shingle, which
+sizes and the places of that shingle (exact bounds) do not rule out. Each pair is
+decided on the full sets, which travel as compressed texts, of documents in pairs
+only (a Bloom filter of fixed size picks them in a second pass). So the result is
+that of comparing all pairs, at any threshold, up to equal 64-bit hashes. A
+shingle's group of more than ``leaf`` classes is compared in pairs of blocks, so
+that a task stays bounded; where pivots leave a large group unconnected, the last
+round's pairs grow with its square.
+
+Components of the links come from repeated minimum exchange with pointer jumping,
+written out between rounds.
 
 Null and blank texts have no words and no set: they are linked with nothing. A
 text of fewer words than a shingle is one shingle. Repeated rows are copies.
@@ -35,19 +34,17 @@ none, all are kept. Input columns named like an output column are replaced.
 from __future__ import annotations
 
 import zlib
-from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import block_of, build
-from .common import HashCache, map_rows, materialize, produce
+from .common import SLICE_ROWS, HashCache, map_rows, materialize, produce
 from .substring_dedup import _mix, _powers
 
-HASHES, TREES, ROOT_PATHS = 64, 4, 2
-LEAF = 128
-MAX_DEPTH = 8
+LEAF = 512
+CELLS = 1 << 16
 _NO_ID = 1 << 62
 
 
@@ -65,41 +62,27 @@ def shingle_set(words: list[bytes], k: int, cache: HashCache) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def _coefficients(n: int) -> np.ndarray:
-    return _mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, n, 1) | np.uint64(1)
-
-
-def signature(s: np.ndarray, n: int = HASHES) -> np.ndarray:
-    """n minima (upper 31 bits) of the set under hash functions of the form a * x + b."""
-    a, b = _coefficients(n)
-    low = np.full((n, 1), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(s), 1024):
-        low = np.minimum(low, (a * s[None, i : i + 1024] + b).min(axis=1, keepdims=True))
-    return (low[:, 0] >> np.uint64(33)).astype(np.int32)
-
-
 def _words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text is not None else []
 
 
+def _class_key(s: np.ndarray) -> bytes:
+    a, b = int(_mix(s).sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(_mix(s + np.uint64(1))))
+    return a.to_bytes(8, "big") + b.to_bytes(8, "big")
+
+
 def _describe(k: int):
     cache: list = []
 
     def run(texts):
         if not cache:
             cache.append(HashCache())
-        keys, sizes, sigs = [], [], []
+        keys, sizes = [], []
         for t in texts:
             s = shingle_set(_words(t), k, cache[0])
             sizes.append(len(s))
-            if len(s):
-                a, b = int(_mix(s).sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(_mix(s + np.uint64(1))))
-                keys.append(a.to_bytes(8, "big") + b.to_bytes(8, "big"))
-                sigs.append(signature(s))
-            else:
-                keys.append(None)
-                sigs.append(None)
-        return keys, sizes, sigs
+            keys.append(_class_key(s) if len(s) else None)
+        return keys, sizes
 
     return run
 
@@ -119,38 +102,6 @@ def _pack_hits(shared):
     return run
 
 
-def _children(sig: Column, node: Column, paths: int, positions: int = 1) -> Column:
-    """Keys of a class's children at a node: on each of ``paths`` paths the node chooses ``positions`` minhash positions."""
-    chosen = lambda j, i: F.get(sig, F.pmod(F.xxhash64(node, F.lit(j), F.lit(i)), F.lit(HASHES)).cast("int"))
-    return F.array(*[F.xxhash64(node, F.lit(j), *[chosen(j, i) for i in range(positions)]) for j in range(paths)])
-
-
-def _leaf_nodes(heads: DataFrame, trees: int, root_paths: int, leaf: int) -> DataFrame:
-    """(node, id): the leaves of all trees, each of 2 to ``leaf`` classes, or the deepest nodes."""
-    tree = F.explode(F.array(*[F.xxhash64(F.lit("tree"), F.lit(t)) for t in range(trees)])).alias("root")
-    rows = heads.select("id", "sig", tree).select("id", F.explode(_children(F.col("sig"), F.col("root"), root_paths)).alias("node"))
-    leaves = []
-    for depth in range(1, MAX_DEPTH + 1):
-        if depth > 1:
-            rows = materialize(rows, "paths")
-        sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        alive = materialize(rows.join(sizes, "node"), "nodes")
-        leaves.append(alive.where(F.col("n") <= leaf).select("node", "id"))
-        large = alive.where(F.col("n") > leaf)
-        if large.isEmpty():
-            break
-        if depth == MAX_DEPTH:
-            # sets alike in all of the minima seen so far: cut at random into leaves, each with the node's smallest class
-            low = large.groupBy("node").agg(F.min("id").alias("low"), F.max("n").alias("of"))
-            parts = large.join(low, "node").select(F.xxhash64("node", F.pmod(F.xxhash64("id"), F.floor(F.col("of") / leaf) + 1)).alias("node"), "id", "low")
-            leaves.append(parts.select("node", "id").union(parts.select("node", F.col("low").alias("id")).distinct()).distinct())
-            break
-        if depth == 1:  # all that are in large nodes later are in one now
-            heads = materialize(heads.select("id", "sig").join(large.select("id").distinct(), "id", "left_semi"), "large")
-        rows = large.join(heads, "id").select("id", F.explode(_children(F.col("sig"), F.col("node"), *((2, 1) if depth <= 2 else (1, 3)))).alias("node"))
-    return reduce(DataFrame.union, leaves)
-
-
 def _groups(batches):
     """Rows of equal first column, which are adjacent, if there are two or more."""
     now, rows = None, []
@@ -167,33 +118,6 @@ def _groups(batches):
         yield rows
 
 
-def _near(rows, num: int, den: int):
-    """(agreeing minima, pairs i < j) of rows (_, id, size, sig, ...) that sizes and minima don't rule out as links."""
-    share = num / den
-    floor = (share - 4.5 * (share * (1 - share) / HASHES) ** 0.5) * HASHES
-    size, sig = np.array([r[2] for r in rows]), np.array([r[3] for r in rows], np.int32)
-    same = np.zeros((len(rows), len(rows)), np.int16)
-    for c in range(HASHES):
-        same += sig[:, None, c] == sig[None, :, c]
-    return same, np.nonzero(np.triu((same >= floor) & (np.minimum(size[:, None], size) * den >= num * np.maximum(size[:, None], size)), 1))
-
-
-class _Sets:
-    """Union-find."""
-
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def find(self, i: int) -> int:
-        parent = self.parent
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        self.parent[self.find(i)] = self.find(j)
-
-
 def _emit(pairs, names):
     out: tuple[list, list] = [], []
     for x, y in pairs:
@@ -206,58 +130,6 @@ def _emit(pairs, names):
         yield dict(zip(names, out, strict=True))
 
 
-def _clusters(num: int, den: int):
-    """(cluster, id): the members of a leaf that may be linked, directly or through others. A cluster is known by its members, so that leaves with the same ones give the same cluster."""
-
-    def pairs(batches):
-        from xxhash import xxh3_64_intdigest as digest
-
-        for rows in _groups(batches):
-            _, (a, b) = _near(rows, num, den)
-            sets = _Sets(len(rows))
-            for i, j in zip(a.tolist(), b.tolist(), strict=True):
-                sets.join(i, j)
-            members: dict[int, list[int]] = {}
-            for i in set(a.tolist()) | set(b.tolist()):
-                members.setdefault(sets.find(i), []).append(rows[i][1])
-            for ids in members.values():
-                key = digest(np.sort(np.array(ids, np.int64)).tobytes()) - (1 << 63)
-                for i in ids:
-                    yield key, i
-
-    return lambda batches: _emit(pairs(batches), ("cluster", "id"))
-
-
-def _compare(k: int, num: int, den: int):
-    """Links (a, b): a class and the smallest class it is connected with inside a cluster, by pairs with den * intersection >= num * union."""
-
-    def pairs(batches):
-        cache = HashCache()
-        for rows in _groups(batches):
-            full: list = [None] * len(rows)
-            same, (a, b) = _near(rows, num, den)
-            order = np.argsort(-same[a, b], kind="stable")
-            sets = _Sets(len(rows))
-            for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
-                if sets.find(i) == sets.find(j):
-                    continue
-                for x in (i, j):
-                    if full[x] is None:
-                        full[x] = frozenset(shingle_set(zlib.decompress(rows[x][4]).split(), k, cache).tolist())
-                both = len(full[i] & full[j])
-                if den * both >= num * (len(full[i]) + len(full[j]) - both):
-                    sets.join(i, j)
-            low: dict[int, int] = {}
-            for i, row in enumerate(rows):
-                r = sets.find(i)
-                low[r] = min(row[1], low.get(r, row[1]))
-            for i, row in enumerate(rows):
-                if row[1] != low[sets.find(i)]:
-                    yield row[1], low[sets.find(i)]
-
-    return lambda batches: _emit(pairs(batches), ("a", "b"))
-
-
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable, for ids in links (a, b)."""
     edges = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -274,27 +146,182 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("a", "l")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), keep: list[str] | None = None, text: str = "text", doc_id: str = "doc_id", trees: int = TREES, root_paths: int = ROOT_PATHS, leaf: int = LEAF) -> DataFrame:
+def _sets_of(batches, k: int):
+    """Sets of the texts in the first column that have words."""
+    cache = HashCache()
+    for b in batches:
+        for lo in range(0, b.num_rows, SLICE_ROWS):
+            for t in b.column(0).slice(lo, SLICE_ROWS).to_pylist():
+                s = shingle_set(_words(t), k, cache)
+                if len(s):
+                    yield s
+
+
+def _cell(s: np.ndarray) -> np.ndarray:
+    return (s & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def _tally(k: int):
+    """(at, n): how many shingles fall into each cell."""
+
+    def run(batches):
+        cells = np.zeros(CELLS, np.int64)
+        for s in _sets_of(batches, k):
+            np.add.at(cells, _cell(s), 1)
+        at = np.flatnonzero(cells)
+        for lo in range(0, len(at), 10000):
+            yield {"at": at[lo : lo + 10000], "n": cells[at[lo : lo + 10000]]}
+
+    return run
+
+
+def _prefixes(k: int, num: int, den: int, shared):
+    """(token, cid, n, rest): a set's rarest shingles, with its size and the number of shingles after each."""
+
+    def run(batches):
+        seen: set = set()
+        out, rows = [], 0
+        for s in _sets_of(batches, k):
+            c = _class_key(s)
+            if c in seen:
+                continue
+            if len(seen) >= 200_000:
+                seen.clear()
+            seen.add(c)
+            n = len(s)
+            p = n - -(-num * n // den) + 1
+            first = s[np.argsort(shared.value[_cell(s)], kind="stable")[:p]]
+            out.append((first.view(np.int64), np.full(p, int.from_bytes(c[:8], "big", signed=True), np.int64), np.full(p, n, np.int32), np.arange(n - 1, n - 1 - p, -1, dtype=np.int32)))
+            rows += p
+            if rows >= 20000:
+                yield dict(zip(("token", "cid", "n", "rest"), map(np.concatenate, zip(*out, strict=True)), strict=True))
+                out, rows = [], 0
+        if out:
+            yield dict(zip(("token", "cid", "n", "rest"), map(np.concatenate, zip(*out, strict=True)), strict=True))
+
+    return run
+
+
+def _candidates(num: int, den: int):
+    """Pairs (a, b) of different components that sizes and the shingle's places don't rule out."""
+
+    def pairs(batches):
+        for rows in _groups(batches):
+            _, ids, size, rest, component, own, cross = (np.array(x) for x in zip(*rows, strict=True))
+            for i in range(len(rows) - 1):
+                both = size[i] + size[i + 1 :]
+                most = 1 + np.minimum(rest[i], rest[i + 1 :])
+                fits = (component[i] != component[i + 1 :]) & (den * most >= num * (both - most))
+                fits &= np.minimum(size[i], size[i + 1 :]) * den >= num * np.maximum(size[i], size[i + 1 :])
+                if cross[i]:
+                    fits &= own[i] != own[i + 1 :]
+                for j in ids[i + 1 :][fits].tolist():
+                    yield min(int(ids[i]), j), max(int(ids[i]), j)
+
+    return lambda batches: _emit(pairs(batches), ("a", "b"))
+
+
+def _verify(k: int, num: int, den: int):
+    """Links (a, b) among a part's first class and its others, by their full sets."""
+
+    def pairs(batches):
+        cache = HashCache()
+        for rows in _groups(batches):
+            full = lambda blob: frozenset(shingle_set(zlib.decompress(blob).split(), k, cache).tolist())
+            first = [(r[1], full(r[3])) for r in rows if r[2]]
+            for _, b, is_first, blob in rows:
+                other = frozenset() if is_first else full(blob)
+                for a, own in first:
+                    both = len(own & other)
+                    if both and den * both >= num * (len(own) + len(other) - both):
+                        yield a, b
+
+    return lambda batches: _emit(pairs(batches), ("a", "b"))
+
+
+def _texts(source: DataFrame, used: DataFrame) -> DataFrame:
+    """(id, blob) of the classes in used (id, hk, th)."""
+    shared = source.sparkSession.sparkContext.broadcast(build(used.select("hk")))
+    texts = produce(source.select(F.xxhash64("doc_id", "th").alias("hk"), "th", "_t"), _pack_hits(shared), "hk bigint, th bigint, blob binary").dropDuplicates(["hk", "th"])
+    return used.join(texts, ["hk", "th"]).drop("hk", "th")
+
+
+def _decide(source: DataFrame, heads: DataFrame, pairs: DataFrame, k: int, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) that are links."""
+    parts = F.ceil(F.count("*").over(Window.partitionBy("a")) / 256)
+    pairs = pairs.withColumn("part", F.xxhash64("a", F.pmod(F.xxhash64("b"), parts)))
+    members = materialize(pairs.select("part", F.col("a").alias("id"), F.lit(True).alias("first")).distinct().union(pairs.select("part", F.col("b").alias("id"), F.lit(False).alias("first"))), "members")
+    used = materialize(heads.select("id", "hk", "th").join(members.select("id").distinct(), "id", "left_semi"), "used")
+    full = members.join(_texts(source, used), "id").select("part", "id", "first", "blob")
+    return materialize(produce(full.repartition("part").sortWithinPartitions("part"), _verify(k, *threshold), "a bigint, b bigint"), "links")
+
+
+def _prefix_rows(source: DataFrame, heads: DataFrame, k: int, threshold: tuple[int, int]) -> DataFrame:
+    """(token, id, n, rest, component): prefix shingles that several classes have; each class is its own component."""
+    found = produce(source.select("_t"), _tally(k), "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    cells = np.zeros(CELLS, np.int64)
+    cells[found["at"].to_numpy()] = found["n"].to_numpy()
+    shared = source.sparkSession.sparkContext.broadcast(cells)
+    prefixes = produce(source.select("_t"), _prefixes(k, *threshold, shared), "token bigint, cid bigint, n int, rest int")
+    same = Window.partitionBy("token")
+    prefixes = prefixes.repartition("token").dropDuplicates(["token", "cid"]).withColumn("low", F.min("cid").over(same)).withColumn("high", F.max("cid").over(same)).where("low < high")
+    cid = F.conv(F.hex(F.substring("c", 1, 8)), 16, -10).cast("bigint").alias("cid")
+    rows = prefixes.join(heads.select(cid, "id"), "cid")
+    return materialize(rows.select("token", "id", F.col("n").cast("bigint").alias("n"), F.col("rest").cast("bigint").alias("rest"), F.col("id").alias("component")), "prefixes")
+
+
+def _pivot_pairs(rows: DataFrame, threshold: tuple[int, int], single: bool) -> DataFrame:
+    """Pairs (a, b): b with the pivots a of its prefix shingles, or with one of them."""
+    num, den = threshold
+    first = F.max(F.struct((F.col("rest") / F.col("n")).alias("early"), F.col("id").alias("a"), F.col("n").alias("m"), F.col("rest").alias("after"), F.col("component").alias("of"))).over(Window.partitionBy("token"))
+    found = rows.withColumn("pivot", first).select("id", "n", "rest", "component", "pivot.*").where("component != of")
+    most = 1 + F.least("rest", "after")
+    found = found.where((den * most >= num * (F.col("n") + F.col("m") - most)) & (den * F.least("n", "m") >= num * F.greatest("n", "m")))
+    if single:
+        return found.groupBy(F.col("id").alias("b")).agg(F.max(F.struct("early", "a")).alias("p")).select("p.a", "b")
+    return found.select("a", F.col("id").alias("b")).distinct()
+
+
+def _other_pairs(rows: DataFrame, threshold: tuple[int, int], leaf: int) -> DataFrame:
+    """All pairs (a, b) that may be links, of classes in different components."""
+    same = Window.partitionBy("token")
+    rows = rows.withColumn("low", F.min("component").over(same)).withColumn("high", F.max("component").over(same)).withColumn("of", F.count("*").over(same)).where("low < high")
+    blocks = F.ceil(F.col("of") / leaf)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    # a block meets itself where own = other
+    rows = rows.select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "id", "n", "rest", "component", "own", (F.col("own") != F.col("other")).alias("cross"))
+    return produce(rows.repartition("key").sortWithinPartitions("key"), _candidates(*threshold), "a bigint, b bigint").distinct()
+
+
+def _components(source: DataFrame, heads: DataFrame, k: int, threshold: tuple[int, int], leaf: int) -> DataFrame:
+    """(id, component) of the classes that are linked."""
+    rows = _prefix_rows(source, heads, k, threshold)
+    links = None
+    for find in (lambda r: _pivot_pairs(r, threshold, True), lambda r: _pivot_pairs(r, threshold, False), lambda r: _other_pairs(r, threshold, leaf)):
+        now = rows
+        if links is not None:
+            label = components(links)
+            now = materialize(rows.drop("component").join(label, "id", "left").withColumn("component", F.coalesce("component", "id")), "prefixes")
+        pairs = materialize(find(now), "pairs")
+        if not pairs.isEmpty():
+            more = _decide(source, heads, pairs, k, threshold)
+            links = more if links is None else links.union(more)
+    return components(links if links is not None else heads.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), keep: list[str] | None = None, text: str = "text", doc_id: str = "doc_id", leaf: int = LEAF) -> DataFrame:
     """docs with n_shingles (set size), component_id (smallest doc_id reachable) and kept (one row of each component).
 
     Documents are linked if threshold[1] * intersection >= threshold[0] * union.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_shingles", "component_id", "kept")]
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("_t"), F.xxhash64(text).alias("th"))
-    described = materialize(map_rows(source, _describe(k), "c binary, n_shingles bigint, sig array<int>", ["_t"], ["doc_id", "th"]), "sets")
+    described = materialize(map_rows(source, _describe(k), "c binary, n_shingles bigint", ["_t"], ["doc_id", "th"]), "sets")
     some_id = F.coalesce("doc_id", F.lit(_NO_ID) + F.pmod(F.xxhash64("c"), F.lit(_NO_ID)))
     # a class is known by its smallest id; the row of that id stands for it
-    heads = described.where("c IS NOT NULL").groupBy("c").agg(F.min(F.struct(some_id.alias("id"), F.xxhash64("doc_id", "th").alias("hk"), "th", "n_shingles", "sig")).alias("h"))
+    heads = described.where("c IS NOT NULL").groupBy("c").agg(F.min(F.struct(some_id.alias("id"), F.xxhash64("doc_id", "th").alias("hk"), "th")).alias("h"))
     heads = materialize(heads.select("c", "h.*"), "heads")
-    signed = ["id", "n_shingles", "sig"]
-    members = _leaf_nodes(heads.select("id", "sig"), trees, root_paths, leaf).join(heads.select(*signed), "id").select("node", *signed)
-    clusters = materialize(produce(members.repartition("node").sortWithinPartitions("node"), _clusters(*threshold), "cluster bigint, id bigint").distinct(), "clusters")
-    used = materialize(heads.select(*signed, "hk", "th").join(clusters.select("id").distinct(), "id", "left_semi"), "used")
-    shared = docs.sparkSession.sparkContext.broadcast(build(used.select("hk")))
-    texts = produce(source.select(F.xxhash64("doc_id", "th").alias("hk"), "th", "_t"), _pack_hits(shared), "hk bigint, th bigint, blob binary").dropDuplicates(["hk", "th"])
-    full = clusters.join(used.join(texts, ["hk", "th"]).select(*signed, "blob"), "id").select("cluster", *signed, "blob")
-    links = produce(full.repartition("cluster").sortWithinPartitions("cluster"), _compare(k, *threshold), "a bigint, b bigint").distinct()
-    found = components(links)
+    found = _components(source, heads, k, threshold, leaf)
     labels = heads.select("c", "id").join(found, "id", "left").select("c", F.coalesce("component", "id").alias("component"))
     # every document gets its class's component; a text without words is its own
     by_doc = described.select("doc_id", "th", "c", "n_shingles").join(labels, "c", "left").select("doc_id", "th", "n_shingles", F.when(F.col("c").isNull(), F.col("doc_id")).when(F.col("component") < _NO_ID, F.col("component")).alias("component_id"))

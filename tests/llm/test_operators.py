@@ -344,3 +344,46 @@ def test_pii(spark, docs):
     assert found[0] == "x <CARD> <IP> y" and found[1] == "x <PHONE> <CARD> y" and "f33e" not in found[2] and found[4] == more[4]
     assert "<CARD>" not in found[3]
     assert find_pii(docs.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [(85, 100)])
+def test_near_duplicates_finds_stars(spark, threshold):
+    """One original and thousands of copies near it, but not near one another; the original's id is in the middle."""
+    rng = random.Random(11)
+    num, den = threshold
+    base = [f"w{i}" for i in range(200)]
+    changes = 5 if num == 85 else 4
+    rows = [(1500, " ".join(base))]
+    for i in range(3000):
+        copy = list(base)
+        for at in rng.sample(range(10, 190), changes):
+            copy[at] = f"c{i}x{at}"
+        rows.append((i + (i >= 1500), " ".join(copy)))
+    rows += [(5000 + i, " ".join(f"o{i}y{j}" for j in range(60))) for i in range(20)]
+    known = {i: sets_of(t, 3 if num == 85 else 5) for i, t in rows}
+    original = known[1500]
+    near = {i for i, s in known.items() if den * len(s & original) >= num * len(s | original)}
+    # brute force over all pairs of copies: by the shingles each lacks of the original (their own new ones are shared with none)
+    shingles = sorted(original)
+    holds = np.array([[x in known[i] for x in shingles] for i, _ in rows], np.float32)
+    size = np.array([len(known[i]) for i, _ in rows])
+    both = (holds @ holds.T).astype(np.int64)
+    linked = den * both >= num * (size[:, None] + size[None] - both)
+    parent = list(range(len(rows)))
+    for a, b in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+        x, y = int(a), int(b)
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        parent[x] = y
+    groups = collections.defaultdict(list)
+    for i in range(len(rows)):
+        x = i
+        while parent[x] != x:
+            x = parent[x]
+        groups[x].append(rows[i][0])
+    want = {i: min(g) for g in groups.values() for i in g}
+    assert len(near) > 2000
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), k=3 if num == 85 else 5, threshold=threshold, keep=["doc_id"]).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
