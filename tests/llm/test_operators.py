@@ -346,7 +346,7 @@ def test_pii(spark, docs):
     assert find_pii(docs.limit(0), model).count() == 0
 
 
-@pytest.mark.parametrize("threshold", [(85, 100)])
+@pytest.mark.parametrize("threshold", [(85, 100), (80, 100)])
 def test_near_duplicates_finds_stars(spark, threshold):
     """One original and thousands of copies near it, but not near one another; the original's id is in the middle."""
     rng = random.Random(11)
