@@ -1,4 +1,4 @@
-"""A blocked Bloom filter over 64-bit hashes, of a fixed largest size.
+"""A blocked Bloom filter over 64-bit hashes, sized from the number of keys up to a fixed largest size.
 
 Each key has one 64-bit block and four bits in it, so a lookup reads one word. It
 is built by a bitwise-or aggregate keyed by block: at most ``blocks`` rows reach
@@ -23,6 +23,11 @@ def block_of(x: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     return (x & np.uint64(blocks - 1)).astype(np.int64), mask
 
 
+def blocks_for(keys: int, least: int = 1 << 12, most: int = 1 << 23) -> int:
+    """A power of two of blocks with at most four keys each (one false hit in 300), within 32 kB and 64 MB."""
+    return max(least, min(most, 1 << max(0, -(-keys // 4) - 1).bit_length()))
+
+
 def build(keys: DataFrame, blocks: int = 1 << 18) -> np.ndarray:
     """The filter's blocks, of a DataFrame whose one column is a 64-bit hash (bigint)."""
     x = F.col(keys.columns[0])

@@ -7,7 +7,9 @@ is always the template's own. A turn's header, text and footer are encoded apart
 by a byte-level tokenizer, so tokens of a shared turn are the same everywhere.
 
 Conversations that begin with the same turns share those turns: a node of the
-tree is a sequence of turns from the start, known by a chained digest. Each node
+tree is a sequence of turns from the start. Its path is one string of ``STEP``
+bytes for each turn, a digest of the turn and of what came before it, so a path
+sorts right before its descendants and costs ``STEP`` bytes a turn. Each node
 is emitted once; all nodes lie depth-first in one token stream (children follow
 their parent, by digest), each with
 
@@ -20,9 +22,10 @@ their parent, by digest), each with
 
 After a node come the rows of the conversations that end there (kind ``end``),
 whose ``attend`` covers the whole conversation. The order is a distributed sort
-by path; offsets and open ancestors at partition borders come from one small row
-per partition, so neither a frequent first turn nor copies of a conversation
-gather anywhere.
+by path, kept on the executors' disks for the two passes over it (a lost part is
+sorted again, in the same order); offsets and open ancestors at partition borders
+come from one small row per partition, so neither a frequent first turn nor copies
+of a conversation gather anywhere.
 
 Null texts and roles are empty; rows of equal (conversation, turn) follow by role
 and text; a null conv_id is one conversation; an empty table gives no rows. One
@@ -31,14 +34,17 @@ conversation's turns are gathered in one task, as its digest needs them in order
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, produce, shared_dir
+from .common import map_rows, produce
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: What must not appear inside a text: openings of the template's markers, and those of other common templates.
 _CONTROL = r"(<)(\||/?s>|</?SYS>>)|(\[)(/?INST\])"
+#: Bytes of a path for each turn: siblings collide with probability 1e-11 among a billion.
+STEP = 12
 _INTERVALS = "array<struct<start: bigint, stop: bigint>>"
 
 
@@ -50,36 +56,35 @@ def unescape(x: Column) -> Column:
     return F.regexp_replace(x, r"(?s)\\(.)", "$1")
 
 
-def _encoder():
-    import base64
+#: The encoder of this process: later tasks of a worker find it loaded.
+_LOADED: list = []
 
-    import public_tokenizers
-    import tiktoken
 
-    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+def _encoder():
+    if not _LOADED:
+        import base64
 
+        import public_tokenizers
+        import tiktoken
 
-def _encode():
-    kept: list = []
+        with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        _LOADED.append(tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}))
+    return _LOADED[0]
 
-    def run(roles, texts, learn):
-        import numpy as np
 
-        if not kept:
-            kept.append(_encoder())
-        enc = kept[0].encode_ordinary
-        end, ids, lo, hi, n = enc(END), [], [], [], []
-        for role, text, use in zip(roles, texts, learn, strict=True):
-            head, body = enc(TURN + role + TEXT), enc(text)
-            ids.append(np.array(head + body + end, "<u4").tobytes())
-            lo.append(len(head))
-            hi.append(len(head) + len(body) * use)
-            n.append(len(head) + len(body) + len(end))
-        return ids, lo, hi, n
+def _encode(roles, texts, learn):
+    import numpy as np
 
-    return run
+    enc = _encoder().encode_ordinary
+    end, ids, lo, hi, n = enc(END), [], [], [], []
+    for role, text, use in zip(roles, texts, learn, strict=True):
+        head, body = enc(TURN + role + TEXT), enc(text)
+        ids.append(np.array(head + body + end, "<u4").tobytes())
+        lo.append(len(head))
+        hi.append(len(head) + len(body) * use)
+        n.append(len(head) + len(body) + len(end))
+    return ids, lo, hi, n
 
 
 def _stream(carried):
@@ -95,7 +100,7 @@ def _stream(carried):
             cols = {n: b.column(n).to_pylist() for n in ("path", "n", "conv_id", "ids", "loss_from", "loss_to")} if carried else {n: b.column(n).to_pylist() for n in ("path", "n", "conv_id")}
             out = {n: [] for n in ("start", "stop", "position", "attend")}
             for path, n in zip(cols["path"], cols["n"], strict=True):
-                depth = len(path) - (n is not None)
+                depth = len(path) // STEP - (n is not None)
                 # an ancestor that opened before this partition has no place yet while summarising
                 while len(stack) > depth:
                     stack.pop()
@@ -110,7 +115,7 @@ def _stream(carried):
                     stack.append((at, n))
                     at += n
             if carried:
-                yield {"kind": ["end" if n is None else "turn" for n in cols["n"]], "node": [p[-1] for p in cols["path"]], **{n: cols[n] for n in ("conv_id", "ids", "loss_from", "loss_to")}, **out}
+                yield {"kind": ["end" if n is None else "turn" for n in cols["n"]], "node": [p[-STEP:].hex() for p in cols["path"]], **{n: cols[n] for n in ("conv_id", "ids", "loss_from", "loss_to")}, **out}
         if not carried:
             yield {"part": [part], "total": [at], "open": [[{"start": -1 if s is None else s, "stop": m} for s, m in stack]]}
 
@@ -122,16 +127,16 @@ def prefix_tree(conversations: DataFrame) -> DataFrame:
     spark = conversations.sparkSession
     id_type = conversations.schema["conv_id"].dataType.simpleString()
     turns = conversations.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    link = lambda path, t: F.sha2(F.concat_ws("|", F.coalesce(F.try_element_at(path, F.lit(-1)), F.lit("")), F.length(t["role"]).cast("string"), t["role"], t["text"]), 256)
-    paths = turns.withColumn("path", F.aggregate("turns", F.array().cast("array<string>"), lambda path, t: F.concat(path, F.array(link(path, t)))))
-    each = paths.select("path", F.posexplode("turns").alias("i", "t")).select(F.slice("path", 1, F.col("i") + 1).alias("path"), "t.role", "t.text")
+    told = lambda path, t: F.concat_ws("|", F.hex(F.substring(path, -STEP, STEP)), F.length(t["role"]).cast("string"), t["role"], t["text"])
+    step = lambda path, t: F.concat(path, F.substring(F.unhex(F.sha2(told(path, t), 256)), 1, STEP))
+    paths = turns.withColumn("path", F.aggregate("turns", F.lit(b""), step))
+    each = paths.select("path", F.posexplode("turns").alias("i", "t")).select(F.substring("path", F.lit(1), STEP * (F.col("i") + 1)).alias("path"), "t.role", "t.text")
     nodes = each.dropDuplicates(["path"]).select("path", escape(F.col("role")).alias("r"), escape(F.col("text")).alias("t"), (F.col("role") == "assistant").alias("learn"))
-    nodes = map_rows(nodes, _encode(), "ids binary, loss_from bigint, loss_to bigint, n bigint", ["r", "t", "learn"], ["path"])
+    nodes = map_rows(nodes, _encode, "ids binary, loss_from bigint, loss_to bigint, n bigint", ["r", "t", "learn"], ["path"])
     ends = paths.select("path", *[F.lit(None).cast(t).alias(c) for c, t in (("ids", "binary"), ("loss_from", "bigint"), ("loss_to", "bigint"), ("n", "bigint"))], "conv_id")
     rows = nodes.withColumn("conv_id", F.lit(None).cast(id_type)).unionByName(ends).withColumn("rank", F.col("n").isNull().cast("int"))
-    shared_dir(spark)
     order = ["path", "rank", "conv_id"]
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("path", "n", "conv_id", "ids", "loss_from", "loss_to").checkpoint()
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("path", "n", "conv_id", "ids", "loss_from", "loss_to").persist(StorageLevel.DISK_ONLY)
     # one row a partition: its tokens, and the ancestors that are open at its end
     summary = {r["part"]: r for r in produce(placed.select("path", "n", "conv_id"), _stream(None), f"part int, total bigint, open {_INTERVALS}").collect()}
     base, stack, carried = 0, [], {}
@@ -145,27 +150,21 @@ def prefix_tree(conversations: DataFrame) -> DataFrame:
     return produce(placed, _stream(spark.sparkContext.broadcast(carried)), out)
 
 
-def _decode():
-    kept: list = []
+def _decode(ids, lo, hi):
+    import numpy as np
 
-    def run(ids, lo, hi):
-        import numpy as np
-
-        if not kept:
-            kept.append(_encoder())
-        whole, masked = [], []
-        for x, a, b in zip(ids, lo, hi, strict=True):
-            x = np.frombuffer(x, "<u4").tolist()
-            whole.append(kept[0].decode_bytes(x).decode())
-            masked.append(kept[0].decode_bytes(x[a:b]).decode())
-        return whole, masked
-
-    return run
+    decode = _encoder().decode_bytes
+    whole, masked = [], []
+    for x, a, b in zip(ids, lo, hi, strict=True):
+        x = np.frombuffer(x, "<u4").tolist()
+        whole.append(decode(x).decode())
+        masked.append(decode(x[a:b]).decode())
+    return whole, masked
 
 
 def read_back(stream: DataFrame) -> DataFrame:
     """From a token stream: conv_id, turns (array of role, text; unescaped), formatted, masked (array of texts under the loss mask, unescaped)."""
-    texts = map_rows(stream.where("kind = 'turn'"), _decode(), "formatted string, masked string", ["ids", "loss_from", "loss_to"], ["start", "loss_from", "loss_to"])
+    texts = map_rows(stream.where("kind = 'turn'"), _decode, "formatted string, masked string", ["ids", "loss_from", "loss_to"], ["start", "loss_from", "loss_to"])
     parts = stream.where("kind = 'end'").select("conv_id", F.explode("attend").alias("x")).select("conv_id", F.col("x.start").alias("start"))
     found = parts.join(texts, "start").select("conv_id", F.struct("start", "formatted", F.when(F.col("loss_to") > F.col("loss_from"), F.col("masked")).alias("masked")).alias("p")).groupBy("conv_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
     inner = lambda p: F.substring(p["formatted"], len(TURN) + 1, F.length(p["formatted"]) - len(TURN + END))

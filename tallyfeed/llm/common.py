@@ -1,53 +1,53 @@
 """Helpers shared by the training-data operators.
 
-Two idioms recur: ``map_rows`` appends columns computed by an Arrow batch
-function to a DataFrame (no shuffle, memory bounded by one slice of rows), and
-``materialize`` writes an intermediate once, as Parquet in the shared folder
-that ``spark.checkpoint.dir`` names, so that later stages read files instead of
-a lineage that a lost executor would force to be recomputed.
+``map_rows`` appends columns computed by an Arrow batch function to a DataFrame (no
+shuffle, memory bounded by one slice of rows), ``produce`` replaces rows, ``Plain``
+keeps an operator's column names apart from the input's.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..store import materialize, read_table, shared_dir  # noqa: F401  (the operators' own imports)
+
 #: Rows a Python worker holds as objects at once; long texts are what needs it.
 SLICE_ROWS = 500
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+class Plain:
+    """A DataFrame whose columns are renamed by position, so that no name of the input meets one of an operator's own.
+
+    Input names may hold dots or spaces, or differ from an operator's in case only.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.df = df.toDF(*[f"in_{i}" for i in range(len(self.names))])
 
+    def __getitem__(self, name: str) -> str:
+        """The renamed column of a name (Spark's own rule: case doesn't count, but an exact match comes first)."""
+        found = [i for i, n in enumerate(self.names) if n == name] or [i for i, n in enumerate(self.names) if n.lower() == name.lower()]
+        if not found:
+            raise ValueError(f"no column {name!r} among {self.names}")
+        return f"in_{found[0]}"
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="tallyfeed-")
-    atexit.register(shutil.rmtree, made, True)
-    spark.sparkContext.setCheckpointDir(f"file://{made}")
-    return f"file://{made}"
+    def _pairs(self, keep: list[str] | None, new: list[str]) -> list[tuple[str, str]]:
+        taken = {n.lower() for n in new}
+        return [(self[n], n) for n in (self.names if keep is None else keep) if n.lower() not in taken]
 
+    def kept(self, keep: list[str] | None, new: list[str]) -> list[str]:
+        """The renamed columns to carry along: those of ``keep`` (default: all) that no new column replaces."""
+        return [c for c, _ in self._pairs(keep, new)]
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once to the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    def restore(self, df: DataFrame, new: list[str], keep: list[str] | None = None) -> DataFrame:
+        """The kept columns under their own names, then the new ones."""
+        return df.select(*[F.col(c).alias(n) for c, n in self._pairs(keep, new)], *new)
 
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:
@@ -56,7 +56,7 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def map_rows(df: DataFrame, fn: Callable, new: str, uses: list[str], keep: list[str] | None = None) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable, new: str, uses: list[str], keep: list[str] | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Append the columns ``new`` (a DDL string) that ``fn`` computes from ``uses``.
 
     ``fn(*lists)`` gets the Python values of ``uses`` for a slice of rows and
@@ -73,8 +73,8 @@ def map_rows(df: DataFrame, fn: Callable, new: str, uses: list[str], keep: list[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, SLICE_ROWS):
-                part = whole.slice(lo, SLICE_ROWS)
+            for lo in range(0, whole.num_rows, slice_rows):
+                part = whole.slice(lo, slice_rows)
                 made = fn(*[part.column(i).to_pylist() for i in at])
                 arrays = [part.column(i).cast(out_arrow.field(i).type) for i in range(n)]
                 arrays += [x if isinstance(x, pa.Array) else pa.array(x, out_arrow.field(n + i).type) for i, x in enumerate(made)]
@@ -99,7 +99,7 @@ def produce(df: DataFrame, fn: Callable, out: str) -> DataFrame:
 class HashCache(dict):
     """64-bit hashes of words; forgets all beyond ``limit`` words, so memory stays bounded."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 200_000):
         from xxhash import xxh3_64_intdigest
 
         self.digest, self.limit = xxh3_64_intdigest, limit

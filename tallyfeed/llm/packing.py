@@ -14,7 +14,7 @@ programme continues over a flush at the last window but one.
 
 A null or empty text is the end id alone. Ids fall in exactly one piece each;
 pieces of a window are gapless from offset 0. An empty table gives no rows.
-Input columns of the output's names are replaced.
+Input columns of the output's names (in any case) are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema
+from .common import Plain, arrow_schema
 from .tokens import Encoder
 
 SIZE, END_ID = 4096, 2
@@ -119,8 +119,9 @@ class Packer:
 def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, keep: list[str] | None = None, text: str = "text", end_id: int = END_ID) -> DataFrame:
     """Pieces of documents: the kept columns, start, length, ids (binary, unsigned 32-bit little-endian), doc_tokens, sequence_id, offset."""
     fields = T.StructType.fromDDL("start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in fields.names]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_t"))
+    plain = Plain(docs)
+    kept = plain.kept(keep, fields.names)
+    source = plain.df.select(*kept, F.col(plain[text]).alias("t"))
     out = T.StructType(source.schema.fields[:-1] + fields.fields)
     arrow = arrow_schema(out)
 
@@ -138,7 +139,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, keep: list[str] | No
         end = np.array([end_id], "<u4")
 
         def batch(pieces):
-            cols = [[p[0][i] for p in pieces] for i in range(len(keep))]
+            cols = [[p[0][i] for p in pieces] for i in range(len(kept))]
             cols += [[p[1] for p in pieces], [len(p[2]) for p in pieces], [p[2].tobytes() for p in pieces], [p[3] for p in pieces], [first + p[4] for p in pieces], [p[5] for p in pieces]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
@@ -151,4 +152,4 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, keep: list[str] | No
         if pieces := list(packer.flush(True)):
             yield batch(pieces)
 
-    return source.mapInArrow(run, out)
+    return plain.restore(source.mapInArrow(run, out), fields.names, keep)

@@ -16,8 +16,9 @@
 Scores come from texts alone. A null or blank text has features of zero and a
 score like any other. Labels of unknown documents or null labels are ignored;
 with labels of one class only (or none) all scores are that class's share (0.5).
-Repeated rows get equal scores. Input columns named like an output column are
-replaced.
+Repeated rows get equal scores. Where texts share a labelled doc_id, the one of the
+smallest hash is learned from. Input columns named like an output column (in any
+case) are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, produce
+from .common import Plain, map_rows, produce
 from .substring_dedup import _mix
 
 BUCKETS, SHAPES, DIM, NONZERO = 8192, 1024, 32, 4
@@ -190,22 +191,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, label: str = "quality", max_train: int = MAX_TRAIN, text: str = "text", doc_id: str = "doc_id") -> dict:
-    chosen = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("double").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("id")))
+def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, max_train: int = MAX_TRAIN, text: str = "text", doc_id: str = "doc_id") -> dict:
+    """The network learned from labels (id, label)."""
+    chosen = labels.select("id", F.col("label").cast("double").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("id")))
     chosen = chosen.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_train)
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("t")).join(F.broadcast(chosen), "id")
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("t"), F.xxhash64(text).alias("th")).join(F.broadcast(chosen), "id")
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
-    fit = map_rows(rows, lambda texts: (list(_features(texts, shared.value).tolist()),), "f array<float>", ["t"], ["id", "y"]).dropDuplicates(["id"]).toArrow().sort_by("id")
+    fit = map_rows(rows, lambda texts: (list(_features(texts, shared.value).tolist()),), "f array<float>", ["t"], ["id", "y", "th"])
+    fit = fit.groupBy("id").agg(F.min(F.struct("th", "y", "f")).alias("x")).select("id", "x.y", "x.f").toArrow().sort_by("id")
     x = np.array(fit["f"].to_pylist(), float).reshape(-1, N_FEATURES)
     return fit_network(x, fit["y"].to_numpy())
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD, max_train: int = MAX_TRAIN, keep: list[str] | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with held_out, score (probability of label 1) and predicted (1 if score >= threshold)."""
-    vectors = word_vectors(docs, text)
-    network = train(docs, labels, vectors, label, max_train, text, doc_id)
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("held_out", "score", "predicted")]
+    plain, new = Plain(docs), ["held_out", "score", "predicted"]
+    text, doc_id, own_id = plain[text], plain[doc_id], doc_id
+    vectors = word_vectors(plain.df, text)
+    labels = Plain(labels)
+    labels = labels.df.select(F.col(labels[own_id]).alias("id"), F.col(labels[label]).alias("label"))
+    network = train(plain.df, labels, vectors, max_train, text, doc_id)
+    kept = plain.kept(keep, new)
     shared = docs.sparkSession.sparkContext.broadcast((vectors, network))
-    rows = docs.select(*[f"`{c}`" for c in keep], F.col(text).cast("binary").alias("_t"), F.col(doc_id).alias("_id"))
-    scored = map_rows(rows, lambda texts: (probability(shared.value[1], _features(texts, shared.value[0])).tolist(),), "score double", ["_t"], [*keep, "_id"])
-    return scored.select(*[f"`{c}`" for c in keep], held_out(F.col("_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    rows = plain.df.select(*kept, F.col(text).cast("binary").alias("t"), F.col(doc_id).alias("id"))
+    scored = map_rows(rows, lambda texts: (probability(shared.value[1], _features(texts, shared.value[0])).tolist(),), "score double", ["t"], [*kept, "id"])
+    return plain.restore(scored.select(*kept, held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")), new, keep)

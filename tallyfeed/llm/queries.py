@@ -16,7 +16,7 @@ from .substring_dedup import remove_repeats
 from .token_counts import length_histogram, suffix_sums
 from .tokens import tokenizer_path
 from .topk import top_k
-from .url_filter import filter_urls, host_of, path_of
+from .url_filter import filter_urls
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,15 +53,23 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: (host, path, verdict)
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: The list holds the canonical URLs of pages on hosts that have one of these labels.
-LISTED_LABELS = r"(^|\.)(spam-farm|cheap-pills)\."
+#: The list that the query runs with, by rule: pages 0 to 999 of these sites, at each name, domain, language and ending. Fixed values.
+LISTED_SITES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_NAMES, LISTED_DOMAINS = ("", "blog.", "m.", "www."), (".example.com", ".example.net", ".example.org")
+LISTED_LANGUAGES, LISTED_ENDINGS, LISTED_PAGES = ("de", "en", "es", "fr"), ("", "/", ".html"), 1000
+
+
+def listed_urls(spark: SparkSession) -> DataFrame:
+    """Canonical URLs to block: 864,000 of them, made from the constants above."""
+    each = lambda values: F.explode(F.array(*map(F.lit, values)))
+    rows = spark.range(LISTED_PAGES).select("id", each([n + s + d for n in LISTED_NAMES for s in LISTED_SITES for d in LISTED_DOMAINS]).alias("host"))
+    rows = rows.select("id", "host", each(LISTED_LANGUAGES).alias("lang")).select("id", "host", "lang", each(LISTED_ENDINGS).alias("ending"))
+    return rows.select(F.concat("host", F.lit("/"), "lang", F.lit("/"), F.col("id").cast("string"), "ending").alias("listed"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
-    url = F.col("url")
-    listed = pages.where(host_of(url).rlike(LISTED_LABELS)).select(F.concat(host_of(url), path_of(url)).alias("listed"))
-    return filter_urls(pages, URL_RULES, listed).drop("url")
+    return filter_urls(pages, URL_RULES, listed_urls(spark), keep=["page_id"])
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,11 +96,11 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
 """
 
 OP6_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
-  FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
-SELECT query_id, cast(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id AS vec_id, cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.r <> q.r)
+SELECT query_id, cast(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,19 +124,20 @@ r AS (SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net
   WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
   WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
   WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p),
-l AS (SELECT DISTINCT host || path AS u FROM p WHERE regexp_matches(host, '(^|\.)(spam-farm|cheap-pills)\.'))
+l AS (SELECT n || s || d || '/' || l || '/' || i || e AS u FROM unnest(['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) AS a(s), unnest(['', 'blog.', 'm.', 'www.']) AS b(n),
+  unnest(['.example.com', '.example.net', '.example.org']) AS c(d), unnest(['de', 'en', 'es', 'fr']) AS f(l), unnest(['', '/', '.html']) AS g(e), range(1000) AS h(i))
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN host || path IN (SELECT u FROM l) THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
 
 OP8_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-b AS (SELECT cast(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT cast(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 p AS (SELECT DISTINCT item, least(13, len(w)) AS m, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS win FROM b, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS t(i) WHERE len(w) > 0),
 lens AS (SELECT DISTINCT m FROM p),
 dw AS (SELECT r, m, i, array_to_string(w[i:i + m - 1], ' ') AS win FROM d, lens, unnest(range(1, len(w) - m + 2)) AS t(i) WHERE len(w) >= m),
-hit AS (SELECT dw.r, dw.i, p.m, p.item FROM dw JOIN p ON dw.m = p.m AND dw.win = p.win),
+hit AS MATERIALIZED (SELECT dw.r, dw.i, p.m, p.item FROM dw JOIN p ON dw.m = p.m AND dw.win = p.win),
 pos AS (SELECT r, count(DISTINCT x) AS n_hit FROM hit, unnest(range(i, i + m)) AS t(x) GROUP BY r),
-items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item FROM hit WHERE item IS NOT NULL) GROUP BY r)
 SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, cast(coalesce(n_hit, 0) AS BIGINT) AS n_hit, cast(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN pos USING (r) LEFT JOIN items USING (r)

@@ -9,22 +9,23 @@ included) is removed, judged on the input.
    windows that share a minimiser occurrence form one super-k-mer. A first pass
    counts super-k-mers by minimiser (a map-side combined aggregate of 24 bytes a
    row). A window can only repeat if its minimiser has two super-k-mers, so a
-   Bloom filter of those minimisers lets a second pass ship just the packed
-   strings that can matter. The filter has a fixed largest size: where it is
-   full it passes more strings, never fewer.
+   Bloom filter of those minimisers, sized from their number, lets a second pass
+   ship just the packed strings that can matter. The filter has a fixed largest
+   size: where it is full it passes more strings, never fewer.
 2. A packed string travels to the bucket of its minimiser once per distinct
    string, with its count. A minimiser with a great many distinct strings (a
-   frequent line in changing surroundings), flagged by a second fixed-size
-   filter, is split: each of its windows travels alone, keyed by its own hash.
-   So no bucket holds an unbounded group.
+   frequent line in changing surroundings), flagged by a second such filter, is
+   split: each of its windows travels alone, keyed by its own hash. So no bucket
+   holds an unbounded group.
 3. In a bucket the windows are sorted and counted exactly, on their words; the
    result joins back to the occurrences and from there to the documents. Texts
    that repeat nothing skip that join, by a third filter.
 
-Null or empty texts have no words; texts of fewer than ``k`` words keep all.
-Repeated rows repeat each other's windows. Rows are matched by (doc_id, text
+A worker holds the arrays of some ``CHUNK_WORDS`` words and ``OUT_ROWS`` output rows
+at a time. Null or empty texts have no words; texts of fewer than ``k`` words keep
+all. Repeated rows repeat each other's windows. Rows are matched by (doc_id, text
 hash), so null or repeated ids are no problem: rows equal in both get equal
-results. Input columns named like an output column are replaced.
+results. Input columns named like an output column (in any case) are replaced.
 """
 
 from __future__ import annotations
@@ -35,14 +36,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import block_of, build, probe
-from .common import HashCache, map_rows, materialize, produce
+from .bloom import block_of, blocks_for, build, probe
+from .common import HashCache, Plain, map_rows, materialize, produce
 
 K, M = 35, 4
 #: Words handled as arrays at once.
-CHUNK_WORDS = 250_000
-#: 64-bit blocks of each Bloom filter: 8 MB, whatever the input's size.
-FILTER_BLOCKS = 1 << 20
+CHUNK_WORDS = 40_000
+#: Output rows collected before they leave a worker.
+OUT_ROWS = 2000
 _POS_BITS = np.uint64(31)
 _POS = np.uint64((1 << 31) - 1)
 _PRIME = 0x9E3779B97F4A7C15
@@ -150,44 +151,56 @@ def _count_minis(k: int, m: int):
     return run
 
 
-def _filter_rows(blocks: int):
+def _slots(blocks: int):
+    """(at, mask) of each minimiser in a filter of so many blocks."""
+
     def run(batches):
         for b in batches:
             at, mask = block_of(_mix(b.column(0).to_numpy().view(np.uint64)), blocks)
-            yield {"at": at, "mask": mask.view(np.int64), "hot": np.where(b.column(1).to_numpy(zero_copy_only=False), mask, np.uint64(0)).view(np.int64)}
+            yield {"at": at, "mask": mask.view(np.int64)}
 
     return run
 
 
+def _filter(minis: DataFrame, blocks: int) -> np.ndarray:
+    """The Bloom filter of minimisers; a minimiser is a small hash, so it is hashed again."""
+    found = produce(minis.select("mini"), _slots(blocks), "at bigint, mask bigint").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
+    table = np.zeros(blocks, np.uint64)
+    table[found["at"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
+    return table
+
+
 def _ship(shared, k: int, m: int):
-    def run(batches):
+    names = ("bucket", "sh", "packed", "doc_id", "th", "start", "alone")
+
+    def rows_of(batch, rows, docs, s, pick, is_hot):
         from xxhash import xxh3_64_intdigest as digest
 
+        ids, hashes = batch.column(1), batch.column(2)
+        for j, split in zip(pick.tolist(), is_hot.tolist(), strict=True):
+            a, n, d = int(s.start[j]), int(s.n_win[j]), int(s.doc[j])
+            doc_id, th, from_ = ids[rows[d]].as_py(), hashes[rows[d]].as_py(), a - int(s.doc_start[d])
+            for i, w in ((x, 1) for x in range(n)) if split else ((0, n),):
+                packed = b" ".join(s.words[a + i : a + i + w + k - 1])
+                bucket = digest(packed, 7) - (1 << 63) if split else int(s.mini[j].view(np.int64))
+                yield bucket, digest(packed) - (1 << 63), packed, doc_id, th, from_ + i, split
+
+    def run(batches):
         cache = HashCache()
         repeated, hot = shared.value
+        out: list[tuple] = []
         for batch, rows, docs in _chunks(batches, 0):
             s = SuperKmers(docs, cache, k, m)
             if not len(s.mini):
                 continue
             pick = np.flatnonzero(_hits(repeated, s.mini))
-            is_hot = _hits(hot, s.mini[pick])
-            out: dict[str, list] = {c: [] for c in ("bucket", "sh", "packed", "doc_id", "th", "start", "alone")}
-            ids, hashes = batch.column(1), batch.column(2)
-            for j, split in zip(pick.tolist(), is_hot.tolist(), strict=True):
-                a, n, d = int(s.start[j]), int(s.n_win[j]), int(s.doc[j])
-                doc_id, th, from_ = ids[rows[d]].as_py(), hashes[rows[d]].as_py(), a - int(s.doc_start[d])
-                for i, w in ((x, 1) for x in range(n)) if split else ((0, n),):
-                    packed = b" ".join(s.words[a + i : a + i + w + k - 1])
-                    sh = digest(packed) - (1 << 63)
-                    out["packed"].append(packed)
-                    out["sh"].append(sh)
-                    out["bucket"].append(digest(packed, 7) - (1 << 63) if split else int(s.mini[j].view(np.int64)))
-                    out["doc_id"].append(doc_id)
-                    out["th"].append(th)
-                    out["start"].append(from_ + i)
-                    out["alone"].append(split)
-            if out["sh"]:
-                yield out
+            for row in rows_of(batch, rows, docs, s, pick, _hits(hot, s.mini[pick])):
+                out.append(row)
+                if len(out) >= OUT_ROWS:
+                    yield dict(zip(names, zip(*out, strict=True), strict=True))
+                    out = []
+        if out:
+            yield dict(zip(names, zip(*out, strict=True), strict=True))
 
     return run
 
@@ -195,14 +208,15 @@ def _ship(shared, k: int, m: int):
 def _groups(batches, key: int):
     """Rows (tuples) of equal key, which are adjacent, across batches."""
     now, rows = None, []
-    for b in batches:
-        cols = [b.column(i).to_pylist() for i in range(b.num_columns)]
-        for row in zip(*cols, strict=True):
-            if row[key] != now:
-                if rows:
-                    yield rows
-                now, rows = row[key], []
-            rows.append(row)
+    for whole in batches:
+        for lo in range(0, whole.num_rows, OUT_ROWS):
+            b = whole.slice(lo, OUT_ROWS)
+            for row in zip(*[b.column(i).to_pylist() for i in range(b.num_columns)], strict=True):
+                if row[key] != now:
+                    if rows:
+                        yield rows
+                    now, rows = row[key], []
+                rows.append(row)
     if rows:
         yield rows
 
@@ -245,7 +259,7 @@ def _count_windows(k: int):
                 out["bucket"].append(rows[r][0])
                 out["sh"].append(rows[r][1])
                 out["runs"].append([{"a": a, "b": b} for a, b in zip(runs[::2], runs[1::2], strict=True)])
-            if len(out["sh"]) >= 5000:
+            if len(out["sh"]) >= OUT_ROWS:
                 yield out
                 out = {"bucket": [], "sh": [], "runs": []}
         if out["sh"]:
@@ -254,19 +268,17 @@ def _count_windows(k: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, k: int = K, m: int = M, filter_blocks: int = FILTER_BLOCKS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, th, spans): word spans (start, end) of documents that repeated windows cover; th = xxhash64(text)."""
-    sc = docs.sparkSession.sparkContext
-    source = docs.select(F.col(text).cast("binary").alias("t"), F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("th")).where("t IS NOT NULL")
+def repeated_spans(source: DataFrame, k: int = K, m: int = M, most_blocks: int = 1 << 23) -> DataFrame:
+    """(doc_id, th, spans) of source (t, doc_id, th): word spans (start, end) of documents that repeated windows cover; th stands for the text."""
+    sc = source.sparkSession.sparkContext
+    source = source.where("t IS NOT NULL")
     minis = produce(source.select("t"), _count_minis(k, m), "mini bigint, n bigint, low bigint, high bigint").groupBy("mini").agg(F.sum("n").alias("n"), F.bit_or("low").alias("low"), F.bit_or("high").alias("high")).where("n > 1")
     # 126 of 128 bits set: some 600 distinct strings
-    slots = produce(minis.select("mini", (F.bit_count("low") + F.bit_count("high") >= 126).alias("hot")), _filter_rows(filter_blocks), "at bigint, mask bigint, hot bigint").groupBy("at").agg(F.bit_or("mask").alias("mask"), F.bit_or("hot").alias("hot"))
-    tables = np.zeros(filter_blocks, np.uint64), np.zeros(filter_blocks, np.uint64)
-    found = slots.toArrow()
-    for table, name in zip(tables, ("mask", "hot"), strict=True):
-        table[found["at"].to_numpy()] = found[name].to_numpy().view(np.uint64)
-    id_type = docs.schema[doc_id].dataType.simpleString()
-    shipped = materialize(produce(source, _ship(sc.broadcast(tables), k, m), f"bucket bigint, sh bigint, packed binary, doc_id {id_type}, th bigint, start bigint, alone boolean"), "superkmers")
+    minis = materialize(minis.select("mini", (F.bit_count("low") + F.bit_count("high") >= 126).alias("hot")), "minimisers")
+    hot = minis.where("hot")
+    tables = tuple(_filter(x, blocks_for(x.count(), most=most_blocks) if most_blocks > 1 else 1) for x in (minis, hot))
+    id_type = source.schema["doc_id"].dataType.simpleString()
+    shipped = materialize(produce(source.select("t", "doc_id", "th"), _ship(sc.broadcast(tables), k, m), f"bucket bigint, sh bigint, packed binary, doc_id {id_type}, th bigint, start bigint, alone boolean"), "superkmers")
     distinct = shipped.groupBy("bucket", "sh", "packed", "alone").agg(F.count("*").alias("n"))
     alone = distinct.where("alone AND n > 1").select("bucket", "sh", F.array(F.struct(F.lit(0).cast("bigint").alias("a"), F.lit(1).cast("bigint").alias("b"))).alias("runs"))
     runs = produce(distinct.where("NOT alone").drop("alone").repartition("bucket").sortWithinPartitions("bucket"), _count_windows(k), "bucket bigint, sh bigint, runs array<struct<a: bigint, b: bigint>>")
@@ -275,7 +287,8 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M, filter_blocks: int =
         .join(runs.union(alone), ["bucket", "sh"])
         .select("doc_id", "th", F.transform("runs", lambda x: F.struct((x["a"] + F.col("start")).alias("a"), (x["b"] + F.col("start") + (k - 1)).alias("b"))).alias("s"))
     )
-    return spans.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    # a set: a row that is repeated very often gives the same spans each time
+    return spans.groupBy("doc_id", "th").agg(F.flatten(F.collect_set("s")).alias("spans"))
 
 
 def _remove(texts, spans):
@@ -294,14 +307,15 @@ def _remove(texts, spans):
     return n_words, n_removed, kept, [hashlib.sha256(x).hexdigest() for x in kept]
 
 
-def remove_repeats(docs: DataFrame, k: int = K, m: int = M, keep: list[str] | None = None, text: str = "text", doc_id: str = "doc_id", filter_blocks: int = FILTER_BLOCKS) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = K, m: int = M, keep: list[str] | None = None, text: str = "text", doc_id: str = "doc_id", most_blocks: int = 1 << 23) -> DataFrame:
     """docs with n_words, n_removed, kept_text (binary UTF-8, words joined by a space) and kept_sha256."""
-    keep = docs.columns if keep is None else keep
-    spans = materialize(repeated_spans(docs, k, m, filter_blocks, text, doc_id).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans")), "spans")
-    docs = docs.select(*[f"`{c}`" for c in dict.fromkeys([*keep, doc_id])], F.col(text).cast("binary").alias("_t"), F.xxhash64(text).alias("_h")).withColumn("_key", F.xxhash64(doc_id, "_h"))
+    plain, new = Plain(docs), ["n_words", "n_removed", "kept_text", "kept_sha256"]
+    kept = plain.kept(keep, new)
+    rows = plain.df.select(*kept, F.col(plain[doc_id]).alias("doc_id"), F.col(plain[text]).cast("binary").alias("t"), F.xxhash64(plain[text]).alias("th"))
+    spans = materialize(repeated_spans(rows.select("t", "doc_id", "th"), k, m, most_blocks).select(F.col("doc_id").alias("of"), F.col("th").alias("hash"), "spans"), "spans")
     # most documents repeat nothing: a filter of those with spans spares the others' texts the shuffle
-    docs = probe(docs, build(spans.select(F.xxhash64("_id", "_th"))), "_key", "_maybe")
-    joined = docs.where("_maybe").join(spans, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
-    whole = docs.where("NOT _maybe").withColumn("_spans", F.lit(None).cast(spans.schema["_spans"].dataType))
+    rows = probe(rows.withColumn("key", F.xxhash64("doc_id", "th")), build(spans.select(F.xxhash64("of", "hash")), blocks_for(spans.count())), "key", "maybe")
+    joined = rows.where("maybe").join(spans, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("hash")), "left")
+    whole = rows.where("NOT maybe").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
     out = "n_words bigint, n_removed bigint, kept_text binary, kept_sha256 string"
-    return map_rows(joined, _remove, out, ["_t", "_spans"], keep).unionByName(map_rows(whole, _remove, out, ["_t", "_spans"], keep))
+    return plain.restore(map_rows(joined, _remove, out, ["t", "spans"], kept).unionByName(map_rows(whole, _remove, out, ["t", "spans"], kept)), new, keep)

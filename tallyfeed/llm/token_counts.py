@@ -1,7 +1,7 @@
 """Token counts by an exact length histogram.
 
 Each document is encoded once and only its length is kept; an aggregate with a
-map-side sum gives documents by length. Suffix sums over lengths then answer,
+map-side sum gives documents by length, which is written out. Suffix sums over lengths then answer,
 for a context limit L: documents and tokens at least L long, the tokens that
 remain when each document is cut at L, the tokens lost, and how many documents
 come before (ranks for quantiles). Suffix sums are taken in two levels, inside
@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import produce
+from .common import Plain, materialize, produce
 from .tokens import Encoder
 
 BLOCK = 1024
@@ -31,12 +31,14 @@ def length_histogram(docs: DataFrame, tokenizer: str, text: str = "text") -> Dat
             length, n = np.unique(np.fromiter((len(encoder.encode(x.as_py())) // 4 for x in col), np.int64, len(col)), return_counts=True)
             yield {"length": length, "n": n}
 
-    return produce(docs.select(text), count, "length bigint, n bigint").groupBy("length").agg(F.sum("n").alias("n_docs"))
+    plain = Plain(docs)
+    return produce(plain.df.select(plain[text]), count, "length bigint, n bigint").groupBy("length").agg(F.sum("n").alias("n_docs"))
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
     """The histogram with docs_at_least, tokens_at_least, truncated_total, lost_total and docs_below for L = length."""
-    blocks = histogram.withColumns({"block": F.floor(F.col("length") / BLOCK), "tokens": F.col("n_docs") * F.col("length")})
+    # read by two branches below: written once, so that documents are encoded once
+    blocks = materialize(histogram, "lengths").withColumns({"block": F.floor(F.col("length") / BLOCK), "tokens": F.col("n_docs") * F.col("length")})
     totals = blocks.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     # as many rows as the longest document has blocks of lengths
     later, every = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

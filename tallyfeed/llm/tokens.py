@@ -2,7 +2,8 @@
 
 The tokenizer drops white space, so no token spans it and a text's ids are the
 ids of its chunks in order. ``Encoder`` keeps the ids of the chunks it has met
-(as little-endian unsigned 32-bit bytes), at most ``limit`` of them. A chunk of
+(as little-endian unsigned 32-bit bytes), at most ``limit`` of them, which takes
+some 80 MB in a worker. A chunk of
 ASCII and Latin letters alone that it hasn't met is split by the tokenizer's own
 rule and only its unknown pieces go to the tokenizer's model; any other chunk,
 and one that may hold a special token, goes through the whole tokenizer. Tests
@@ -14,7 +15,6 @@ new to it and costs some twenty times a known one.
 from __future__ import annotations
 
 import re
-import sys
 
 #: str.split() also splits at these, which the tokenizer takes for symbols.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -35,6 +35,10 @@ _BYTES = _byte_characters()
 _LETTERS = {c: "".join(_BYTES[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
+#: Encoders of this process, by file: later tasks of a worker find their caches filled.
+_ENCODERS: dict[str, Encoder] = {}
+
+
 class _Pieces(dict):
     def __init__(self, model, pack, limit: int):
         self.model, self.pack, self.limit = model, pack, limit
@@ -48,21 +52,20 @@ class _Pieces(dict):
 
 
 class Encoder(dict):
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 300_000):
         import struct
 
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.pack = Tokenizer.from_file(path), limit, struct.pack
-        self.pieces = _Pieces(self.tokenizer.model, self.pack, limit // 2)
+        self.pieces = _Pieces(self.tokenizer.model, self.pack, limit // 3)
 
     @staticmethod
     def of(path: str) -> Encoder:
-        """The process's encoder for a file: later tasks of a worker find its caches filled."""
-        kept = sys.__dict__.setdefault("_tallyfeed_encoders", {})
-        if path not in kept:
-            kept[path] = Encoder(path)
-        return kept[path]
+        """The process's encoder for a file."""
+        if path not in _ENCODERS:
+            _ENCODERS[path] = Encoder(path)
+        return _ENCODERS[path]
 
     def ids(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids

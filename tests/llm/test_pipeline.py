@@ -47,12 +47,21 @@ def test_stages(spark, tmp_path):
         assert np.frombuffer(b"".join(p["ids"] for p in own), "<u4").tolist() == ids_of(t).tolist()
 
 
-@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES[:4])
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages_take_nulls_and_empty_tables(spark, tmp_path, name, stage):
-    rows = [(None, None, None, None, None), (1, None, "en", "s", None), (2, "", None, "s", 0), (3, "a b c", "en", "s", 5), (3, "a b c", "en", "s", 5)]
-    docs = spark.createDataFrame(rows, DOCS)
+    rows = [(None, None, None, None, None, "x"), (1, None, "en", "s", None, "x"), (2, "", None, "s", 0, "x"), (3, "a b c", "en", "s", 5, "x"), (3, "a b c", "en", "s", 5, "x"), (None, "a b c", "en", "s", 5, "x"), (None, "a b c", "en", "s", 5, "x"), (None, "d e", "en", "s", 3, "x"), (None, "d e", "en", "s", 3, "x")]
+    clashes = ["Kept", "SCORE", "_t", "_id", "a.b", "N_Words", "predicted", "contaminated", "spans", "component_id", "row", "in_0"]
+    docs = spark.createDataFrame([(*r[:5], *map(str, range(len(clashes)))) for r in rows], DOCS + "".join(f", `{c}` string" for c in clashes))
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    assert stage(spark, docs, str(tmp_path)).columns == docs.columns
-    assert stage(spark, docs, str(tmp_path)).count() == (0 if name == "quality" else 5)
+    out = stage(spark, docs, str(tmp_path))
+    got = out.collect()
+    assert sum(name != "packing" or r["start"] == 0 for r in got) == {"quality": 0, "near_dedup": 5}.get(name, 9)  # of 'a b c' and 'd e' one row each; rows without words stay
+    if name == "packing":
+        assert {r["source"] for r in got} == {None, "s"}
+    else:
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        assert all(r[5 + i] == str(i) for r in got for i in range(len(clashes)))
+    if name == "near_dedup":
+        assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == [(0, ""), (0, "d e"), (1, ""), (2, ""), (3, "a b c")]
     assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
