@@ -1,7 +1,8 @@
 """From raw documents to packed token windows: quality, near-dedup, decontamination, PII, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of documents. ``run`` writes each stage's result as Parquet to
+return the columns of documents, whatever other columns these hold: operators see
+them under names of their own. ``run`` writes each stage's result as Parquet to
 the shared folder and reads it back as the next one's docs. Empty tables, nulls
 and repeated rows are handled as the operators define.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfeed.llm.common import materialize, read_table
+from tallyfeed.llm.common import Plain, materialize, read_table
 from tallyfeed.llm.decontaminate import decontaminate
 from tallyfeed.llm.near_dedup import near_duplicates
 from tallyfeed.llm.packing import pack
@@ -22,27 +23,40 @@ from tallyfeed.llm.tokens import tokenizer_path
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return score_quality(docs, labels).where("predicted = 1").select(docs.columns)
+    plain = Plain(docs)
+    labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias(plain["doc_id"]), "quality")
+    return plain.restore(score_quality(plain.df, labels, text=plain["text"], doc_id=plain["doc_id"]).where("predicted = 1"), [])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more)."""
-    return near_duplicates(docs, k=5, threshold=(80, 100)).where("kept").select(docs.columns)
+    """One row of each group of near duplicates (five-word shingles, similarity 0.8 or more): the one of the smallest doc_id.
+
+    Repeated rows and rows without an id are members like others; rows without words stay.
+    """
+    plain = Plain(docs)
+    # rows are told apart by a key of their own; written once, so that it stays
+    rows = materialize(plain.df.withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
+    classes = near_duplicates(rows, k=5, threshold=(80, 100), keep=["row", plain["doc_id"]], text=plain["text"], doc_id="row")
+    first = F.min(F.struct(F.col(plain["doc_id"]).isNull().alias("none"), F.col(plain["doc_id"]).alias("id"), "row"))
+    stay = classes.groupBy("component_id").agg(first.alias("x")).select("x.row")
+    return plain.restore(rows.join(stay, "row", "left_semi"), [])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold too little of the benchmark to count as contaminated."""
-    return decontaminate(docs, read_table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(docs.columns)
+    plain = Plain(docs)
+    return plain.restore(decontaminate(plain.df, read_table(spark, sf_dir, "benchmark"), text=plain["text"]).where("NOT contaminated"), [])
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with each span of personal data replaced by its kind."""
-    text = F.when(F.col("text").isNotNull(), F.col("redacted"))
-    found = find_pii(docs, redact=True).withColumn("text", text)
+    """Documents with each span of personal data replaced by its kind; n_chars follows the text."""
+    plain = Plain(docs)
+    text = plain["text"]
+    found = find_pii(plain.df, text=text, redact=True).withColumn(text, F.when(F.col(text).isNotNull(), F.col("redacted")))
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return found.select(docs.columns)
+        n_chars = plain["n_chars"]
+        found = found.withColumn(n_chars, F.length(text).cast(docs.schema["n_chars"].dataType))
+    return plain.restore(found, [])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +65,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", pii), ("packing", packing)]
-#: Classifier scores, tokens and model-chosen spans are beyond SQL; tests hold each stage against a brute-force version.
+#: Classifier scores, tokens and model-chosen spans are beyond SQL; tests/llm/test_pipeline.py holds the stages against what each must do.
 ORACLE_SQL = None
 
 
