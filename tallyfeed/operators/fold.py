@@ -9,7 +9,9 @@ Cash, realised profit and dividend income are one running balance over all
 instruments, whose overflow refuses an event. Where the sum of absolute changes
 of a viewpoint stays below 2^63, no order of events can overflow, and the
 parallel result is the sequential one; the other viewpoints, if any, are folded
-again as one global sequence each, by the same code.
+again as one global sequence each, by the same code. The fold's result is written
+to the shared folder, so that a call folds once, whatever it asks for. Details of
+refusals are part of a snapshot's hashed bytes: fixed values.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import INT64_MAX, fits, relieve
 from ..functions.schema import flat
+from ..store import materialize
 
 #: Events: viewpoint, instrument, effective, seq, kind (buy, sell, split, dividend), qty, price (fills), term (ratio or rate).
 EVENT_COLUMNS = ["viewpoint", "instrument", "effective", "seq", "kind", "qty", "price", "term"]
@@ -125,37 +128,20 @@ def _fold(group_by_instrument: bool):
 
 
 def fold(events: DataFrame, force_global: bool = False) -> DataFrame:
-    """Positions, refusals and sums (``OUT``) of events (``EVENT_COLUMNS``)."""
+    """Positions, refusals and sums (``OUT``) of events (``EVENT_COLUMNS``); written once, for all that reads them."""
     events = events.select(*EVENT_COLUMNS)
     whole = lambda df: df.repartition("viewpoint").sortWithinPartitions("viewpoint", "effective", "seq").mapInArrow(_fold(False), OUT)
     if force_global:
-        return whole(events)
+        return materialize(whole(events), "fold")
     keys = ["viewpoint", "instrument"]
-    done = events.repartition(*keys).sortWithinPartitions(*keys, "effective", "seq").mapInArrow(_fold(True), OUT)
-    # an upper bound of every balance's reach, cheap and before any fold: all fills and dividends at their full amount
-    held = F.sum(F.when(F.col("kind") == "buy", F.col("qty").cast("double"))).alias("bought")
-    top = F.max(F.when(F.col("kind") == "split", F.col("term").cast("double")).otherwise(1.0)).alias("ratio")
-    bound = events.groupBy("viewpoint").agg(
-        held,
-        F.count_if(F.col("kind") == "split").alias("splits"),
-        top,
-        F.sum(F.when(F.col("kind").isin("buy", "sell"), 2.0 * F.col("qty") * F.col("price"))).alias("traded"),
-        F.sum(F.when(F.col("kind") == "dividend", F.col("term").cast("double"))).alias("rates"),
-    )
-    risky = [r["viewpoint"] for r in bound.collect() if _reach(r) >= 9.0e18]
-    if not risky:
-        return done
-    # the cheap bound failed: measure the exact reach of these viewpoints, and fold in one sequence where it does not fit
-    sums = done.where((F.col("what") == "sums") & F.col("viewpoint").isin(risky)).groupBy("viewpoint").agg(F.sum(F.col("reach").cast("decimal(38,0)")).alias("reach"))
-    late = [r["viewpoint"] for r in sums.where(F.col("reach") > F.lit(INT64_MAX).cast("decimal(38,0)")).collect()]
+    done = materialize(events.repartition(*keys).sortWithinPartitions(*keys, "effective", "seq").mapInArrow(_fold(True), OUT), "fold")
+    # what each instrument's balances moved in all, up or down: where the sum fits, no order of events can overflow
+    reach = done.where("what = 'sums'").groupBy("viewpoint").agg(F.sum(F.col("reach").cast("decimal(38,0)")).alias("reach"))
+    late = [r["viewpoint"] for r in reach.where(F.col("reach") > F.lit(INT64_MAX).cast("decimal(38,0)")).collect()]
     if not late:
         return done
-    return done.where(~F.col("viewpoint").isin(late)).unionByName(whole(events.where(F.col("viewpoint").isin(late))))
-
-
-def _reach(r) -> float:
-    grown = (r["bought"] or 0.0) * (r["ratio"] or 1.0) ** min(r["splits"], 600) if (r["ratio"] or 1.0) > 1 else (r["bought"] or 0.0)
-    return (r["traded"] or 0.0) + grown * (r["rates"] or 0.0)
+    again = materialize(whole(events.where(F.col("viewpoint").isin(late))), "fold")
+    return done.where(~F.col("viewpoint").isin(late)).unionByName(again)
 
 
 def positions(folded: DataFrame) -> DataFrame:

@@ -78,30 +78,59 @@ def row_reasons(row) -> list[str]:
         out += _object(planted, PLANTED, {}, "planted.")
     cell, result = row.get("cell"), row.get("result")
     if result == "UNEVALUABLE" and not row.get("unevaluable_reason"):
-        out.append("unevaluable_reason required when result is UNEVALUABLE")
+        out.append("UNEVALUABLE needs an unevaluable_reason")
     if result != "UNEVALUABLE" and "unevaluable_reason" in row:
-        out.append("unevaluable_reason forbidden unless result is UNEVALUABLE")
+        out.append("only UNEVALUABLE has an unevaluable_reason")
     if cell == "twin" and "planted" not in row:
-        out.append("planted required on twin")
+        out.append("a twin says what was planted")
     if cell == "live" and "planted" in row:
-        out.append("planted forbidden on live")
+        out.append("live data has nothing planted")
     if isinstance(checks, dict) and isinstance(evaluated, dict) and set(checks) != set(evaluated):
-        out.append("evaluated keys must equal checks keys")
+        out.append("checks and evaluated name different checks")
     if isinstance(evaluated, dict) and result != "UNEVALUABLE" and (zero := [k for k, v in evaluated.items() if v == 0]):
-        out.append(f"evaluated zero forces UNEVALUABLE ({', '.join(zero)})")
+        out.append(f"nothing was evaluated, yet the result is not UNEVALUABLE: {', '.join(zero)}")
     counts = [v for v in checks.values() if isinstance(v, (int, float))] if isinstance(checks, dict) else []
     if cell == "live" and result == "GREEN" and any(v > 0 for v in counts):
-        out.append("live with violations must be RED")
+        out.append("GREEN in spite of violations")
     if cell == "twin" and result == "RED" and isinstance(checks, dict):
         if all(v == 0 for v in checks.values()):
-            out.append("twin with no violations must not be RED")
+            out.append("RED without a violation")
         if isinstance(planted, dict) and checks != planted.get("expected_violations"):
-            out.append("twin RED does not match the plant")
+            out.append("violations differ from those planted")
     if hit := next((t for t in _texts(row) if STATUS_WORDS.search(t)), None):
-        out.append(f'status literal in row: "{hit}"')
+        out.append(f"holds a word that only crediting may use: {hit}")
     return out
 
 
+def row_faults(rows: DataFrame) -> DataFrame:
+    """(file, reason): the rules of ``row_reasons`` that hold between fields, for a table of rows.
+
+    ``rows``: file, lane, cell, result, unevaluable_reason, checks and evaluated (maps), expected (map of the plant, null without one), texts (array of all its strings).
+    """
+    same = lambda a, b: F.array_sort(F.map_entries(a)) == F.array_sort(F.map_entries(b))
+    out, result, twin = F.col("result") == "UNEVALUABLE", F.col("result"), F.col("cell") == "twin"
+    told = F.length(F.coalesce("unevaluable_reason", F.lit(""))) > 0
+    zero = F.filter(F.map_keys("evaluated"), lambda k: F.try_element_at("evaluated", k) == 0)
+    word = F.get(F.filter("texts", lambda t: t.rlike(r"\b(?:CLAIMABLE|PARTIAL|UNCLAIMED)\b")), 0)
+    some = F.exists(F.map_values("checks"), lambda v: v > 0)
+    red = twin & (result == "RED")
+    reasons = F.array(
+        F.when(F.col("lane") < 1, "schema: lane must be >= 1"),
+        F.when(F.size("checks") < 1, "schema: checks must have at least 1 key"),
+        F.when(out & ~told, "UNEVALUABLE needs an unevaluable_reason"),
+        F.when(~out & F.col("unevaluable_reason").isNotNull(), "only UNEVALUABLE has an unevaluable_reason"),
+        F.when(twin & F.col("expected").isNull(), "a twin says what was planted"),
+        F.when(~twin & F.col("expected").isNotNull(), "live data has nothing planted"),
+        F.when(F.array_sort(F.map_keys("checks")) != F.array_sort(F.map_keys("evaluated")), "checks and evaluated name different checks"),
+        F.when(~out & (F.size(zero) > 0), F.concat(F.lit("nothing was evaluated, yet the result is not UNEVALUABLE: "), F.array_join(F.array_sort(zero), ", "))),
+        F.when(~twin & (result == "GREEN") & some, "GREEN in spite of violations"),
+        F.when(red & ~some, "RED without a violation"),
+        F.when(red & F.col("expected").isNotNull() & ~same(F.col("checks"), F.col("expected")), "violations differ from those planted"),
+        F.when(word.isNotNull(), F.concat(F.lit("holds a word that only crediting may use: "), word)),
+    )
+    return rows.select("file", F.explode(F.array_compact(reasons)).alias("reason"))
+
+
 def set_reasons(rows: DataFrame) -> DataFrame:
     """(file, reason) of sound rows (file, surface, lane, cell, result, mutation) that don't go together or need a human."""
     order = Window.partitionBy("surface", "lane", "cell").orderBy("file")
@@ -110,10 +139,10 @@ def set_reasons(rows: DataFrame) -> DataFrame:
     live, twin = F.col("cell") == "live", F.col("cell") == "twin"
     numbered = rows.withColumns({"_n": F.row_number().over(order), "_first": F.first("file").over(order), "_m": F.row_number().over(same), "_have": F.first("file").over(same)})
     reasons = F.array(
-        F.when(live & (F.col("_n") > 1), F.concat(F.lit("second live cell for "), key, F.lit(" (have "), "_first", F.lit(")"))),
-        F.when(twin & (F.col("_m") > 1), F.concat(F.lit('duplicate twin mutation "'), F.coalesce("mutation", F.lit("")), F.lit('" for '), key, F.lit(" (have "), "_have", F.lit(")"))),
-        F.when(live & (F.col("result") == "RED"), F.lit("live RED needs a human: a real surface failed")),
-        F.when(twin & (F.col("result") == "GREEN"), F.lit("twin GREEN needs a human: the gate missed the plant")),
+        F.when(live & (F.col("_n") > 1), F.concat(F.lit("live row of "), key, F.lit(" already in "), "_first")),
+        F.when(twin & (F.col("_m") > 1), F.concat(F.lit("twin "), F.coalesce("mutation", F.lit("")), F.lit(" of "), key, F.lit(" already in "), "_have")),
+        F.when(live & (F.col("result") == "RED"), F.lit("look at it: live data fails")),
+        F.when(twin & (F.col("result") == "GREEN"), F.lit("look at it: a planted defect went unseen")),
     )
     return numbered.select("file", F.explode(F.array_compact(reasons)).alias("reason"))
 
@@ -122,7 +151,7 @@ def expected_cells(rows: DataFrame, expected: DataFrame) -> DataFrame:
     """(surface, lane, reason): cells that are not expected, are missing, or have other twins. ``expected``: surface, lane, twins (array)."""
     found = rows.groupBy("surface", "lane").agg(F.array_sort(F.collect_set(F.when(F.col("cell") == "twin", F.col("mutation")))).alias("found"))
     both = found.join(expected.select("surface", "lane", F.array_sort("twins").alias("want")), ["surface", "lane"], "full_outer")
-    reason = F.when(F.col("want").isNull(), "unexpected cell").when(F.col("found").isNull(), "expected cell has no rows").when(F.col("want") != F.col("found"), "twin mutation set differs")
+    reason = F.when(F.col("want").isNull(), "nobody expects these rows").when(F.col("found").isNull(), "rows are missing").when(F.col("want") != F.col("found"), "other twins than expected")
     return both.select("surface", "lane", reason.alias("reason")).where("reason IS NOT NULL")
 
 
@@ -144,6 +173,22 @@ def credit(rows: DataFrame) -> DataFrame:
     return groups.join(missing, key, "left").withColumn("unfalsified", names).select(*key, status.alias("status"), "live", "twins", "unfalsified")
 
 
+def credit_again(rows: DataFrame, surfaces: DataFrame) -> DataFrame:
+    """The derivation of ``credit`` in another way, by counts per check, for all of ``surfaces`` (surface, lane): those without a row are UNCLAIMED, those with two live rows DUPLICATE."""
+    key = ["surface", "lane"]
+    each = rows.select(*key, "cell", "result", "expected", F.explode("checks").alias("check", "n"), F.size("checks").alias("size"), "checks")
+    as_planted = (F.size("expected") == F.col("size")) & F.forall(F.map_entries("checks"), lambda e: F.try_element_at("expected", e["key"]).eqNullSafe(e["value"]))
+    proof = F.count_if((F.col("cell") == "twin") & (F.col("result") == "RED") & as_planted & (F.col("n") > 0))
+    by_check = each.groupBy(*key, "check").agg(F.count_if(F.col("cell") == "live").alias("live"), proof.alias("proofs")).where("live > 0")
+    open_ = by_check.groupBy(*key).agg(F.array_sort(F.collect_list(F.when(F.col("proofs") == 0, F.col("check")))).alias("open"))
+    counts = rows.groupBy(*key).agg(F.count_if(F.col("cell") == "live").alias("lives"), F.count_if(F.col("cell") == "twin").alias("twins"), F.count_if(F.col("result") == "UNEVALUABLE").alias("out"))
+    all_ = surfaces.select(*key).distinct().join(counts, key, "left").join(open_, key, "left")
+    none = F.array().cast("array<string>")
+    open_checks = F.when(F.coalesce("out", F.lit(0)) == 0, F.coalesce("open", none)).otherwise(none)
+    status = F.when(F.col("lives").isNull(), "UNCLAIMED").when(F.col("lives") > 1, "DUPLICATE").when(F.col("out") > 0, "UNEVALUABLE").when((F.col("lives") == 1) & (F.col("twins") > 0) & (F.size("unfalsified") == 0), "CLAIMABLE").otherwise("PARTIAL")
+    return all_.withColumn("unfalsified", open_checks).select(*key, status.alias("status"), "unfalsified")
+
+
 def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows (surface, lane, in_a, in_b) where two derivations (surface, lane, status, unfalsified) differ, or one lacks a cell."""
     said = lambda df, n: df.select("surface", "lane", F.concat_ws(" ", "status", F.array_join(F.array_sort("unfalsified"), ",")).alias(n))

@@ -1,8 +1,9 @@
 """Verification of a feed as DataFrames: each line is judged where it lies, neighbours meet by window.
 
-A segment's lines are numbered and linked inside the segment; one small row per
-segment (records so far, last hash) links the segments. Only the first fault
-counts, and an earlier line's verdict never depends on a later line.
+A segment (a block of a file) has its lines numbered and linked inside it; one
+small row per segment (records so far, last hash) links the segments. Only the
+first fault counts, and an earlier line's verdict never depends on a later line.
+Lines are classified once a call and written out, as are their faults.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.feed import GENESIS, ChainError, read_lines
+from ..sources.feed import GENESIS, UNFINISHED, ChainError, read_lines
+from ..store import materialize
 
 
 @dataclass
@@ -28,7 +30,7 @@ class VerifiedFeed:
         if seq == 0:
             return "sha256:" + GENESIS
         if not 0 < seq <= self.count:
-            raise ValueError(f"feed: seq {seq} out of range [0,{self.count}]")
+            raise ValueError(f"seq {seq} is not within 0 to {self.count}")
         return "sha256:" + (self.head if seq == self.count else self.records.where(F.col("seq") == seq).first()["line_hash"])
 
 
@@ -52,16 +54,17 @@ def chain_faults(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumns({"want": n, "prev_hash": prev})
     fault = (
         F.when(F.col("class") == "hard", F.col("reason"))
-        .when(F.col("seq") < F.col("want"), F.concat(F.lit("seq "), "seq", F.lit(" is a duplicate of or a regression from an already-accepted seq (have up to "), F.col("want") - 1, F.lit(") — not a gap")))
-        .when(F.col("seq") > F.col("want"), F.concat(F.lit("seq "), "seq", F.lit(" where "), "want", F.lit(" expected (gap)")))
-        .when(F.col("prev") != F.col("prev_hash"), F.lit("prev hash does not match previous line"))
+        .when(F.col("seq") < F.col("want"), F.concat(F.lit("seq "), "seq", F.lit(" comes again after "), F.col("want") - 1, F.lit(" records")))
+        .when(F.col("seq") > F.col("want"), F.concat(F.lit("seq "), "seq", F.lit(" leaves out "), "want"))
+        .when(F.col("prev") != F.col("prev_hash"), F.lit("prev is not the hash of the line before"))
     )
     return rows.withColumn("fault", fault), per
 
 
 def verify(spark: SparkSession, path: str) -> VerifiedFeed:
     """The verified feed at the path; raises FeedNotFound or ChainError."""
-    rows, per = chain_faults(read_lines(spark, path))
+    rows, per = chain_faults(materialize(read_lines(spark, path), "lines"))
+    rows, per = materialize(rows, "records"), materialize(per, "segments")
     first = rows.where("fault IS NOT NULL").agg(F.min(F.struct("segment", "line_no", "seq", "fault")).alias("x")).first()["x"]
     if first:
         raise ChainError(first["seq"], first["fault"])
@@ -72,6 +75,6 @@ def verify(spark: SparkSession, path: str) -> VerifiedFeed:
         last = with_residue[-1]
         later = any(r["n"] for r in segments if r["segment"] > last["segment"]) or (last["last_record"] is not None and last["last_record"] > last["last_residue"])
         if not later:
-            raise ChainError(count + 1, "residue line with no valid record after it — not a torn tail")
+            raise ChainError(count + 1, UNFINISHED)
     head = next((r["last_hash"] for r in reversed(segments) if r["n"]), GENESIS)
     return VerifiedFeed(rows.select("seq", "type", "id", "effective", "payload", "prev", "line_hash"), count, sum(r["residue"] for r in segments), head)

@@ -7,17 +7,22 @@ are corporate actions and amendments. seq is unique and follows the order key.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.money import relieve_column
 from .operators import compare, events as E
 from .operators.fold import fold, positions, refusals, totals
+from .operators.generate import count_true, generated_events, repeated_ids
 from .operators.valuation import unevaluable, value
-from .plans import verdict
+from .plans import properties, verdict
 from .plans.snapshot import applicable, ledger
 from .plans.verify import chain_faults
-from .sources.feed import GENESIS
+from .sources.feed import GENESIS, read_lines
+from .sources.rows import altered_files
+from .store import materialize, shared_dir
 
 _STEP = 100_000
 
@@ -81,7 +86,7 @@ def _points(spark: SparkSession, sf_dir: str, several: bool) -> DataFrame:
 def _folded(spark: SparkSession, sf_dir: str, several: bool = False) -> DataFrame:
     t, points = event_tables(spark, sf_dir), _points(spark, sf_dir, several)
     terms, _ = E.resolve_amendments(E.classify_actions(t["actions"]), t["amendments"], points)
-    return fold(applicable(E.classify_fills(t["fills"]), terms, points))
+    return fold(applicable(E.classify_fills(materialize(t["fills"], "fills")), terms, points))
 
 
 def _valued(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,16 +94,20 @@ def _valued(spark: SparkSession, sf_dir: str) -> DataFrame:
     return value(positions(_folded(spark, sf_dir)), E.latest_prices(E.visible(event_tables(spark, sf_dir)["prices"], points)))
 
 
+def _fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.classify_fills(materialize(event_tables(spark, sf_dir)["fills"], "fills"))
+
+
 def fill_dedupe(spark, sf_dir):
-    return E.classify_fills(event_tables(spark, sf_dir)["fills"]).groupBy("status", F.coalesce("detail", F.lit("")).alias("detail")).agg(F.count("*").alias("n"), F.sum("qty").alias("qty"))
+    return _fills(spark, sf_dir).groupBy("status", F.coalesce("detail", F.lit("")).alias("detail")).agg(F.count("*").alias("n"), F.sum("qty").alias("qty"))
 
 
 def fill_absorbed(spark, sf_dir):
-    return E.classify_fills(event_tables(spark, sf_dir)["fills"]).where("status = 'absorbed'").select("seq", "event_id", "key")
+    return _fills(spark, sf_dir).where("status = 'absorbed'").select("seq", "event_id", "key")
 
 
 def fill_collisions(spark, sf_dir):
-    return E.classify_fills(event_tables(spark, sf_dir)["fills"]).where("status = 'collision'").select("seq", "key", "detail")
+    return _fills(spark, sf_dir).where("status = 'collision'").select("seq", "key", "detail")
 
 
 def latest_price(spark, sf_dir):
@@ -147,10 +156,11 @@ def refusal_kinds(spark, sf_dir):
 
 def reconcile_mismatches(spark, sf_dir):
     """The book against a statement of what the line items say before any event is refused."""
-    held = positions_at_end(spark, sf_dir)
+    folded = _folded(spark, sf_dir)
+    held = positions(folded).drop("viewpoint")
     items = _read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum(F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))).cast("bigint").alias("quantity"))
     told = items.select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("instrument"), "quantity", F.lit(0).cast("bigint").alias("cost_basis"), F.lit(0).alias("ordinal"))
-    cash = totals(_folded(spark, sf_dir)).select(F.col("cash").alias("ledger"), F.lit(0).alias("custodian"))
+    cash = totals(folded).select(F.col("cash").alias("ledger"), F.lit(0).alias("custodian"))
     return compare.mismatches(compare.reconcile(held, told, cash))
 
 
@@ -177,15 +187,19 @@ def chain_verify(spark, sf_dir):
     return chain_faults(rows)[0].where("fault IS NOT NULL").select("seq", "fault")
 
 
-def verdict_credit(spark, sf_dir):
-    """Claims from verdict rows made of event counts: a surface for each event type, twins for each weekday."""
+def _credit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict rows made of event counts: a surface for each event type, twins for each weekday."""
     events = _read(spark, sf_dir, "events").withColumn("lane", F.col("user_id") % 3 + 1)
     checks = lambda *pairs: F.create_map(*[x for k, v in pairs for x in (F.lit(k), v)])
     live = events.groupBy("event_type", "lane").agg(F.count("*").alias("n")).select(F.col("event_type").alias("surface"), "lane", F.lit("live").alias("cell"), F.when(F.col("n") % 11 == 0, "UNEVALUABLE").otherwise("GREEN").alias("result"), checks(("low", F.lit(0).cast("bigint")), ("high", F.lit(0).cast("bigint"))).alias("checks"), F.lit(None).cast("map<string,bigint>").alias("expected"))
     twin = events.groupBy("event_type", "lane", (F.col("user_id") % 4).alias("m")).agg(F.count_if(F.col("value") < 5).alias("low"), F.count_if((F.col("value") > 400) & (F.col("lane") > 1)).alias("high"))
     counts = checks(("low", F.col("low")), ("high", F.col("high")))
     twin = twin.select(F.col("event_type").alias("surface"), "lane", F.lit("twin").alias("cell"), F.when((F.col("low") > 0) | (F.col("high") > 0), "RED").otherwise("GREEN").alias("result"), counts.alias("checks"), F.when(F.col("m") == 0, checks(("low", F.col("low") + 1), ("high", F.col("high")))).otherwise(counts).alias("expected"))
-    return verdict.credit(live.unionByName(twin)).withColumn("unfalsified", F.array_join("unfalsified", ","))
+    return live.unionByName(twin)
+
+
+def verdict_credit(spark, sf_dir):
+    return verdict.credit(_credit_rows(spark, sf_dir)).withColumn("unfalsified", F.array_join("unfalsified", ","))
 
 
 def relieve_cost_table(spark, sf_dir):
@@ -193,6 +207,131 @@ def relieve_cost_table(spark, sf_dir):
     return items.select("cost", "sold", (F.col("sold") + F.col("extra")).alias("held")).where("held > 0").distinct().withColumn("relieved", relieve_column(F.col("cost"), F.col("sold"), F.col("held")))
 
 
+def feed_lines(spark, sf_dir):
+    """Lines of eight kinds, made of the events, written as text and read as a feed: class, reason, seq and hash of each."""
+    kind, n = F.col("event_id") % 8, F.col("event_id").cast("string")
+    record = lambda prev, seq=n, more="": F.concat(F.lit('{"effective":"2026-01-01","id":"e'), n, F.lit('","payload":{"v":'), F.col("user_id").cast("string"), F.lit('},"prev":"' + prev + '","seq":'), seq, F.lit(',"type":"note"' + more + "}"))
+    line = F.when(kind == 0, record(GENESIS)).when(kind == 1, "").when(kind == 2, F.concat(F.lit("not json "), n)).when(kind == 3, F.concat(F.lit('{"id":"e"'), F.lit(',"seq":'), n, F.lit("}"))).when(kind == 4, record(GENESIS, more=',"zz":1'))
+    line = line.when(kind == 5, record("F" * 64)).when(kind == 6, F.regexp_replace(record(GENESIS), "^.", "{ ")).otherwise(record(GENESIS, F.concat(F.lit('"'), n, F.lit('"'))))
+    path = f"{shared_dir(spark)}/feed-lines-{uuid.uuid4().hex}"
+    _read(spark, sf_dir, "events").select(line.alias("line")).write.text(path)
+    none = F.lit("")
+    return read_lines(spark, path).select("class", F.coalesce("reason", none).alias("reason"), F.coalesce("seq", F.lit(-1)).alias("seq"), F.coalesce("line_hash", none).alias("line_hash"))
+
+
+def chain_sequence(spark, sf_dir):
+    """Gaps and repeated numbers of a chain whose links are right."""
+    events = _read(spark, sf_dir, "events").select("event_id", F.sha2(F.col("event_id").cast("string"), 256).alias("h"))
+    before = events.select((F.col("event_id") + 1).alias("event_id"), F.col("h").alias("p"))
+    low = events.agg(F.min("event_id").alias("low"))
+    shift = F.when(F.col("event_id") % 97 == 5, 1).when(F.col("event_id") % 89 == 7, -1).otherwise(0)
+    rows = events.join(before, "event_id", "left").join(F.broadcast(low)).select(
+        F.lpad(F.floor((F.col("event_id") - F.col("low")) / 700).cast("string"), 12, "0").alias("segment"), F.col("event_id").alias("line_no"), F.lit(True).alias("terminated"), F.lit("record").alias("class"),
+        (F.col("event_id") - F.col("low") + 1 + shift).alias("seq"), F.coalesce("p", F.lit(GENESIS)).alias("prev"), F.col("h").alias("line_hash"), F.lit(None).cast("string").alias("reason"),
+    )
+    return chain_faults(rows)[0].where("fault IS NOT NULL").select("seq", "fault")
+
+
+def invalid_events(spark, sf_dir):
+    """Fills and actions of which some are broken in each way a rule names: counts by what the ledger decides."""
+    t = event_tables(spark, sf_dir)
+    bad = lambda c, n, x: F.when(F.col("seq") % n == 0, x).otherwise(F.col(c)).alias(c)
+    fills = t["fills"].withColumns({"qty": bad("qty", 11, 0), "price": bad("price", 13, -1), "side": bad("side", 17, "hold"), "instrument": bad("instrument", 19, None), "key": bad("key", 23, None), "payload_hash": bad("payload_hash", 29, None), "hash_error": F.when(F.col("seq") % 29 == 0, "x")})
+    done = E.classify_fills(materialize(fills, "fills")).select(F.lit("fill").alias("event"), "status", "detail", "seq")
+    part = F.col("seq").cast("bigint")
+    acts = t["actions"].withColumns({"ratio": F.when(F.col("ratio") == 3, 0).otherwise(F.col("ratio")), "rate": F.when(F.col("rate") == 7, -1).otherwise(F.col("rate")), "kind": F.when(F.col("rate") == 50, "merger").otherwise(F.col("kind")), "instrument": F.when(part % 3_700_000 == 95_000, None).otherwise(F.col("instrument"))})
+    acts = acts.unionByName(acts.withColumn("seq", F.col("seq") + 1))
+    done = done.unionByName(E.classify_actions(acts).select(F.lit("action").alias("event"), "status", F.regexp_replace("detail", "duplicate action_id A[0-9]+", "duplicate action_id").alias("detail"), "seq"))
+    return done.groupBy("event", "status", F.coalesce("detail", F.lit("")).alias("detail")).agg(F.count("*").alias("n"), F.sum(F.col("seq") % 1000).alias("seqs"))
+
+
+def valuation_overflow(spark, sf_dir):
+    """Positions whose values leave int64, alone or in sum."""
+    s = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("bigint").alias("k"))
+    book = s.select(F.lit(1).cast("bigint").alias("viewpoint"), F.concat(F.lit("S"), F.col("k").cast("string")).alias("instrument"), (1 + F.col("k") % 7).alias("qty"), (F.col("k") % 3 * 4 * 10**18).alias("total_cost"))
+    prices = s.where("k % 10 <> 0").select(F.lit(1).cast("bigint").alias("viewpoint"), F.concat(F.lit("S"), F.col("k").cast("string")).alias("instrument"), ((1 + F.col("k") % 4) * 10**18).alias("price"), F.col("k").alias("price_seq"))
+    return value(book, prices).select("instrument", F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce("unrealized", F.lit(0)).alias("unrealized"))
+
+
+def generated_positions(spark, sf_dir):
+    """The book of as many generated events as there are line items."""
+    events = generated_events(spark, _read(spark, sf_dir, "lineitem").count())
+    return positions(fold(events)).drop("viewpoint")
+
+
+def holdings_diff(spark, sf_dir):
+    """What changed in the book between a quarter of the ledger and its end."""
+    at = positions(_folded(spark, sf_dir, True))
+    ends = [r["viewpoint"] for r in _points(spark, sf_dir, True).orderBy("viewpoint").collect()]
+    book = lambda v: at.where(F.col("viewpoint") == v).drop("viewpoint")
+    return properties.holdings_diff(book(ends[0]), book(ends[-1]))
+
+
+def property_checks(spark, sf_dir):
+    """The ledger's own checks, each with what it examined."""
+    points, t = _points(spark, sf_dir, False), event_tables(spark, sf_dir)
+    prices = materialize(E.visible(t["prices"], points), "prices")
+    valued = materialize(value(positions(_folded(spark, sf_dir)), E.latest_prices(prices)), "valued")
+    return properties.at_most_once(materialize(_fills(spark, sf_dir), "classified")).union(properties.fail_closed(valued, prices))
+
+
+def _verdict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, sound and broken, made of the events."""
+    e, text = F.col("event_id"), F.lit(None).cast("string")
+    one = lambda key, n: F.create_map(F.lit(key), n.cast("bigint"))
+    twin = e % 2 == 1
+    plant = one("c", e % 4 + F.when(e % 7 == 0, 1).otherwise(0))
+    return _read(spark, sf_dir, "events").select(
+        e.cast("string").alias("file"), F.col("event_type").alias("surface"), (F.col("user_id") % 40).cast("bigint").alias("lane"), F.when(twin, "twin").otherwise("live").alias("cell"),
+        F.when(e % 3 == 0, "GREEN").when(e % 3 == 1, "RED").otherwise("UNEVALUABLE").alias("result"), F.when(e % 5 == 0, "why").otherwise(text).alias("unevaluable_reason"), one("c", e % 4).alias("checks"),
+        F.when(e % 11 == 0, one("d", e % 5)).otherwise(one("c", e % 5)).alias("evaluated"), F.when(twin != (e % 13 == 0), plant).alias("expected"), F.array(F.when(e % 17 == 0, "all PARTIAL here").otherwise("fine")).alias("texts"), F.concat(F.lit("m"), (e % 9).cast("string")).alias("mutation"),
+    )
+
+
+def verdict_row_faults(spark, sf_dir):
+    return verdict.row_faults(_verdict_rows(spark, sf_dir))
+
+
+def verdict_set_faults(spark, sf_dir):
+    return verdict.set_reasons(_verdict_rows(spark, sf_dir).where("CAST(file AS BIGINT) % 10 = 1").withColumn("file", F.lpad("file", 9, "0")))
+
+
+def verdict_expected(spark, sf_dir):
+    """Cells against a list made of the event types: lanes 1 to 39, twins m1 to m8."""
+    rows = _verdict_rows(spark, sf_dir).where("lane < 35")
+    want = rows.select("surface").distinct().select("surface", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(39).cast("bigint"))).alias("lane"), F.array(*[F.lit(f"m{i}") for i in range(9)]).alias("twins"))
+    return verdict.expected_cells(rows, want)
+
+
+def verdict_agreement(spark, sf_dir):
+    """Where two derivations of credit differ: none of a cell with one live row."""
+    rows = _credit_rows(spark, sf_dir)
+    surfaces = rows.select("surface", "lane").union(spark.createDataFrame([("nowhere", 1)], "surface string, lane bigint"))
+    return verdict.agreement(verdict.credit(rows), verdict.credit_again(rows, surfaces)).select("surface", "lane", F.coalesce("in_a", F.lit("-")).alias("in_a"), "in_b")
+
+
+def emitted_rows(spark, sf_dir):
+    """Rows that must not be reported, by reason."""
+    rows = _verdict_rows(spark, sf_dir).select(F.col("file").alias("name"), "cell", "checks", "evaluated", "expected")
+    return properties.emitted(rows).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def altered_pages(spark, sf_dir):
+    """Pages against a list of their hashes in which some are missing, repeated or of other content; line ends don't count."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", F.col("page_id").cast("string").alias("name"), F.coalesce("url", F.lit("")).alias("url"))
+    found = pages.where("page_id % 11 <> 3").select("name", F.concat("url", F.lit("\r\n")).cast("binary").alias("content"))
+    listed = pages.where("page_id % 7 <> 2").select("name", "page_id", F.sha2(F.concat("url", F.when(F.col("page_id") % 5 == 1, "\n\n").otherwise("\n")), 256).alias("sha256"))
+    return altered_files(listed.drop("page_id").union(listed.where("page_id % 13 = 4").drop("page_id")), found)
+
+
+def event_counts(spark, sf_dir):
+    """Named conditions on the events, and how many fills share an id."""
+    events = _read(spark, sf_dir, "events")
+    named = count_true(events, late=F.col("event_id") > 500, paid=F.col("event_type") == "purchase", cheap=F.col("value") < 5)
+    repeated = repeated_ids(_read(spark, sf_dir, "lineitem"), "l_orderkey").agg(F.lit("repeated").alias("name"), F.count("*").alias("n"))
+    return named.union(repeated)
+
+
 _BASE = f"""
 WITH nsup AS (SELECT count(*) AS n FROM supplier), top AS (SELECT max(o_orderkey) + 1 AS t FROM orders),
 li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS rn FROM lineitem),
@@ -221,9 +360,7 @@ ev AS (SELECT viewpoint, instrument, effective, seq, side AS kind, qty, price, c
 
 _BUY, _SELL = "x.k = 'buy'", "(x.k = 'sell' AND x.q <= a.qty)"
 _GONE = "((a.cost * x.q) // greatest(a.qty, 1) + CASE WHEN 2 * ((a.cost * x.q) % greatest(a.qty, 1)) > a.qty OR (2 * ((a.cost * x.q) % greatest(a.qty, 1)) = a.qty AND ((a.cost * x.q) // greatest(a.qty, 1)) % 2 = 1) THEN 1 ELSE 0 END)"
-_FOLD = (
-    _BASE
-    + f"""
+_FOLDED = f"""
 lists AS (SELECT viewpoint, instrument, list({{'k': kind, 's': seq, 'q': coalesce(qty, 0)::HUGEINT, 'p': coalesce(price, 0)::HUGEINT, 't': coalesce(term, 0)::HUGEINT, 'qty': 0::HUGEINT, 'cost': 0::HUGEINT, 'cash': 0::HUGEINT, 'gain': 0::HUGEINT, 'div': 0::HUGEINT, 'over': []::HUGEINT[]}} ORDER BY effective, seq) AS l FROM ev GROUP BY ALL),
 folded AS (SELECT viewpoint, instrument, list_reduce(l, lambda a, x: {{'k': x.k, 's': x.s, 'q': x.q, 'p': x.p, 't': x.t,
   'qty': CASE WHEN {_BUY} THEN a.qty + x.q WHEN {_SELL} THEN a.qty - x.q WHEN x.k = 'split' THEN a.qty * x.t ELSE a.qty END,
@@ -236,17 +373,82 @@ folded AS (SELECT viewpoint, instrument, list_reduce(l, lambda a, x: {{'k': x.k,
 pos AS (SELECT viewpoint, instrument, cast(z.qty AS BIGINT) AS qty, cast(z.cost AS BIGINT) AS total_cost FROM folded WHERE z.qty > 0),
 tot AS (SELECT viewpoint, cast(sum(z.cash) AS BIGINT) AS cash, cast(sum(z.gain) AS BIGINT) AS realized_pnl, cast(sum(z.div) AS BIGINT) AS dividend_income FROM folded GROUP BY viewpoint),
 over AS (SELECT viewpoint, cast(z.over[i] AS BIGINT) AS seq, 'sell ' || z.over[i + 1] || ' exceeds held ' || z.over[i + 2] AS detail FROM folded, unnest(range(1, len(z.over) + 1, 3)) AS u(i)),
-val AS (SELECT pos.*, price, price_seq, cast(qty::HUGEINT * price - total_cost AS BIGINT) AS unrealized FROM pos LEFT JOIN lp USING (viewpoint, instrument))
 """
-)
+_FOLD = _BASE + _FOLDED + "val AS (SELECT pos.*, price, price_seq, cast(qty::HUGEINT * price - total_cost AS BIGINT) AS unrealized FROM pos LEFT JOIN lp USING (viewpoint, instrument))\n"
+_NUMBER = {"instrument": "((seq * 7919 + 13) % 1000003)", "kind": "((seq * 104729 + 7) % 1000003)", "qty": "((seq * 31337 + 3) % 1000003)", "price": "((seq * 27644437 + 11) % 1000003)", "day": "((seq * 611953 + 5) % 1000003)"}
+_GENERATED = f"""
+WITH g AS (SELECT (SELECT count(*) FROM lineitem) AS viewpoint, seq, {_NUMBER['kind']} % 16 AS k FROM range(1, (SELECT count(*) + 1 FROM lineitem)) AS t(seq)),
+ev AS (SELECT viewpoint, 'G' || ({_NUMBER['instrument']} % 50) AS instrument, '2026-' || lpad(cast({_NUMBER['day']} % 12 + 1 AS VARCHAR), 2, '0') AS effective, seq,
+  CASE WHEN k < 9 THEN 'buy' WHEN k < 14 THEN 'sell' WHEN k = 14 AND seq % 997 = 0 THEN 'split' ELSE 'dividend' END AS kind, CASE WHEN k < 14 THEN {_NUMBER['qty']} % 90 + 1 END AS qty, CASE WHEN k < 14 THEN {_NUMBER['price']} % 9000 + 100 END AS price,
+  CASE WHEN k = 14 AND seq % 997 = 0 THEN 2 WHEN k >= 14 THEN {_NUMBER['qty']} % 5 END AS term FROM g),
+""" + _FOLDED
+_ROWS = """WITH r AS (SELECT event_id AS e, event_type AS surface, user_id % 40 AS lane, event_id % 2 = 1 AS twin, CASE event_id % 3 WHEN 0 THEN 'GREEN' WHEN 1 THEN 'RED' ELSE 'UNEVALUABLE' END AS result,
+  event_id % 5 = 0 AS told, event_id % 4 AS c, event_id % 11 = 0 AS other, event_id % 5 AS ev, (event_id % 2 = 1) <> (event_id % 13 = 0) AS planted, event_id % 4 + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS want, 'm' || (event_id % 9) AS mutation FROM events)
+"""
 
 
 def _sql(base: str, several: bool, select: str) -> str:
     return base.replace("__POINTS__", "[1, 2, 4]" if several else "[4]").rstrip().rstrip(",") + "\n" + select
 
 
-QUERIES = {f.__name__: f for f in (fill_dedupe, fill_absorbed, fill_collisions, latest_price, amended_terms, unknown_actions, positions_at_end, positions_at_viewpoints, totals_at_viewpoints, oversell_refusals, valuation, unevaluable_positions, refusal_kinds, reconcile_mismatches, set_symdiff, multiset_symdiff, chain_verify, verdict_credit, relieve_cost_table)}
+QUERIES = {f.__name__: f for f in (feed_lines, chain_sequence, invalid_events, valuation_overflow, generated_positions, holdings_diff, property_checks, verdict_row_faults, verdict_set_faults, verdict_expected, verdict_agreement, emitted_rows, altered_pages, event_counts, fill_dedupe, fill_absorbed, fill_collisions, latest_price, amended_terms, unknown_actions, positions_at_end, positions_at_viewpoints, totals_at_viewpoints, oversell_refusals, valuation, unevaluable_positions, refusal_kinds, reconcile_mismatches, set_symdiff, multiset_symdiff, chain_verify, verdict_credit, relieve_cost_table)}
 ORACLES = {
+    "feed_lines": f"""WITH e AS (SELECT event_id AS n, event_id % 8 AS k, '{{"effective":"2026-01-01","id":"e' || event_id || '","payload":{{"v":' || user_id || '}},"prev":"{GENESIS}","seq":' || event_id || ',"type":"note"}}' AS line FROM events)
+SELECT CASE WHEN k = 0 THEN 'record' WHEN k = 1 THEN 'blank' WHEN k IN (2, 3, 7) THEN 'residue' ELSE 'hard' END AS class, CASE k WHEN 4 THEN 'keys that no record has: zz' WHEN 5 THEN 'prev is no sha256 in lowercase hex' WHEN 6 THEN 'the line differs from its canonical form' ELSE '' END AS reason,
+  CASE WHEN k IN (0, 4, 5, 6) THEN n ELSE -1 END AS seq, CASE WHEN k = 0 THEN sha256(line) ELSE '' END AS line_hash FROM e""",
+    "chain_sequence": """WITH e AS (SELECT row_number() OVER (ORDER BY event_id) AS want, CASE WHEN event_id % 97 = 5 THEN 1 WHEN event_id % 89 = 7 THEN -1 ELSE 0 END AS d FROM events)
+SELECT want + d AS seq, 'seq ' || (want + d) || CASE WHEN d < 0 THEN ' comes again after ' || (want - 1) || ' records' ELSE ' leaves out ' || want END AS fault FROM e WHERE d <> 0""",
+    "invalid_events": _sql(
+        _BASE,
+        False,
+        """, g AS (SELECT seq, CASE WHEN seq % 23 <> 0 THEN key END AS key, CASE WHEN seq % 29 <> 0 THEN h END AS h, qty > 0 AND price > 0 AND seq % 11 <> 0 AND seq % 13 <> 0 AND seq % 17 <> 0 AND seq % 19 <> 0 AS fine FROM f2),
+gw AS (SELECT key, min(seq) AS s0, arg_min(h, seq) AS h0 FROM g WHERE fine AND key IS NOT NULL AND h IS NOT NULL GROUP BY key),
+gd AS (SELECT 'fill' AS event, CASE WHEN g.key IS NULL OR h IS NULL THEN 'malformed' WHEN seq > s0 AND h = h0 THEN 'absorbed' WHEN seq > s0 THEN 'collision' WHEN fine THEN 'applied' ELSE 'malformed' END AS status,
+  CASE WHEN g.key IS NULL THEN 'fill identity fields missing' WHEN h IS NULL THEN 'payload cannot canonicalize: x' WHEN seq > s0 AND h <> h0 THEN 'payload hash mismatch' WHEN NOT coalesce(seq > s0, false) AND NOT fine THEN 'fill fields invalid' ELSE '' END AS detail, seq FROM g LEFT JOIN gw ON g.key = gw.key),
+a0 AS (SELECT seq + d AS seq, d, action_id, seq % 3700000 = 95000 AS blank, kind, ratio, rate FROM actions, unnest([0, 1]) AS u(d)),
+a1 AS (SELECT *, CASE WHEN rate = 50 THEN 'unknown action kind merger' WHEN kind = 'split' AND ratio = 3 THEN 'split ratio must be a whole number >= 1' WHEN kind = 'dividend' AND rate = 7 THEN 'dividend rate must be an integer >= 0' END AS terms FROM a0),
+ad AS (SELECT 'action' AS event, CASE WHEN blank THEN 'action missing action_id/instrument/kind' WHEN d = 1 AND terms IS NULL THEN 'duplicate action_id' ELSE terms END AS detail, seq FROM a1),
+al AS (SELECT event, status, detail, seq FROM gd UNION ALL SELECT event, CASE WHEN detail IS NULL THEN 'applied' ELSE 'malformed' END, coalesce(detail, ''), seq FROM ad)
+SELECT event, status, detail, count(*) AS n, cast(sum(seq % 1000) AS BIGINT) AS seqs FROM al GROUP BY ALL""",
+    ),
+    "valuation_overflow": """WITH p AS (SELECT 'S' || s_suppkey AS i, 1 + s_suppkey % 7 AS q, (s_suppkey % 3 * 4 * 1000000000000000000)::HUGEINT AS c, CASE WHEN s_suppkey % 10 <> 0 THEN ((1 + s_suppkey % 4) * 1000000000000000000)::HUGEINT END AS p FROM supplier),
+v AS (SELECT *, CASE WHEN p IS NULL THEN 'no_price_in_prefix' WHEN q * p > 9223372036854775807 THEN 'valuation_overflow' ELSE '' END AS why, q * p - c AS u FROM p),
+l AS (SELECT list_reduce(list({'i': i, 'u': u, 't': 0::HUGEINT, 'out': []::VARCHAR[]} ORDER BY i), lambda a, x: {'i': x.i, 'u': x.u, 't': CASE WHEN a.t + x.u BETWEEN -9223372036854775808 AND 9223372036854775807 THEN a.t + x.u ELSE a.t END,
+  'out': CASE WHEN a.t + x.u BETWEEN -9223372036854775808 AND 9223372036854775807 THEN a.out ELSE list_concat(a.out, [x.i]) END}, {'i': '', 'u': 0::HUGEINT, 't': 0::HUGEINT, 'out': []::VARCHAR[]}) AS z FROM v WHERE why = '')
+SELECT i AS instrument, CASE WHEN why <> '' THEN why WHEN list_contains(z.out, i) THEN 'valuation_overflow' ELSE '' END AS reason, CASE WHEN why = '' AND NOT list_contains(z.out, i) THEN cast(u AS BIGINT) ELSE 0 END AS unrealized FROM v, l""",
+    "generated_positions": _GENERATED.rstrip().rstrip(",") + "\nSELECT instrument, qty, total_cost FROM pos",
+    "holdings_diff": _sql(
+        _FOLD,
+        True,
+        """, e AS (SELECT min(viewpoint) AS a, max(viewpoint) AS b FROM points), x AS (SELECT pos.* FROM pos, e WHERE viewpoint = a), y AS (SELECT pos.* FROM pos, e WHERE viewpoint = b),
+j AS (SELECT coalesce(x.instrument, y.instrument) AS instrument, x.qty AS qa, y.qty AS qb, x.total_cost AS ca, y.total_cost AS cb FROM x FULL OUTER JOIN y ON x.instrument = y.instrument)
+SELECT * FROM (SELECT instrument, 'presence' AS field, CASE WHEN qa IS NULL THEN 0 ELSE 1 END::BIGINT AS a, CASE WHEN qb IS NULL THEN 0 ELSE 1 END::BIGINT AS b FROM j UNION ALL SELECT instrument, 'qty', qa, qb FROM j UNION ALL SELECT instrument, 'total_cost', ca, cb FROM j) WHERE a <> b""",
+    ),
+    "property_checks": _sql(
+        _FOLD,
+        False,
+        """SELECT 'applied_once' AS "check", 0::BIGINT AS violations, count(DISTINCT key) AS evaluated FROM fills UNION ALL SELECT 'absorbed_equal', 0, count(*) FROM fills WHERE status = 'absorbed' UNION ALL SELECT 'collision_differs', 0, count(*) FROM fills WHERE status = 'collision'
+UNION ALL SELECT 'silent_zero', 0, count(*) FROM pos UNION ALL SELECT 'stale_price', 0, count(*) FROM val WHERE price IS NOT NULL UNION ALL SELECT 'undeclared_unpriced', 0, count(*) FROM pos""",
+    ),
+    "verdict_row_faults": _ROWS
+    + """SELECT cast(e AS VARCHAR) AS file, unnest(list_filter([CASE WHEN lane < 1 THEN 'schema: lane must be >= 1' END, CASE WHEN result = 'UNEVALUABLE' AND NOT told THEN 'UNEVALUABLE needs an unevaluable_reason' END,
+  CASE WHEN result <> 'UNEVALUABLE' AND told THEN 'only UNEVALUABLE has an unevaluable_reason' END, CASE WHEN twin AND NOT planted THEN 'a twin says what was planted' END, CASE WHEN NOT twin AND planted THEN 'live data has nothing planted' END, CASE WHEN other THEN 'checks and evaluated name different checks' END,
+  CASE WHEN result <> 'UNEVALUABLE' AND ev = 0 THEN 'nothing was evaluated, yet the result is not UNEVALUABLE: ' || CASE WHEN other THEN 'd' ELSE 'c' END END, CASE WHEN NOT twin AND result = 'GREEN' AND c > 0 THEN 'GREEN in spite of violations' END, CASE WHEN twin AND result = 'RED' AND c = 0 THEN 'RED without a violation' END,
+  CASE WHEN twin AND result = 'RED' AND planted AND c <> want THEN 'violations differ from those planted' END, CASE WHEN e % 17 = 0 THEN 'holds a word that only crediting may use: all PARTIAL here' END], lambda x: x IS NOT NULL)) AS reason FROM r""",
+    "verdict_set_faults": _ROWS
+    + """, n AS (SELECT *, lpad(cast(e AS VARCHAR), 9, '0') AS file, CASE WHEN twin THEN 'twin' ELSE 'live' END AS cell, surface || ':lane' || lane AS cell_key FROM r WHERE e % 10 = 1),
+m AS (SELECT *, row_number() OVER c AS i, first_value(file) OVER c AS f, row_number() OVER t AS j, first_value(file) OVER t AS g FROM n WINDOW c AS (PARTITION BY surface, lane, cell ORDER BY file), t AS (PARTITION BY surface, lane, cell, mutation ORDER BY file))
+SELECT file, unnest(list_filter([CASE WHEN NOT twin AND i > 1 THEN 'live row of ' || cell_key || ' already in ' || f END, CASE WHEN twin AND j > 1 THEN 'twin ' || mutation || ' of ' || cell_key || ' already in ' || g END, CASE WHEN NOT twin AND result = 'RED' THEN 'look at it: live data fails' END, CASE WHEN twin AND result = 'GREEN' THEN 'look at it: a planted defect went unseen' END], lambda x: x IS NOT NULL)) AS reason FROM m""",
+    "verdict_expected": _ROWS
+    + """, f AS (SELECT surface, lane, coalesce(list_sort(list(DISTINCT mutation) FILTER (WHERE twin)), []) AS found FROM r WHERE lane < 35 GROUP BY ALL), w AS (SELECT surface, lane, ['m0', 'm1', 'm2', 'm3', 'm4', 'm5', 'm6', 'm7', 'm8'] AS want FROM (SELECT DISTINCT surface FROM r WHERE lane < 35), range(1, 40) AS t(lane))
+SELECT * FROM (SELECT surface, lane, CASE WHEN want IS NULL THEN 'nobody expects these rows' WHEN found IS NULL THEN 'rows are missing' WHEN want <> found THEN 'other twins than expected' END AS reason FROM f FULL OUTER JOIN w USING (surface, lane)) WHERE reason IS NOT NULL""",
+    "verdict_agreement": "SELECT 'nowhere' AS surface, 1::BIGINT AS lane, '-' AS in_a, 'UNCLAIMED ' AS in_b",
+    "emitted_rows": _ROWS
+    + """, x AS (SELECT unnest(list_filter([CASE WHEN other OR ev = 0 THEN 'a check examined nothing' END, CASE WHEN NOT twin AND c <> 0 THEN 'live data fails' END, CASE WHEN twin AND c = 0 THEN 'the planted defect goes unseen' END, CASE WHEN twin AND c <> CASE WHEN planted THEN want ELSE 0 END THEN 'other violations than planted' END], lambda x: x IS NOT NULL)) AS reason FROM r)
+SELECT reason, count(*) AS n FROM x GROUP BY reason""",
+    "altered_pages": """SELECT cast(page_id AS VARCHAR) AS name, CASE WHEN page_id % 11 = 3 THEN 'missing' WHEN page_id % 7 = 2 THEN 'unlisted' WHEN page_id % 13 = 4 THEN 'listed twice' ELSE 'altered' END AS reason FROM pages
+WHERE (page_id % 11 = 3 AND page_id % 7 <> 2) OR (page_id % 11 <> 3 AND (page_id % 7 = 2 OR page_id % 13 = 4 OR page_id % 5 = 1))""",
+    "event_counts": "SELECT 'late' AS name, count(*) FILTER (WHERE event_id > 500) AS n FROM events UNION ALL SELECT 'paid', count(*) FILTER (WHERE event_type = 'purchase') FROM events UNION ALL SELECT 'cheap', count(*) FILTER (WHERE value < 5) FROM events UNION ALL SELECT 'repeated', count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1)",
     "fill_dedupe": _sql(_BASE, False, "SELECT status, coalesce(detail, '') AS detail, count(*) AS n, cast(sum(qty) AS BIGINT) AS qty FROM fills GROUP BY ALL"),
     "fill_absorbed": _sql(_BASE, False, "SELECT seq, event_id, key FROM fills WHERE status = 'absorbed'"),
     "fill_collisions": _sql(_BASE, False, "SELECT seq, key, detail FROM fills WHERE status = 'collision'"),
@@ -276,7 +478,7 @@ SELECT instrument, field, ledger, custodian, ledger - custodian AS delta FROM c
     "multiset_symdiff": "SELECT cast(sum(abs(n)) AS BIGINT) AS violations FROM (SELECT l_suppkey, l_linenumber, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE -1 END) AS n FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY ALL)",
     "chain_verify": f"""WITH e AS (SELECT event_id, event_type, sha256(event_id || '|' || user_id || '|' || event_type) AS h, row_number() OVER (ORDER BY event_id) AS want, event_id - min(event_id) OVER () + 1 AS seq FROM events),
 l AS (SELECT e.*, coalesce(lag(h) OVER (ORDER BY event_id), '{GENESIS}') AS ph, CASE WHEN event_type = 'purchase' THEN '{GENESIS}' ELSE coalesce((SELECT h FROM e b WHERE b.event_id = e.event_id - 1), '{GENESIS}') END AS prev FROM e)
-SELECT seq, CASE WHEN seq < want THEN 'seq ' || seq || ' is a duplicate of or a regression from an already-accepted seq (have up to ' || (want - 1) || ') — not a gap' WHEN seq > want THEN 'seq ' || seq || ' where ' || want || ' expected (gap)' ELSE 'prev hash does not match previous line' END AS fault FROM l WHERE seq <> want OR prev <> ph""",
+SELECT seq, CASE WHEN seq < want THEN 'seq ' || seq || ' comes again after ' || (want - 1) || ' records' WHEN seq > want THEN 'seq ' || seq || ' leaves out ' || want ELSE 'prev is not the hash of the line before' END AS fault FROM l WHERE seq <> want OR prev <> ph""",
     "verdict_credit": """WITH live AS (SELECT event_type AS surface, user_id % 3 + 1 AS lane, CASE WHEN count(*) % 11 = 0 THEN 'UNEVALUABLE' ELSE 'GREEN' END AS live FROM events GROUP BY ALL),
 tw AS (SELECT event_type AS surface, user_id % 3 + 1 AS lane, user_id % 4 AS m, count(*) FILTER (WHERE value < 5) AS low, count(*) FILTER (WHERE value > 400 AND user_id % 3 + 1 > 1) AS high FROM events GROUP BY ALL),
 t AS (SELECT surface, lane, count(*) AS twins, coalesce(bool_or(m <> 0 AND low > 0), false) AS lo, coalesce(bool_or(m <> 0 AND high > 0), false) AS hi FROM tw GROUP BY ALL)

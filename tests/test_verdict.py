@@ -1,3 +1,5 @@
+import pytest
+
 from tallyfeed.plans.verdict import SCHEMA_NAME, agreement, credit, expected_cells, row_reasons, set_reasons
 
 
@@ -20,9 +22,9 @@ def test_refused_rows():
     cases = [
         ("root", [], "row must be object"), ("missing", row(scope=...), "missing required field scope"), ("unknown", row(zz=1), "unknown field zz"), ("pattern", row(surface="S"), "surface must match"),
         ("lane", row(lane=0), "lane must be >= 1"), ("type", row(lane="1"), "lane must be integer"), ("empty", row(checks={}, evaluated={}), "at least 1 key"), ("float", row(evaluated={"c": 1.5}), "evaluated.c must be integer"),
-        ("reason", row(result="UNEVALUABLE"), "required when"), ("no reason", row(unevaluable_reason="x"), "forbidden unless"), ("plant", row(planted={"mutation": "m", "mutated_rows": 1, "expected_violations": {}}), "forbidden on live"),
-        ("twin", row(cell="twin", result="RED", checks={"c": 1}), "planted required"), ("keys", row(evaluated={"d": 1}), "keys must equal"), ("zero", row(evaluated={"c": 0}), "forces UNEVALUABLE (c)"),
-        ("live", row(checks={"c": 1}), "must be RED"), ("none", twin(0), "must not be RED"), ("count", twin(2, 1), "match the plant"), ("word", row(params={"k": [{"CLAIMABLE": 1}]}), "status literal"),
+        ("reason", row(result="UNEVALUABLE"), "needs an"), ("no reason", row(unevaluable_reason="x"), "only UNEVALUABLE"), ("plant", row(planted={"mutation": "m", "mutated_rows": 1, "expected_violations": {}}), "nothing planted"),
+        ("twin", row(cell="twin", result="RED", checks={"c": 1}), "what was planted"), ("keys", row(evaluated={"d": 1}), "different checks"), ("zero", row(evaluated={"c": 0}), "not UNEVALUABLE: c"),
+        ("live", row(checks={"c": 1}), "in spite of"), ("none", twin(0), "without a violation"), ("count", twin(2, 1), "those planted"), ("word", row(params={"k": [{"CLAIMABLE": 1}]}), "only crediting"),
     ]
     for name, bad, why in cases:
         assert any(why in r for r in row_reasons(bad)), (name, row_reasons(bad))
@@ -30,9 +32,9 @@ def test_refused_rows():
 
 def test_sets_and_credit(spark):
     cells = spark.createDataFrame([("a", "s", 1, "live", "GREEN", None), ("b", "s", 1, "live", "RED", None), ("c", "s", 1, "twin", "RED", "m"), ("d", "s", 1, "twin", "GREEN", "m")], "file string, surface string, lane int, cell string, result string, mutation string")
-    assert {(r["file"], r["reason"].split(" ")[0]) for r in set_reasons(cells).collect()} == {("b", "second"), ("b", "live"), ("d", "duplicate"), ("d", "twin")}
+    assert {(r["file"], r["reason"].split(" ")[0]) for r in set_reasons(cells).collect()} == {("b", "live"), ("b", "look"), ("d", "twin"), ("d", "look")}
     want = spark.createDataFrame([("s", 1, ["m", "n"]), ("t", 1, [])], "surface string, lane int, twins array<string>")
-    assert {tuple(r) for r in expected_cells(cells, want).collect()} == {("s", 1, "twin mutation set differs"), ("t", 1, "expected cell has no rows")}
+    assert {tuple(r) for r in expected_cells(cells, want).collect()} == {("s", 1, "other twins than expected"), ("t", 1, "rows are missing")}
     rows = spark.createDataFrame(
         [
             ("p", 1, "live", "GREEN", {"x": 0, "y": 0}, None), ("p", 1, "twin", "RED", {"x": 1, "y": 0}, {"x": 1, "y": 0}), ("p", 1, "twin", "RED", {"x": 0, "y": 2}, {"x": 0, "y": 1}),
@@ -43,3 +45,25 @@ def test_sets_and_credit(spark):
     done = credit(rows)
     assert {(r["surface"], r["status"], r["twins"], tuple(r["unfalsified"])) for r in done.collect()} == {("p", "PARTIAL", 2, ("y",)), ("q", "CLAIMABLE", 1, ()), ("r", "UNEVALUABLE", 0, ()), ("s", "PARTIAL", 0, ("x",))}
     assert agreement(done, done).count() == 0 and agreement(done, done.where("surface <> 'q'")).count() == 1
+
+
+def test_strict_rows(spark, tmp_path):
+    from tallyfeed.sources.rows import read_rows
+
+    with pytest.raises(Exception):
+        read_rows(spark, str(tmp_path / "none"))
+    for name, text in {"a": '{"x":1,"y":[{"z":2}]}', "b": '{"x":1,"x":2}', "c": "[1]", "d": "{", "e": '{"y":{"z":1,"z":1}}', "f": "\xff"}.items():
+        (tmp_path / f"{name}.json").write_bytes(text.encode("latin-1"))
+    got = {r["file"][-6]: (r["row"], r["reason"]) for r in read_rows(spark, str(tmp_path)).collect()}
+    assert got == {"a": ('{"x": 1, "y": [{"z": 2}]}', None), "b": (None, "a key is repeated"), "c": (None, "not an object"), "d": (None, "not JSON"), "e": (None, "a key is repeated"), "f": (None, "not JSON")}
+
+
+def test_table_rules_agree(spark):
+    """row_faults finds in a table what row_reasons finds in single rows."""
+    from tallyfeed.plans.verdict import row_faults
+
+    cases = [row(), twin(), row(result="UNEVALUABLE"), row(unevaluable_reason="x"), row(evaluated={"d": 1}), row(evaluated={"c": 0}), row(checks={"c": 1}), twin(0), twin(2, 1), row(scope="all UNCLAIMED"), row(lane=0), twin(surface="s-2")]
+    flat = [(str(i), r["lane"], r["cell"], r["result"], r.get("unevaluable_reason"), r["checks"], r["evaluated"], r["planted"]["expected_violations"] if "planted" in r else None, [r["scope"], r["surface"]]) for i, r in enumerate(cases)]
+    table = spark.createDataFrame(flat, "file string, lane bigint, cell string, result string, unevaluable_reason string, checks map<string,bigint>, evaluated map<string,bigint>, expected map<string,bigint>, texts array<string>")
+    got = {(r["file"], r["reason"]) for r in row_faults(table).collect()}
+    assert got == {(str(i), why) for i, r in enumerate(cases) for why in row_reasons(r)}
