@@ -1,9 +1,10 @@
 """Streaming: a feed's arriving events keep positions current.
 
 An event that arrives late (by effective date) or an amendment restates history,
-so each micro-batch appends its events to the event table and folds the touched
-instruments anew from it; others keep their rows. Written for foreachBatch: a
-batch that is replayed writes the same rows again.
+so each micro-batch appends its events to the event table, folds the touched
+instruments anew from it and writes their positions under its number; others keep
+their rows. Written for foreachBatch: a batch that is replayed writes the same rows
+again.
 """
 
 from __future__ import annotations
@@ -14,15 +15,28 @@ from pyspark.sql import functions as F
 from ..operators.fold import EVENT_COLUMNS, fold, positions
 
 
-def upsert(events_path: str):
-    """A foreachBatch function that stores a micro-batch of fold events by batch id."""
+def upsert(events_path: str, positions_path: str | None = None):
+    """A foreachBatch function that stores a micro-batch of fold events by batch id, and the positions of what it touches."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.select(*EVENT_COLUMNS).write.mode("overwrite").parquet(f"{events_path}/batch={batch_id:012d}")
+        part = f"batch={batch_id:012d}"
+        batch.select(*EVENT_COLUMNS).write.mode("overwrite").parquet(f"{events_path}/{part}")
+        if positions_path:
+            stored = batch.sparkSession.read.parquet(events_path)
+            touched = stored.where(F.col("batch") == batch_id).select("viewpoint", "instrument").distinct()
+            # an instrument that is sold off has a row of zero
+            rows = touched.join(current_positions(stored, touched), ["viewpoint", "instrument"], "left").na.fill(0)
+            rows.write.mode("overwrite").parquet(f"{positions_path}/{part}")
 
     return write
 
 
+def latest_positions(written: DataFrame) -> DataFrame:
+    """The book, of the positions that ``start`` has written: each instrument's row of its last batch."""
+    last = written.groupBy("viewpoint", "instrument").agg(F.max_by(F.struct("qty", "total_cost"), "batch").alias("x"))
+    return last.select("viewpoint", "instrument", "x.*").where("qty > 0")
+
+
 def current_positions(events: DataFrame, touched: DataFrame | None = None) -> DataFrame:
     """Positions of the instruments in ``touched`` (all, if None), from every event stored so far."""
     if touched is not None:
@@ -30,8 +44,8 @@ def current_positions(events: DataFrame, touched: DataFrame | None = None) -> Da
     return positions(fold(events))
 
 
-def start(stream: DataFrame, events_path: str, checkpoint: str):
-    return stream.writeStream.foreachBatch(upsert(events_path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def start(stream: DataFrame, events_path: str, checkpoint: str, positions_path: str | None = None):
+    return stream.writeStream.foreachBatch(upsert(events_path, positions_path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def tumbling_volume(stream: DataFrame, late: str = "2 days", width: str = "1 day") -> DataFrame:

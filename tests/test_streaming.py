@@ -1,19 +1,20 @@
 from tallyfeed.operators.fold import fold, positions
-from tallyfeed.streaming.positions import current_positions, start, tumbling_volume
+from tallyfeed.streaming.positions import current_positions, latest_positions, start, tumbling_volume
 
 EVENTS = "viewpoint bigint, instrument string, effective string, seq bigint, kind string, qty bigint, price bigint, term bigint"
 
 
 def test_late_events_restate(spark, tmp_path):
     source, kept = str(tmp_path / "in"), str(tmp_path / "kept")
-    batches = [[(9, "A", "2", 1, "buy", 5, 10, None), (9, "B", "1", 2, "buy", 1, 1, None)], [(9, "A", "1", 3, "buy", 2, 3, None), (9, "A", "3", 4, "sell", 3, 20, None)]]
+    batches = [[(9, "A", "2", 1, "buy", 5, 10, None), (9, "B", "1", 2, "buy", 1, 1, None)], [(9, "A", "1", 3, "buy", 2, 3, None), (9, "A", "3", 4, "sell", 3, 20, None), (9, "B", "2", 5, "sell", 1, 1, None)]]
     for rows in batches:
         spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(source)
-        q = start(spark.readStream.schema(EVENTS).parquet(source), kept, str(tmp_path / "check"))
+        q = start(spark.readStream.schema(EVENTS).parquet(source), kept, str(tmp_path / "check"), str(tmp_path / "book"))
         q.awaitTermination()
     stored = spark.read.parquet(kept)
     want = {tuple(r) for r in positions(fold(spark.createDataFrame(sum(batches, []), EVENTS))).collect()}
     assert {tuple(r) for r in current_positions(stored).collect()} == want
+    assert {tuple(r) for r in latest_positions(spark.read.parquet(str(tmp_path / "book"))).collect()} == want
     assert {r["instrument"] for r in current_positions(stored, spark.createDataFrame([(9, "A")], "viewpoint bigint, instrument string")).collect()} == {"A"}
 
 
