@@ -7,8 +7,10 @@ keeps an operator's column names apart from the input's.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,6 +98,17 @@ def produce(df: DataFrame, fn: Callable, out: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def sum_blocks(batches):
+    """Rows (block, data) of compressed int64 arrays, summed by block."""
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for block, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            x = np.frombuffer(zlib.decompress(data.as_py()), "<i8")
+            sums[block] = sums[block] + x if block in sums else x
+    if sums:
+        yield {"block": list(sums), "data": [zlib.compress(x.tobytes(), 1) for x in sums.values()]}
+
+
 class HashCache(dict):
     """64-bit hashes of words; forgets all beyond ``limit`` words, so memory stays bounded."""
 

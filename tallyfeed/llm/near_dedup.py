@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import block_of, blocks_for, build
-from .common import SLICE_ROWS, HashCache, Plain, map_rows, materialize, produce
+from .common import SLICE_ROWS, HashCache, Plain, map_rows, materialize, produce, sum_blocks
 from .substring_dedup import _mix, _powers
 
 HASHES = 64
@@ -59,7 +59,7 @@ DENSE = 0.6
 MISS, MISS_BY_MINIMA = 1e-4, 1e-7
 #: Classes of a shingle's group that one task compares with as many others.
 BLOCK = 512
-CELLS = 1 << 16
+CELLS, TALLY_BLOCKS = 1 << 16, 8
 _NO_ID = 1 << 62
 
 
@@ -347,15 +347,16 @@ def _cell(s: np.ndarray) -> np.ndarray:
 
 
 def _tally(k: int):
-    """(at, n): how many shingles fall into each cell."""
+    """(block, data): how many shingles fall into each cell, as compressed arrays of a task's counts."""
 
     def run(batches):
-        cells = np.zeros(CELLS, np.int64)
+        cells, some = np.zeros(CELLS, np.int64), False
         for _, s in _sets_of(batches, k):
+            some = True
             np.add.at(cells, _cell(s), 1)
-        at = np.flatnonzero(cells)
-        for lo in range(0, len(at), 10000):
-            yield {"at": at[lo : lo + 10000], "n": cells[at[lo : lo + 10000]]}
+        if some:
+            parts = cells.reshape(TALLY_BLOCKS, -1)
+            yield {"block": list(range(TALLY_BLOCKS)), "data": [zlib.compress(x.astype("<i8").tobytes(), 1) for x in parts]}
 
     return run
 
@@ -383,10 +384,13 @@ def _prefixes(k: int, num: int, den: int, shared):
 
 def _prefix_rows(texts: DataFrame, k: int, threshold: tuple[int, int]) -> DataFrame:
     """(token, id, n, rest): prefix shingles that several classes have. Any order of shingles is right, rare first is fast; it comes from counts in CELLS cells."""
-    found = produce(texts, _tally(k), "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    cells = np.zeros(CELLS, np.int64)
-    cells[found["at"].to_numpy()] = found["n"].to_numpy()
-    shared = texts.sparkSession.sparkContext.broadcast(cells)
+    out = "block int, data binary"
+    parts = produce(texts, _tally(k), out).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16)))
+    halves = produce(parts.repartition("block", "salt").select("block", "data"), sum_blocks, out)
+    cells = np.zeros((TALLY_BLOCKS, CELLS // TALLY_BLOCKS), np.int64)
+    for r in produce(halves.repartition("block"), sum_blocks, out).collect():  # a row per block and task: CELLS numbers
+        cells[r["block"]] += np.frombuffer(zlib.decompress(r["data"]), "<i8")
+    shared = texts.sparkSession.sparkContext.broadcast(cells.reshape(-1))
     rows = materialize(produce(texts, _prefixes(k, *threshold, shared), "token bigint, id bigint, n bigint, rest bigint"), "prefixes")
     several = rows.groupBy("token").agg(F.count("*").alias("of")).where("of > 1")
     return materialize(rows.join(several.select("token"), "token"), "prefixes")

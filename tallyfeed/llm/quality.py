@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Plain, map_rows, produce
+from .common import Plain, map_rows, produce, sum_blocks
 from .substring_dedup import _mix
 
 BUCKETS, SHAPES, DIM, NONZERO = 8192, 1024, 32, 4
@@ -96,22 +96,12 @@ def _accumulate(batches):
     yield {"block": list(range(len(total))), "data": [zlib.compress(x.astype("<i8").tobytes(), 1) for x in total]}
 
 
-def _sum_blocks(batches):
-    sums: dict[int, np.ndarray] = {}
-    for b in batches:
-        for block, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            x = np.frombuffer(zlib.decompress(data.as_py()), "<i8")
-            sums[block] = sums[block] + x if block in sums else x
-    if sums:
-        yield {"block": list(sums), "data": [zlib.compress(x.tobytes(), 1) for x in sums.values()]}
-
-
 def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     """BUCKETS x DIM unit word vectors from all documents."""
     out = "block int, data binary"
     parts = produce(docs.select(F.col(text).cast("binary")), _accumulate, out).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16)))
-    halves = produce(parts.repartition("block", "salt").select("block", "data"), _sum_blocks, out)
-    sums = produce(halves.repartition("block"), _sum_blocks, out).collect()  # a row per block and task: BUCKETS x DIM numbers
+    halves = produce(parts.repartition("block", "salt").select("block", "data"), sum_blocks, out)
+    sums = produce(halves.repartition("block"), sum_blocks, out).collect()  # a row per block and task: BUCKETS x DIM numbers
     vectors = np.zeros((BUCKETS // BLOCK, BLOCK * DIM))
     for r in sums:
         vectors[r["block"]] += np.frombuffer(zlib.decompress(r["data"]), "<i8")
