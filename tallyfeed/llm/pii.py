@@ -329,17 +329,17 @@ def _free(df: DataFrame, good: str, base: str) -> DataFrame:
     end = F.transform("both", lambda x: F.when(x["own"] == 0, x["e"]).otherwise(0))
     begin = F.transform(F.reverse("both"), lambda x: F.when(x["own"] == 0, x["s"]).otherwise(2**31 - 1))
     df = df.select("*", end.alias("ends"), begin.alias("begins"))
-    df = df.select("*", F.when(F.size(good) > 0, running("ends", "greatest({a}, {v})")).alias("upto"), F.when(F.size(good) > 0, F.reverse(running("begins", "least({a}, {v})", 2**31 - 1))).alias("from"))
-    kept = F.filter("both", lambda x, i: (x["own"] == 1) & (F.get("upto", i) <= x["s"]) & (F.get("from", i) >= x["e"]))
-    kept = F.transform(kept, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), x["score"].alias("score")))
-    return df.select("*", F.coalesce(kept.cast(_SCORED), F.array().cast(_SCORED)).alias("free")).drop("both", "ends", "begins", "upto", "from")
+    df = df.select("*", F.when(F.size(good) > 0, running("ends", "greatest({a}, {v})")).alias("upto"), F.when(F.size(good) > 0, F.reverse(running("begins", "least({a}, {v})", 2**31 - 1))).alias("next"))
+    # zipped: an array that a lambda looks into may be made anew for each element
+    kept = F.expr("transform(filter(arrays_zip(both, upto, next), z -> z.both.own = 1 AND z.upto <= z.both.s AND z.next >= z.both.e), z -> named_struct('s', z.both.s, 'e', z.both.e, 'kind', z.both.kind, 'score', z.both.score))")
+    return df.select("*", F.coalesce(kept.cast(_SCORED), F.array().cast(_SCORED)).alias("free")).drop("both", "ends", "begins", "upto", "next")
 
 
 def _best(df: DataFrame) -> DataFrame:
     """df with ``added``: of the spans of ``free`` that overlap, the best scored (the longer, the earlier); spans that hang together by overlaps are chosen from best to worst."""
     df = df.select("*", F.transform("free", lambda x: x["e"]).alias("ends"))
     df = df.select("*", running("ends", "greatest({a}, {v})").alias("upto"))
-    first = F.filter(F.transform("free", lambda x, i: F.when(x["s"] >= F.get("upto", i), i)), lambda i: i.isNotNull())
+    first = F.expr("filter(transform(arrays_zip(free, upto), (z, i) -> CASE WHEN z.free.s >= z.upto THEN i END), i -> i IS NOT NULL)")
     df = df.select("*", first.alias("first"))
     run = _between("free", "a", "coalesce(get(first, k + 1), size(free))")
     ranked = f"array_sort(transform({run}, x -> named_struct('minus', -x.score, 'short', x.s - x.e, 's', x.s, 'e', x.e, 'kind', x.kind)))"
