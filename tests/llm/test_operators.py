@@ -474,7 +474,7 @@ def test_pii_precision_and_recall(spark):
 
     templates = [
         "{w}; <email:{w}.{w}@{w}.io>; {w}", "send to <email:{w} [at] {w} [dot] com>, {w}", "ping <ip:{b1}.{b1}.{b1}.{b1}> {w}", "{w} paid with <card:{l}>; {w}", "{w} - <card:{l}> - {w}",
-        "tel. <phone:({3}) {3}-{4}> {w}", "phone: <phone:{3}-{3}-{4}> {w}", "<phone:+33 1 {4} {4}>, {w}", "'<secret:password = {h}{h}>' {w}", "{w}; <secret:AKIA{k}>; {w}", "{w}, <secret:api_key={h}{h}{h}> {w}",
+        "tel. <phone:({3}) {3}-{4}> {w}", "phone: <phone:{3}-{3}-{4}> {w}", "<phone:+33 1 {4} {4}>, {w}", "(<secret:password = {h}{h}>) {w}", "{w}; <secret:AKIA{k}>; {w}", "{w}, <secret:api_key={h}{h}{h}> {w}",
         "{w} looked at {w}.{w}", "{w} at {w} dot the {w}", "order no {x}; {w}", "{w} isbn {x} {w}", "{w} page {3}-{3}-{4} {w}", "version {3}.{3}.{4}; {w}", "{w} token: {w}{w}{w}; {w}", "{w} has {x} {w}", "section 9{2}.{1}.{1}.{1} {w}",
     ]
     examples = example_texts(templates, 1000, 77)
