@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import prefix_tree, read_back
-from .common import read_table
+from .common import read_table, shared_dir
 from .decontaminate import decontaminate
+from .divergence import divergence
 from .near_dedup import near_duplicates
 from .packing import pack
 from .pii import find_pii
 from .quality import score_quality
+from .repair import damage, repair, repaired_digests
 from .substring_dedup import remove_repeats
 from .token_counts import length_histogram, suffix_sums
 from .tokens import tokenizer_path
 from .topk import top_k
 from .url_filter import filter_urls
+from .warc import archived_pages, normalise, plan_records, read_archives, write_archives
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +87,24 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs, keep=["doc_id"]).drop("kept_text")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    whole = write_archives(plan_records(read_table(spark, sf_dir, "pages")), f"{folder}/whole")
+    normalise(spark, whole, f"{folder}/members")
+    return archived_pages(read_archives(spark, f"{folder}/members"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = read_table(spark, sf_dir, "conversations")
+    faults, edits = repair(damage(told), told.select("conv_id"))
+    digests = repaired_digests(faults, edits).withColumnRenamed("conv_id", "of")
+    return edits.join(digests, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(read_table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS x FROM d, unnest(range(1, greatest(len(w) - 1, 2))) AS t(i) WHERE len(w) > 0),
@@ -154,6 +177,59 @@ SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, cast(coalesce(len(xs), 0) AS B
 FROM d LEFT JOIN gl USING (r) LEFT JOIN kept USING (r)
 """
 
+OP11_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), g AS (SELECT *, strlen(html) AS n, row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST) AS i, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN n >= 1000 AND i > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND i > 1 THEN top END AS refers_to FROM g
+"""
+
+
+def _op12_sql() -> str:
+    """The same edits layer by layer: after each turn, the least (cost c, audit a) of each state (z: start, s, u, a)."""
+    plus = lambda x, cost, letters: f"{{'c': {x}.c + {cost}, 'a': {x}.a || '{letters}'}}"
+    never = "{'c': 1000000000::BIGINT, 'a': '~'}"
+    take = lambda x, initial: f"CASE WHEN r.f IN ('b', 'd') THEN {never} WHEN r.r = '{initial}' THEN {plus(x, 'r.t', 'K')} WHEN '{initial}' = 's' THEN {never} ELSE {plus(x, '3 + r.t', 'R')} END"
+    gone = lambda x: plus(x, 4, "D")
+    # what each state is after the turn; then with insertions
+    after = f"{{'z': {gone('q.z')}, 's': least({gone('q.s')}, {take('q.z', 's')}), 'u': least({gone('q.u')}, {take('q.z', 'u')}, {take('q.s', 'u')}, {take('q.a', 'u')}), 'a': least({gone('q.a')}, {take('q.u', 'a')})}}"
+    widened = f"list_transform([{after}], lambda w: {{'r': '', 'f': '', 't': 0::BIGINT, 'z': w.z, 's': w.s, 'u': least(w.u, {plus('w.z', 3, 'I')}, {plus('w.s', 3, 'I')}, {plus('w.a', 3, 'I')}), 'a': least(w.a, {plus('w.u', 3, 'I')}, {plus('w.z', 6, 'II')}, {plus('w.s', 6, 'II')})}})[1]"
+    first = f"{{'r': '', 'f': '', 't': 0::BIGINT, 'z': {{'c': 0::BIGINT, 'a': ''}}, 's': {never}, 'u': {{'c': 3::BIGINT, 'a': 'I'}}, 'a': {{'c': 6::BIGINT, 'a': 'II'}}}}"
+    due = "CASE WHEN p.st = 'u' THEN 'assistant' ELSE 'user' END"
+    walk = f"""{{'l': '', 'j': CASE WHEN x.l = 'I' THEN p.j ELSE p.j + 1 END, 'st': CASE x.l WHEN 'D' THEN p.st WHEN 'K' THEN left(roles[p.j + 1], 1) ELSE left({due}, 1) END,
+    'o': CASE x.l WHEN 'D' THEN p.o WHEN 'K' THEN list_append(p.o, roles[p.j + 1] || ':' || texts[p.j + 1]) WHEN 'I' THEN list_append(p.o, {due} || ':') ELSE list_append(p.o, {due} || ':' || texts[p.j + 1]) END}}"""
+    return rf"""
+WITH o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(cast(conv_id AS VARCHAR), ' ') || ':' || coalesce(cast(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_transform(string_split(k, ''), lambda c: cast(ascii(c) AS BIGINT)), lambda a, b: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(a, b)), 4294967295), 4294967295) % 20 AS d FROM o),
+g AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM h, unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS t(i)),
+s AS (SELECT *, row_number() OVER w AS i FROM g WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS two FROM s),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN nth > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS fault FROM r),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+  count(*) FILTER (WHERE two NOT IN ('su', 'ua', 'au')) AS illegal, list(role ORDER BY i) AS roles, list(text ORDER BY i) AS texts,
+  list({{'r': left(role, 1), 'f': fault, 't': CASE WHEN fault = 't' THEN 3 ELSE 0 END::BIGINT, 'z': {never}, 's': {never}, 'u': {never}, 'a': {never}}} ORDER BY i) AS turns FROM f GROUP BY conv_id),
+e AS (SELECT *, list_reduce(turns, lambda q, r: {widened}, {first}) AS z FROM n),
+b AS (SELECT *, least(z.z, z.a) AS best FROM e),
+x AS (SELECT *, list_reduce(list_transform(string_split(best.a, ''), lambda c: {{'l': c, 'j': 0::BIGINT, 'st': '', 'o': []::VARCHAR[]}}), lambda p, x: {walk}, {{'l': '', 'j': 0::BIGINT, 'st': '', 'o': []::VARCHAR[]}}).o AS told FROM b)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(told, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN x ON c.conv_id IS NOT DISTINCT FROM x.conv_id
+"""
+
+
+OP12_SQL = _op12_sql()
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT lang, source, r, term, count(*) AS n FROM (SELECT lang, source, r, unnest(w) AS term FROM d) GROUP BY ALL),
+k AS MATERIALIZED (SELECT lang, term, sum(n) AS ln FROM t GROUP BY ALL HAVING count(*) >= 10),
+v AS MATERIALIZED (SELECT lang, count(*) AS v, sum(ln) AS total FROM k GROUP BY lang),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+c AS MATERIALIZED (SELECT g.lang, g.source, k.term, ln, coalesce(n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN (SELECT lang, source, term, sum(n) AS n FROM t GROUP BY ALL) s ON s.lang = g.lang AND s.source = g.source AND s.term = k.term),
+p AS MATERIALIZED (SELECT c.*, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v.v) AS p, 1 + (1000000000::HUGEINT * (ln + 2)) // (v.total + 2 * v.v) AS q FROM c JOIN v USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, cast(value AS BIGINT) AS value, cast(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x) WHERE part = 'pair' OR rank <= 10
+"""
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_near_dedup": op2_near_dedup,
@@ -165,5 +241,8 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_pii": op10_pii,
+    "op11_warc": op11_warc,
+    "op12_repair": op12_repair,
+    "op13_divergence": op13_divergence,
 }
-ORACLES = {"op1_chat_format": OP1_SQL, "op2_near_dedup": OP2_SQL, "op6_topk": OP6_SQL, "op7_url_filter": OP7_SQL, "op8_decontaminate": OP8_SQL, "op9_substring_dedup": OP9_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op2_near_dedup": OP2_SQL, "op6_topk": OP6_SQL, "op7_url_filter": OP7_SQL, "op8_decontaminate": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op11_warc": OP11_SQL, "op12_repair": OP12_SQL, "op13_divergence": OP13_SQL}
