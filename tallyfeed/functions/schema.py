@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_TYPES = {"string": T.StringType, "bigint": T.LongType, "boolean": T.BooleanType}
+_TYPES = {"string": T.StringType, "bigint": T.LongType, "boolean": T.BooleanType, "binary": T.BinaryType}
 
 
 def flat(fields: str) -> T.StructType:

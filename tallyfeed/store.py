@@ -41,3 +41,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def open_path(path: str):
+    """(pyarrow file system, path in it) of a Hadoop-style path or URI, for tasks that read or write files themselves."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "file:///" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
