@@ -30,64 +30,65 @@ of any name, are ignored. Ties rank by item in order of UTF-8.
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Plain, materialize, produce
 
-TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-_BREAK = re.compile(r"[\x00-\x40\x5B-\x60\x7B-\x7F]")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: What a term's UTF-8 bytes become: ASCII letters in lower case, bytes beyond ASCII as they are, all others a space.
+TERM_BYTES = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SCALE, PRIOR = 10**9, 2
-#: Distinct (group, term) counts, and distinct cells, that a task holds before it hands them on.
-HELD = 400_000
-#: Characters of a text that are words at once.
+#: Distinct (group, term) counts, and distinct cells, that a task holds before it hands them on: some 120 bytes each.
+HELD = 1_000_000
+#: Bytes of a text that are words at once.
 PIECE = 1 << 20
 #: (group, term) rows that are paired at once.
 ROWS_AT_ONCE = 1 << 16
 
 
-def pieces(text: str):
-    """The text, cut between terms into parts of about ``PIECE`` characters."""
+def pieces(text: bytes):
+    """The text, cut between terms into parts of about ``PIECE`` bytes."""
     lo = 0
     while len(text) - lo > PIECE:
-        cut = _BREAK.search(text, lo + PIECE)
-        if cut is None:
+        cut = text.find(b" ", lo + PIECE)
+        if cut < 0:
             break
-        yield text[lo : cut.start()]
-        lo = cut.start()
-    yield text[lo:]
+        yield text[lo:cut]
+        lo = cut
+    yield text[lo:] if lo else text
 
 
 def _count(batches):
-    counts: dict[tuple, Counter] = defaultdict(Counter)
-    docs: dict[tuple, Counter] = defaultdict(Counter)
-    held = 0
+    # (lang, source) -> term -> occurrences, and documents times 2^40
+    counts: dict[tuple, dict[bytes, int]] = defaultdict(dict)
+    held = rows = size = 0
 
     def flush():
-        rows = [(*group, term, n, docs[group][term]) for group, of in counts.items() for term, n in of.items()]
-        for lo in range(0, len(rows), 50_000):
-            yield dict(zip(("lang", "source", "term", "n", "docs"), map(list, zip(*rows[lo : lo + 50_000], strict=True)), strict=True))
+        for (lang, source), of in counts.items():
+            terms, packed = list(of), np.fromiter(of.values(), np.int64, len(of))
+            for lo in range(0, len(terms), 50_000):
+                part, n = terms[lo : lo + 50_000], packed[lo : lo + 50_000]
+                yield {"lang": [lang] * len(part), "source": [source] * len(part), "term": pa.array(part, pa.binary()).cast(pa.string()), "n": n & ((1 << 40) - 1), "docs": n >> 40}
         counts.clear()
-        docs.clear()
 
     for b in batches:
-        for lang, source, text in zip(b.column(0), b.column(1), b.column(2), strict=True):
-            group, own = (lang.as_py(), source.as_py()), Counter()
-            for part in pieces(text.as_py().translate(_LOWER)):
-                own.update(TERM.findall(part))
-            of = counts[group]
-            before = len(of)
-            of.update(own)
-            docs[group].update(own.keys())
-            held += len(of) - before
-            if held >= HELD:
+        for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), strict=True):
+            own = Counter()
+            for part in pieces(text.as_py().translate(TERM_BYTES)):
+                own.update(part.split())
+            of = counts[lang, source]
+            held -= len(of)
+            get = of.get
+            for term, n in own.items():
+                of[term] = get(term, 0) + n + (1 << 40)
+            held, rows, size = held + len(of), rows + 1, size + len(text.as_py())
+            if held >= HELD or rows >> 22 or size >> 39:  # so that the packed numbers hold what they must
                 yield from flush()
-                held = 0
+                held = rows = size = 0
     yield from flush()
 
 
