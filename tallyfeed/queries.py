@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .functions.money import relieve_column
 from .operators import compare, events as E
+from .operators.asof import as_of, in_force
+from .operators.book import fold_at_viewpoints, known_events, term_intervals
 from .operators.fold import fold, positions, refusals, totals
 from .operators.generate import count_true, generated_events, repeated_ids
 from .operators.valuation import unevaluable, value
@@ -21,8 +23,11 @@ from .plans import properties, verdict
 from .plans.snapshot import applicable, ledger
 from .plans.verify import chain_faults
 from .sources.feed import GENESIS, read_lines
+from .sources.ledger_feed import read_feed, records_of, write_zones
 from .sources.rows import altered_files
 from .store import materialize, shared_dir
+from .streaming.book import start_folded
+from .streaming.positions import latest_positions
 
 _STEP = 100_000
 
@@ -332,6 +337,65 @@ def event_counts(spark, sf_dir):
     return named.union(repeated)
 
 
+def feed_prefix(spark, sf_dir):
+    """Records up to the middle of a feed made of the events, written as segments and read by seq through their zones."""
+    n = F.col("event_id").cast("string")
+    line = F.concat(F.lit('{"effective":"2026-01-01","id":"e'), n, F.lit('","payload":{"type":"'), "event_type", F.lit('","user":'), F.col("user_id").cast("string"), F.lit('},"prev":"' + GENESIS + '","seq":'), n, F.lit(',"type":"note"}'))
+    events = _read(spark, sf_dir, "events")
+    path = f"{shared_dir(spark)}/feed-prefix-{uuid.uuid4().hex}"
+    events.repartitionByRange(8, "event_id").sortWithinPartitions("event_id").select(line.alias("line")).write.text(path)
+    middle = events.agg(F.max("event_id")).first()[0] // 2
+    block = 1 << 16
+    rows = read_feed(spark, path, write_zones(spark, path, block), block).where(F.col("seq") <= middle)
+    return records_of(rows).select("seq", "id", "class", "payload", "line_hash")
+
+
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = event_tables(spark, sf_dir)
+    return known_events(_fills(spark, sf_dir), E.classify_actions(t["actions"]), t["amendments"])
+
+
+def many_viewpoints(spark, sf_dir):
+    """Positions at forty viewpoints, from one pass over the events."""
+    top = _read(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0] + 1
+    points = E.viewpoints(spark, [top * i // 40 * _STEP for i in range(1, 41)])
+    return positions(fold_at_viewpoints(materialize(_known(spark, sf_dir), "known"), points))
+
+
+def marked_fills(spark, sf_dir):
+    """Every fill with the last price that its instrument had by its seq."""
+    t = event_tables(spark, sf_dir)
+    prices = t["prices"].select("instrument", "seq", F.col("seq").alias("price_seq"), F.col("price").alias("mark"))
+    return as_of(t["fills"].select("seq", "instrument", "qty"), prices, "instrument", "seq", ["price_seq", "mark"])
+
+
+def valued_fills(spark, sf_dir):
+    """Every fill with the price that a valuation at its seq would use: the one of the greatest (effective, seq)."""
+    t = event_tables(spark, sf_dir)
+    prices = t["prices"].select("instrument", "seq", F.col("effective").alias("price_effective"), F.col("seq").alias("price_seq"), F.col("price").alias("mark"))
+    return as_of(t["fills"].select("seq", "instrument", "qty"), prices, "instrument", "seq", ["price_effective", "price_seq", "mark"], greatest=True)
+
+
+def terms_in_force(spark, sf_dir):
+    """The term of every action at forty viewpoints; some amendments come before their action."""
+    t = event_tables(spark, sf_dir)
+    early = t["amendments"].withColumn("seq", F.col("seq") - F.when(F.floor(F.col("seq") / _STEP) % 3 == 0, 2_000_000).otherwise(0))
+    top = _read(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0] + 1
+    points = E.viewpoints(spark, [top * i // 40 * _STEP for i in range(1, 41)])
+    return in_force(points, term_intervals(E.classify_actions(t["actions"]), early), "viewpoint").select("viewpoint", "action_id", "kind", "term")
+
+
+def streamed_book(spark, sf_dir):
+    """The book at the end, kept in streaming state over micro-batches in which events arrive in no order."""
+    path = f"{shared_dir(spark)}/streamed-{uuid.uuid4().hex}"
+    known = _known(spark, sf_dir)
+    last = known.groupBy("instrument", "effective", "seq").agg(F.max_by(F.struct("kind", "qty", "price", "term"), "known").alias("x")).select(F.lit(0).cast("bigint").alias("viewpoint"), "instrument", "effective", "seq", "x.*")
+    last.repartition(4, F.xxhash64("seq")).write.parquet(f"{path}/events")
+    stream = spark.readStream.schema(last.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/events")
+    start_folded(stream, f"{path}/check", f"{path}/book").awaitTermination()
+    return latest_positions(spark.read.parquet(f"{path}/book")).drop("viewpoint")
+
+
 _BASE = f"""
 WITH nsup AS (SELECT count(*) AS n FROM supplier), top AS (SELECT max(o_orderkey) + 1 AS t FROM orders),
 li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS rn FROM lineitem),
@@ -391,8 +455,20 @@ def _sql(base: str, several: bool, select: str) -> str:
     return base.replace("__POINTS__", "[1, 2, 4]" if several else "[4]").rstrip().rstrip(",") + "\n" + select
 
 
-QUERIES = {f.__name__: f for f in (feed_lines, chain_sequence, invalid_events, valuation_overflow, generated_positions, holdings_diff, property_checks, verdict_row_faults, verdict_set_faults, verdict_expected, verdict_agreement, emitted_rows, altered_pages, event_counts, fill_dedupe, fill_absorbed, fill_collisions, latest_price, amended_terms, unknown_actions, positions_at_end, positions_at_viewpoints, totals_at_viewpoints, oversell_refusals, valuation, unevaluable_positions, refusal_kinds, reconcile_mismatches, set_symdiff, multiset_symdiff, chain_verify, verdict_credit, relieve_cost_table)}
+QUERIES = {f.__name__: f for f in (feed_prefix, marked_fills, valued_fills, terms_in_force, many_viewpoints, streamed_book, feed_lines, chain_sequence, invalid_events, valuation_overflow, generated_positions, holdings_diff, property_checks, verdict_row_faults, verdict_set_faults, verdict_expected, verdict_agreement, emitted_rows, altered_pages, event_counts, fill_dedupe, fill_absorbed, fill_collisions, latest_price, amended_terms, unknown_actions, positions_at_end, positions_at_viewpoints, totals_at_viewpoints, oversell_refusals, valuation, unevaluable_positions, refusal_kinds, reconcile_mismatches, set_symdiff, multiset_symdiff, chain_verify, verdict_credit, relieve_cost_table)}
 ORACLES = {
+    "feed_prefix": f"""WITH l AS (SELECT event_id AS seq, 'e' || event_id AS id, '{{"type":"' || event_type || '","user":' || user_id || '}}' AS payload FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events))
+SELECT seq, id, 'record' AS class, payload, sha256('{{"effective":"2026-01-01","id":"' || id || '","payload":' || payload || ',"prev":"{GENESIS}","seq":' || seq || ',"type":"note"}}') AS line_hash FROM l""",
+    "many_viewpoints": (_FOLD.replace("t * i // 4 *", "t * i // 40 *").replace("__POINTS__", "range(1, 41)").rstrip().rstrip(",") + "\nSELECT viewpoint, instrument, qty, total_cost FROM pos"),
+    "marked_fills": _sql(_BASE, False, "SELECT f.seq, f.instrument, f.qty, p.seq AS price_seq, p.price AS mark FROM f1 f ASOF LEFT JOIN prices p ON f.instrument = p.instrument AND f.seq >= p.seq"),
+    "valued_fills": _sql(
+        _BASE,
+        False,
+        """, best AS (SELECT f.seq, max({'e': p.effective, 's': p.seq, 'p': p.price}) AS x FROM f1 f JOIN prices p ON f.instrument = p.instrument AND f.seq >= p.seq GROUP BY f.seq)
+SELECT f.seq, f.instrument, f.qty, x.e AS price_effective, x.s AS price_seq, x.p AS mark FROM f1 f LEFT JOIN best USING (seq)""",
+    ),
+    "terms_in_force": _BASE.replace("p_partkey * 100000 + 96000 AS seq", "p_partkey * 100000 + 96000 - CASE WHEN p_partkey % 3 = 0 THEN 2000000 ELSE 0 END AS seq").replace("t * i // 4 *", "t * i // 40 *").replace("__POINTS__", "range(1, 41)").rstrip().rstrip(",") + "\nSELECT viewpoint, action_id, kind, coalesce(ratio, rate) AS term FROM terms",
+    "streamed_book": _sql(_FOLD, False, "SELECT instrument, qty, total_cost FROM pos"),
     "feed_lines": f"""WITH e AS (SELECT event_id AS n, event_id % 8 AS k, '{{"effective":"2026-01-01","id":"e' || event_id || '","payload":{{"v":' || user_id || '}},"prev":"{GENESIS}","seq":' || event_id || ',"type":"note"}}' AS line FROM events)
 SELECT CASE WHEN k = 0 THEN 'record' WHEN k = 1 THEN 'blank' WHEN k IN (2, 3, 7) THEN 'residue' ELSE 'hard' END AS class, CASE k WHEN 4 THEN 'keys that no record has: zz' WHEN 5 THEN 'prev is no sha256 in lowercase hex' WHEN 6 THEN 'the line differs from its canonical form' ELSE '' END AS reason,
   CASE WHEN k IN (0, 4, 5, 6) THEN n ELSE -1 END AS seq, CASE WHEN k = 0 THEN sha256(line) ELSE '' END AS line_hash FROM e""",

@@ -177,9 +177,30 @@ def _rows(name: str, lines) -> Iterator[pa.RecordBatch]:
 
 
 class FeedReader(DataSourceReader):
-    def __init__(self, path: str, block_bytes: int, zones: str | None):
-        self.path, self.block_bytes, self.zones = path, block_bytes, zones
-        self.low, self.high = -_INT64, _INT64 - 1
+    def __init__(self, path: str, block_bytes: int):
+        self.path, self.block_bytes = path, block_bytes
+
+    def partitions(self):
+        return blocks_of(self.path, self.block_bytes) or [Block(self.path, "", 0, 0)]
+
+    def read(self, block: Block):
+        if not block.name:
+            return iter(())
+        store, _ = open_path(block.path)
+        return self._lines(store, block)
+
+    @staticmethod
+    def _lines(store, block: Block):
+        with store.open_input_file(block.name) as raw:
+            yield from _rows(block.name, read_lines_of(raw, block.start, block.end))
+
+
+class ZonedReader(FeedReader):
+    """Of blocks that may hold what the filters on seq ask for; Spark must be told to push them (``read_feed`` does)."""
+
+    def __init__(self, path: str, block_bytes: int, zones: str):
+        super().__init__(path, block_bytes)
+        self.zones, self.low, self.high = zones, -_INT64, _INT64 - 1
 
     def pushFilters(self, filters):
         for f in filters:
@@ -204,22 +225,11 @@ class FeedReader(DataSourceReader):
 
     def partitions(self):
         blocks = blocks_of(self.path, self.block_bytes)
-        if self.zones and (self.low, self.high) != (-_INT64, _INT64 - 1):
+        if (self.low, self.high) != (-_INT64, _INT64 - 1):
             known = read_zones(self.zones)
             blocks = [b for b in blocks if _meets(known.get((b.name, b.start, b.end)), self.low, self.high)]
         return blocks or [Block(self.path, "", 0, 0)]
 
-    def read(self, block: Block):
-        if not block.name:
-            return iter(())
-        store, _ = open_path(block.path)
-        return self._lines(store, block)
-
-    @staticmethod
-    def _lines(store, block: Block):
-        with store.open_input_file(block.name) as raw:
-            yield from _rows(block.name, read_lines_of(raw, block.start, block.end))
-
 
 def _meets(zone: tuple | None, low: int, high: int) -> bool:
     """Whether a block of that (least, greatest) seq may hold one in [low, high]; one without any record holds none."""
@@ -439,7 +449,8 @@ class LedgerFeed(DataSource):
         return int(self.options.get("blockBytes", BLOCK_BYTES))
 
     def reader(self, schema) -> FeedReader:
-        return FeedReader(self.options["path"], self._block(), self.options.get("zones"))
+        zones = self.options.get("zones")
+        return ZonedReader(self.options["path"], self._block(), zones) if zones else FeedReader(self.options["path"], self._block())
 
     def streamReader(self, schema) -> FeedStream:
         return FeedStream(self.options["path"], self._block())
@@ -453,7 +464,8 @@ class LedgerFeed(DataSource):
 def read_feed(spark: SparkSession, path: str, zones: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The feed's lines through the source, with filters on seq pushed to its blocks."""
     spark.dataSource.register(LedgerFeed)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    if zones:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     reader = spark.read.format("ledger_feed").option("blockBytes", block_bytes)
     return (reader.option("zones", zones) if zones else reader).load(path)
 
