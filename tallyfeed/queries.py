@@ -19,7 +19,7 @@ from .operators.book import fold_at_viewpoints, known_events, term_intervals
 from .operators.fold import fold, positions, refusals, totals
 from .operators.generate import count_true, generated_events, repeated_ids
 from .operators.valuation import unevaluable, value
-from .plans import properties, verdict
+from .plans import properties, replay, twins, verdict
 from .plans.snapshot import applicable, ledger
 from .plans.verify import chain_faults
 from .sources.feed import GENESIS, read_lines
@@ -385,6 +385,37 @@ def terms_in_force(spark, sf_dir):
     return in_force(points, term_intervals(E.classify_actions(t["actions"]), early), "viewpoint").select("viewpoint", "action_id", "kind", "term")
 
 
+def twin_checks(spark, sf_dir):
+    """Every check on live data and on the twin whose defect it must see, at the middle of the ledger."""
+    top = _read(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0] + 1
+    cells = twins.checks_of(event_tables(spark, sf_dir), top * 2 // 4 * _STEP)
+    each = cells.select("surface", "cell", F.coalesce("mutation", F.lit("")).alias("mutation"), "result", F.explode("checks").alias("check", "violations"), "evaluated", "expected")
+    return each.select("surface", "cell", "mutation", "result", "check", "violations", F.col("evaluated")[F.col("check")].alias("evaluated"), F.coalesce(F.col("expected")[F.col("check")], F.lit(0)).alias("planted"))
+
+
+def twin_credit(spark, sf_dir):
+    """What the twins earn: each surface's status, and rows that must not be reported (none)."""
+    top = _read(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0] + 1
+    cells = materialize(twins.checks_of(event_tables(spark, sf_dir), top * 2 // 4 * _STEP), "twins")
+    refused = properties.emitted(cells.withColumn("name", F.concat_ws(":", "surface", "mutation"))).select(F.col("name").alias("surface"), F.col("reason").alias("status"), F.lit(0).cast("bigint").alias("twins"))
+    return verdict.credit(cells).select("surface", "status", "twins").unionByName(refused)
+
+
+def replay_digest(spark, sf_dir):
+    """The digest of the book at three viewpoints, folded in two ways and partitioned in two ways."""
+    at = lambda df: df.select("viewpoint", "instrument", "qty", "total_cost")
+    one, two = at(positions(_folded(spark, sf_dir, True))), at(positions(fold_at_viewpoints(_known(spark, sf_dir), _points(spark, sf_dir, True))))
+    told = lambda df, name: replay.digest(df).select(F.lit(name).alias("run"), "*")
+    return told(one.repartition(3, "instrument"), "fold").unionByName(told(two.repartition(7), "viewpoints"))
+
+
+def replay_difference(spark, sf_dir):
+    """Where two books first differ, one having three costs changed."""
+    book = materialize(positions(_folded(spark, sf_dir)).drop("viewpoint"), "book")
+    changed = book.withColumn("total_cost", F.col("total_cost") + F.when(F.col("instrument").isin("S17", "S23", "S9"), 1).otherwise(0))
+    return replay.first_difference(book, changed, ["instrument"])
+
+
 def streamed_book(spark, sf_dir):
     """The book at the end, kept in streaming state over micro-batches in which events arrive in no order."""
     path = f"{shared_dir(spark)}/streamed-{uuid.uuid4().hex}"
@@ -451,11 +482,26 @@ _ROWS = """WITH r AS (SELECT event_id AS e, event_type AS surface, user_id % 40
 """
 
 
+_TWINS = _FOLD.replace("__POINTS__", "[2]").rstrip().rstrip(",") + """, vf AS (SELECT f.* FROM fills f JOIN points ON seq <= viewpoint), k AS (SELECT key, count(*) FILTER (WHERE status = 'applied') AS a, count(*) FILTER (WHERE status IN ('absorbed', 'collision')) AS b FROM vf GROUP BY key),
+lastm AS (SELECT m.action_id, arg_max(ratio, seq) AS r, arg_max(rate, seq) AS d FROM amend m GROUP BY ALL),
+te AS (SELECT t.action_id, coalesce(t.ratio, t.rate) AS now, CASE WHEN t.kind = 'split' THEN CASE WHEN r >= 1 THEN r ELSE t.ratio END ELSE CASE WHEN d >= 0 THEN d ELSE t.rate END END AS later FROM terms t LEFT JOIN lastm USING (action_id)),
+n AS (SELECT (SELECT count(*) FROM k) AS keys, (SELECT count(*) FROM k WHERE a > 0 AND b > 0) AS twice, (SELECT count(*) FROM te) AS terms, (SELECT count(*) FROM te WHERE now <> later) AS leaks, (SELECT count(*) FROM val) AS book, (SELECT count(*) FROM val WHERE price IS NOT NULL) AS priced),
+c AS (SELECT unnest([{'surface': 'dedupe', 'mutation': '', 'check': 'applied_once', 'violations': 0, 'evaluated': keys}, {'surface': 'dedupe', 'mutation': 'nodedupe', 'check': 'applied_once', 'violations': twice, 'evaluated': keys},
+  {'surface': 'terms', 'mutation': '', 'check': 'term_known', 'violations': 0, 'evaluated': terms}, {'surface': 'terms', 'mutation': 'leak', 'check': 'term_known', 'violations': leaks, 'evaluated': terms},
+  {'surface': 'book', 'mutation': '', 'check': 'position', 'violations': 0, 'evaluated': book}, {'surface': 'book', 'mutation': 'fill', 'check': 'position', 'violations': 1, 'evaluated': book}, {'surface': 'book', 'mutation': 'phantom', 'check': 'position', 'violations': 1, 'evaluated': book + 1},
+  {'surface': 'prices', 'mutation': '', 'check': 'latest_price', 'violations': 0, 'evaluated': priced}, {'surface': 'prices', 'mutation': 'price', 'check': 'latest_price', 'violations': 1, 'evaluated': priced}, {'surface': 'prices', 'mutation': 'stale', 'check': 'latest_price', 'violations': 1, 'evaluated': priced},
+  {'surface': 'unpriced', 'mutation': '', 'check': 'silent_zero', 'violations': 0, 'evaluated': book - priced}, {'surface': 'unpriced', 'mutation': '', 'check': 'undeclared', 'violations': 0, 'evaluated': book - priced},
+  {'surface': 'unpriced', 'mutation': 'silent_zero', 'check': 'silent_zero', 'violations': 1, 'evaluated': book - priced}, {'surface': 'unpriced', 'mutation': 'silent_zero', 'check': 'undeclared', 'violations': 0, 'evaluated': book - priced},
+  {'surface': 'unpriced', 'mutation': 'omission', 'check': 'silent_zero', 'violations': 0, 'evaluated': book - priced}, {'surface': 'unpriced', 'mutation': 'omission', 'check': 'undeclared', 'violations': 1, 'evaluated': book - priced},
+  {'surface': 'statement', 'mutation': '', 'check': 'statement', 'violations': 0, 'evaluated': book}, {'surface': 'statement', 'mutation': 'drift', 'check': 'statement', 'violations': 1, 'evaluated': book}], recursive := true) FROM n)
+"""
+
+
 def _sql(base: str, several: bool, select: str) -> str:
     return base.replace("__POINTS__", "[1, 2, 4]" if several else "[4]").rstrip().rstrip(",") + "\n" + select
 
 
-QUERIES = {f.__name__: f for f in (feed_prefix, marked_fills, valued_fills, terms_in_force, many_viewpoints, streamed_book, feed_lines, chain_sequence, invalid_events, valuation_overflow, generated_positions, holdings_diff, property_checks, verdict_row_faults, verdict_set_faults, verdict_expected, verdict_agreement, emitted_rows, altered_pages, event_counts, fill_dedupe, fill_absorbed, fill_collisions, latest_price, amended_terms, unknown_actions, positions_at_end, positions_at_viewpoints, totals_at_viewpoints, oversell_refusals, valuation, unevaluable_positions, refusal_kinds, reconcile_mismatches, set_symdiff, multiset_symdiff, chain_verify, verdict_credit, relieve_cost_table)}
+QUERIES = {f.__name__: f for f in (feed_prefix, twin_checks, twin_credit, replay_digest, replay_difference, marked_fills, valued_fills, terms_in_force, many_viewpoints, streamed_book, feed_lines, chain_sequence, invalid_events, valuation_overflow, generated_positions, holdings_diff, property_checks, verdict_row_faults, verdict_set_faults, verdict_expected, verdict_agreement, emitted_rows, altered_pages, event_counts, fill_dedupe, fill_absorbed, fill_collisions, latest_price, amended_terms, unknown_actions, positions_at_end, positions_at_viewpoints, totals_at_viewpoints, oversell_refusals, valuation, unevaluable_positions, refusal_kinds, reconcile_mismatches, set_symdiff, multiset_symdiff, chain_verify, verdict_credit, relieve_cost_table)}
 ORACLES = {
     "feed_prefix": f"""WITH l AS (SELECT event_id AS seq, 'e' || event_id AS id, '{{"type":"' || event_type || '","user":' || user_id || '}}' AS payload FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events))
 SELECT seq, id, 'record' AS class, payload, sha256('{{"effective":"2026-01-01","id":"' || id || '","payload":' || payload || ',"prev":"{GENESIS}","seq":' || seq || ',"type":"note"}}') AS line_hash FROM l""",
@@ -468,6 +514,16 @@ SELECT seq, id, 'record' AS class, payload, sha256('{{"effective":"2026-01-01","
 SELECT f.seq, f.instrument, f.qty, x.e AS price_effective, x.s AS price_seq, x.p AS mark FROM f1 f LEFT JOIN best USING (seq)""",
     ),
     "terms_in_force": _BASE.replace("p_partkey * 100000 + 96000 AS seq", "p_partkey * 100000 + 96000 - CASE WHEN p_partkey % 3 = 0 THEN 2000000 ELSE 0 END AS seq").replace("t * i // 4 *", "t * i // 40 *").replace("__POINTS__", "range(1, 41)").rstrip().rstrip(",") + "\nSELECT viewpoint, action_id, kind, coalesce(ratio, rate) AS term FROM terms",
+    "twin_checks": _TWINS + "SELECT surface, CASE WHEN mutation = '' THEN 'live' ELSE 'twin' END AS cell, mutation, CASE WHEN max(violations) OVER (PARTITION BY surface, mutation) > 0 THEN 'RED' ELSE 'GREEN' END AS result, \"check\", violations, evaluated, violations AS planted FROM c",
+    "twin_credit": _TWINS + "SELECT surface, 'CLAIMABLE' AS status, count(DISTINCT mutation) FILTER (WHERE mutation <> '') AS twins FROM c GROUP BY surface",
+    "replay_digest": _sql(
+        _FOLD,
+        True,
+        """, d AS (SELECT sha256(concat_ws(',', length(instrument) || ':' || instrument, length(cast(qty AS VARCHAR)) || ':' || qty, length(cast(total_cost AS VARCHAR)) || ':' || total_cost, length(cast(viewpoint AS VARCHAR)) || ':' || viewpoint)) AS h FROM pos),
+s AS (SELECT count(*) AS n, cast(sum(cast('0x' || substr(h, 1, 15) AS HUGEINT)) AS VARCHAR) AS lane0, cast(sum(cast('0x' || substr(h, 16, 15) AS HUGEINT)) AS VARCHAR) AS lane1, cast(sum(cast('0x' || substr(h, 31, 15) AS HUGEINT)) AS VARCHAR) AS lane2, cast(sum(cast('0x' || substr(h, 46, 15) AS HUGEINT)) AS VARCHAR) AS lane3 FROM d)
+SELECT run, s.* FROM s, (SELECT unnest(['fold', 'viewpoints']) AS run)""",
+    ),
+    "replay_difference": _sql(_FOLD, False, ", x AS (SELECT * FROM pos WHERE instrument IN ('S17', 'S23', 'S9') ORDER BY instrument LIMIT 1) SELECT instrument, qty, total_cost + d AS total_cost, side FROM x, (SELECT unnest([0, 1]) AS d, unnest(['a', 'b']) AS side)"),
     "streamed_book": _sql(_FOLD, False, "SELECT instrument, qty, total_cost FROM pos"),
     "feed_lines": f"""WITH e AS (SELECT event_id AS n, event_id % 8 AS k, '{{"effective":"2026-01-01","id":"e' || event_id || '","payload":{{"v":' || user_id || '}},"prev":"{GENESIS}","seq":' || event_id || ',"type":"note"}}' AS line FROM events)
 SELECT CASE WHEN k = 0 THEN 'record' WHEN k = 1 THEN 'blank' WHEN k IN (2, 3, 7) THEN 'residue' ELSE 'hard' END AS class, CASE k WHEN 4 THEN 'keys that no record has: zz' WHEN 5 THEN 'prev is no sha256 in lowercase hex' WHEN 6 THEN 'the line differs from its canonical form' ELSE '' END AS reason,
