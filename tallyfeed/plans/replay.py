@@ -43,8 +43,8 @@ def same(a: DataFrame, b: DataFrame) -> bool:
 
 
 def _key(keys: list[str]) -> Column:
-    """The keys' texts as hex, one after the other, each ended by a byte that no text begins with."""
-    return F.concat(*[F.concat(F.coalesce(F.hex(F.encode(F.col(f"`{k}`").cast("string"), "UTF-8")), F.lit("")), F.lit("00")) for k in keys])
+    """The keys' texts as hex, one after the other, between 01 and 00; a null is 00."""
+    return F.concat(*[F.coalesce(F.concat(F.lit("01"), F.hex(F.encode(F.col(f"`{k}`").cast("string"), "UTF-8")), F.lit("00")), F.lit("00")) for k in keys])
 
 
 def first_difference(a: DataFrame, b: DataFrame, keys: list[str], step: int = 1) -> DataFrame:

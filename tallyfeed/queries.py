@@ -17,6 +17,7 @@ from .operators import compare, events as E
 from .operators.asof import as_of, in_force
 from .operators.book import fold_at_viewpoints, known_events, term_intervals
 from .operators.fold import fold, positions, refusals, totals
+from .operators.leaves import leaf_differences
 from .operators.generate import count_true, generated_events, repeated_ids
 from .operators.valuation import unevaluable, value
 from .plans import properties, replay, twins, verdict
@@ -24,7 +25,7 @@ from .plans.snapshot import applicable, ledger
 from .plans.verify import chain_faults
 from .sources.feed import GENESIS, read_lines
 from .sources.ledger_feed import read_feed, records_of, write_zones
-from .sources.rows import altered_files
+from .sources.rows import altered_files, read_rows
 from .store import materialize, shared_dir
 from .streaming.book import start_folded
 from .streaming.positions import latest_positions
@@ -385,18 +386,24 @@ def terms_in_force(spark, sf_dir):
     return in_force(points, term_intervals(E.classify_actions(t["actions"]), early), "viewpoint").select("viewpoint", "action_id", "kind", "term")
 
 
-def twin_checks(spark, sf_dir):
-    """Every check on live data and on the twin whose defect it must see, at the middle of the ledger."""
+def _twin_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twins at the middle of the ledger, whose amendments come after it for every third part."""
     top = _read(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0] + 1
-    cells = twins.checks_of(event_tables(spark, sf_dir), top * 2 // 4 * _STEP)
+    t = event_tables(spark, sf_dir)
+    t["amendments"] = t["amendments"].withColumn("seq", F.col("seq") + F.when(F.floor(F.col("seq") / _STEP) % 3 == 0, top * _STEP).otherwise(0))
+    return twins.checks_of(t, top * 2 // 4 * _STEP)
+
+
+def twin_checks(spark, sf_dir):
+    """Every check on live data and on the twin whose defect it must see."""
+    cells = _twin_cells(spark, sf_dir)
     each = cells.select("surface", "cell", F.coalesce("mutation", F.lit("")).alias("mutation"), "result", F.explode("checks").alias("check", "violations"), "evaluated", "expected")
     return each.select("surface", "cell", "mutation", "result", "check", "violations", F.col("evaluated")[F.col("check")].alias("evaluated"), F.coalesce(F.col("expected")[F.col("check")], F.lit(0)).alias("planted"))
 
 
 def twin_credit(spark, sf_dir):
     """What the twins earn: each surface's status, and rows that must not be reported (none)."""
-    top = _read(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0] + 1
-    cells = materialize(twins.checks_of(event_tables(spark, sf_dir), top * 2 // 4 * _STEP), "twins")
+    cells = materialize(_twin_cells(spark, sf_dir), "twins")
     refused = properties.emitted(cells.withColumn("name", F.concat_ws(":", "surface", "mutation"))).select(F.col("name").alias("surface"), F.col("reason").alias("status"), F.lit(0).cast("bigint").alias("twins"))
     return verdict.credit(cells).select("surface", "status", "twins").unionByName(refused)
 
@@ -416,6 +423,45 @@ def replay_difference(spark, sf_dir):
     return replay.first_difference(book, changed, ["instrument"])
 
 
+def document_diffs(spark, sf_dir):
+    """Leaves of documents made from orders and parts that later versions don't reproduce."""
+    k, name = F.col("o_orderkey"), lambda prefix, c: F.concat(F.lit(prefix), c.cast("string")).alias("id")
+    orders = _read(spark, sf_dir, "orders").select(k, F.col("o_custkey").alias("c"), F.col("o_orderstatus").alias("s"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"))
+    customer = lambda key, tags: F.to_json(F.struct(key.alias("key"), tags.alias("tags")))
+    text = lambda cust, status, dates: F.concat(F.lit('{"customer":'), cust, F.lit(',"status":'), status, dates, F.lit("}"))
+    quoted = F.concat(F.lit('"'), "s", F.lit('"'))
+    dates = F.concat(F.lit(',"dates":{"order":"'), "d", F.lit('","none":{}}'))
+    old = orders.select(name("o", k), text(customer(F.col("c"), F.array(F.lit("a"), "s")), quoted, dates).alias("doc"))
+    cust = F.when(k % 7 == 0, F.lit('"none"')).otherwise(customer(F.col("c") + F.when(k % 5 == 0, 1).otherwise(0), F.when(k % 17 == 0, F.array("s", F.lit("a"))).otherwise(F.array(F.lit("a"), "s"))))
+    new = orders.select(name("o", k), text(cust, F.when(k % 13 == 0, F.concat(F.lit('{"now":'), quoted, F.lit("}"))).otherwise(quoted), F.when(k % 11 == 0, F.lit("")).otherwise(F.concat(dates, F.lit(',"more":1')))).alias("doc"))
+    deep = lambda c: F.concat(F.lit('{"part":{"is":{"of":{"size":'), c.cast("string"), F.lit("}}}}"))
+    parts = _read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("z"))
+    old = old.unionByName(parts.select(name("p", F.col("p_partkey")), deep(F.col("z")).alias("doc")))
+    new = new.unionByName(parts.where("p_partkey % 19 <> 0").select(name("p", F.col("p_partkey")), deep(F.col("z") + (F.col("p_partkey") % 3 == 0).cast("int")).alias("doc")))
+    return leaf_differences(old, new)
+
+
+def verdict_folder(spark, sf_dir):
+    """A folder of rows, one a file, made of event counts and partly broken: read, judged alone, together and against a list."""
+    n, lane = F.col("n"), F.col("lane")
+    events = _read(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 7).alias("lane"), (F.col("user_id") % 4).alias("m")).agg(F.count("*").alias("n"))
+    twin = F.col("m") > 0
+    count = F.when(twin, n).otherwise(0).cast("string")
+    field = lambda k, v: F.concat(F.lit(f',"{k}":'), v if not isinstance(v, str) else F.lit(f'"{v}"'))
+    planted = F.when(twin, F.concat(F.lit(',"planted":{"mutation":"m'), F.col("m").cast("string"), F.lit('","mutated_rows":1,"expected_violations":{"c":'), (n + (lane == 5).cast("int")).cast("string"), F.lit("}}"))).otherwise("")
+    text = F.concat(
+        F.lit('{"schema":"' + verdict.SCHEMA_NAME + '"'), field("kind", "GATE_VERDICT"), F.lit(',"surface":"'), F.regexp_replace("event_type", "_", "-"), F.lit('"'), field("lane", lane.cast("string")), F.when(twin, field("cell", "twin")).otherwise(field("cell", "live")),
+        F.when(twin, field("result", "RED")).otherwise(field("result", "GREEN")), F.lit(',"checks":{"c":'), count, F.lit('},"evaluated":{"c":'), n.cast("string"), F.lit('},"params":{}'), field("content_hash", "sha256:" + "0" * 64), field("content_hash_basis", ""),
+        field("gate_sha", "a" * 40), field("gate_worktree", "clean"), field("ran_at", "2026-01-01T00:00:00Z"), F.when(lane == 4, "").otherwise(field("runner", "r")), F.when(lane == 3, F.lit(',"metrics":{"x":NaN}')).otherwise(""), planted, field("scope", F.when((lane == 2) & (F.col("m") == 2), F.lit('"all PARTIAL"')).otherwise(F.lit('""'))), F.lit("}"),
+    )
+    path = f"{shared_dir(spark)}/verdict-rows-{uuid.uuid4().hex}"
+    events.select(F.concat_ws("-", "event_type", lane.cast("string"), F.col("m").cast("string")).alias("at"), text.alias("text")).repartition("at").write.partitionBy("at").text(path)
+    rows = read_rows(spark, path)
+    rows = rows.withColumn("file", F.regexp_extract("file", "at=([^/]+)/", 1))
+    want = events.select(F.regexp_replace("event_type", "_", "-").alias("surface"), "lane").distinct().where("lane > 0").select("surface", "lane", F.array(*[F.lit(f"m{i}") for i in (1, 2, 3)]).alias("twins"))
+    return verdict.judge_folder(rows, want)
+
+
 def streamed_book(spark, sf_dir):
     """The book at the end, kept in streaming state over micro-batches in which events arrive in no order."""
     path = f"{shared_dir(spark)}/streamed-{uuid.uuid4().hex}"
@@ -482,7 +528,7 @@ _ROWS = """WITH r AS (SELECT event_id AS e, event_type AS surface, user_id % 40
 """
 
 
-_TWINS = _FOLD.replace("__POINTS__", "[2]").rstrip().rstrip(",") + """, vf AS (SELECT f.* FROM fills f JOIN points ON seq <= viewpoint), k AS (SELECT key, count(*) FILTER (WHERE status = 'applied') AS a, count(*) FILTER (WHERE status IN ('absorbed', 'collision')) AS b FROM vf GROUP BY key),
+_TWINS = _FOLD.replace("p_partkey * 100000 + 96000 AS seq", "p_partkey * 100000 + 96000 + CASE WHEN p_partkey % 3 = 0 THEN (SELECT t FROM top) * 100000 ELSE 0 END AS seq").replace("__POINTS__", "[2]").rstrip().rstrip(",") + """, vf AS (SELECT f.* FROM fills f JOIN points ON seq <= viewpoint), k AS (SELECT key, count(*) FILTER (WHERE status = 'applied') AS a, count(*) FILTER (WHERE status IN ('absorbed', 'collision')) AS b FROM vf GROUP BY key),
 lastm AS (SELECT m.action_id, arg_max(ratio, seq) AS r, arg_max(rate, seq) AS d FROM amend m GROUP BY ALL),
 te AS (SELECT t.action_id, coalesce(t.ratio, t.rate) AS now, CASE WHEN t.kind = 'split' THEN CASE WHEN r >= 1 THEN r ELSE t.ratio END ELSE CASE WHEN d >= 0 THEN d ELSE t.rate END END AS later FROM terms t LEFT JOIN lastm USING (action_id)),
 n AS (SELECT (SELECT count(*) FROM k) AS keys, (SELECT count(*) FROM k WHERE a > 0 AND b > 0) AS twice, (SELECT count(*) FROM te) AS terms, (SELECT count(*) FROM te WHERE now <> later) AS leaks, (SELECT count(*) FROM val) AS book, (SELECT count(*) FROM val WHERE price IS NOT NULL) AS priced),
@@ -501,7 +547,7 @@ def _sql(base: str, several: bool, select: str) -> str:
     return base.replace("__POINTS__", "[1, 2, 4]" if several else "[4]").rstrip().rstrip(",") + "\n" + select
 
 
-QUERIES = {f.__name__: f for f in (feed_prefix, twin_checks, twin_credit, replay_digest, replay_difference, marked_fills, valued_fills, terms_in_force, many_viewpoints, streamed_book, feed_lines, chain_sequence, invalid_events, valuation_overflow, generated_positions, holdings_diff, property_checks, verdict_row_faults, verdict_set_faults, verdict_expected, verdict_agreement, emitted_rows, altered_pages, event_counts, fill_dedupe, fill_absorbed, fill_collisions, latest_price, amended_terms, unknown_actions, positions_at_end, positions_at_viewpoints, totals_at_viewpoints, oversell_refusals, valuation, unevaluable_positions, refusal_kinds, reconcile_mismatches, set_symdiff, multiset_symdiff, chain_verify, verdict_credit, relieve_cost_table)}
+QUERIES = {f.__name__: f for f in (feed_prefix, document_diffs, verdict_folder, twin_checks, twin_credit, replay_digest, replay_difference, marked_fills, valued_fills, terms_in_force, many_viewpoints, streamed_book, feed_lines, chain_sequence, invalid_events, valuation_overflow, generated_positions, holdings_diff, property_checks, verdict_row_faults, verdict_set_faults, verdict_expected, verdict_agreement, emitted_rows, altered_pages, event_counts, fill_dedupe, fill_absorbed, fill_collisions, latest_price, amended_terms, unknown_actions, positions_at_end, positions_at_viewpoints, totals_at_viewpoints, oversell_refusals, valuation, unevaluable_positions, refusal_kinds, reconcile_mismatches, set_symdiff, multiset_symdiff, chain_verify, verdict_credit, relieve_cost_table)}
 ORACLES = {
     "feed_prefix": f"""WITH l AS (SELECT event_id AS seq, 'e' || event_id AS id, '{{"type":"' || event_type || '","user":' || user_id || '}}' AS payload FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events))
 SELECT seq, id, 'record' AS class, payload, sha256('{{"effective":"2026-01-01","id":"' || id || '","payload":' || payload || ',"prev":"{GENESIS}","seq":' || seq || ',"type":"note"}}') AS line_hash FROM l""",
@@ -514,6 +560,17 @@ SELECT seq, id, 'record' AS class, payload, sha256('{{"effective":"2026-01-01","
 SELECT f.seq, f.instrument, f.qty, x.e AS price_effective, x.s AS price_seq, x.p AS mark FROM f1 f LEFT JOIN best USING (seq)""",
     ),
     "terms_in_force": _BASE.replace("p_partkey * 100000 + 96000 AS seq", "p_partkey * 100000 + 96000 - CASE WHEN p_partkey % 3 = 0 THEN 2000000 ELSE 0 END AS seq").replace("t * i // 4 *", "t * i // 40 *").replace("__POINTS__", "range(1, 41)").rstrip().rstrip(",") + "\nSELECT viewpoint, action_id, kind, coalesce(ratio, rate) AS term FROM terms",
+    "document_diffs": """WITH o AS (SELECT o_orderkey AS k, 'o' || o_orderkey AS id, o_custkey AS c, o_orderstatus AS s, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders),
+x AS (SELECT id, 'customer.key' AS path, cast(c AS VARCHAR) AS want, CASE WHEN k % 7 = 0 THEN '<absent>' ELSE cast(c + 1 AS VARCHAR) END AS got FROM o WHERE k % 7 = 0 OR k % 5 = 0
+UNION ALL SELECT id, 'customer.tags', '["a","' || s || '"]', CASE WHEN k % 7 = 0 THEN '<absent>' ELSE '["' || s || '","a"]' END FROM o WHERE k % 7 = 0 OR k % 17 = 0
+UNION ALL SELECT id, 'status', '"' || s || '"', '{"now":"' || s || '"}' FROM o WHERE k % 13 = 0 UNION ALL SELECT id, 'dates.order', '"' || d || '"', '<absent>' FROM o WHERE k % 11 = 0
+UNION ALL SELECT 'p' || p_partkey, 'part.is.of.size', cast(p_size AS VARCHAR), CASE WHEN p_partkey % 19 = 0 THEN '<absent>' ELSE cast(p_size + 1 AS VARCHAR) END FROM part WHERE p_partkey % 19 = 0 OR p_partkey % 3 = 0)
+SELECT * FROM x""",
+    "verdict_folder": """WITH e AS (SELECT event_type || '-' || (user_id % 7) || '-' || (user_id % 4) AS name, replace(event_type, '_', '-') AS surface, user_id % 7 AS lane, user_id % 4 AS m, count(*) AS n FROM events GROUP BY ALL),
+r AS (SELECT name, unnest(list_filter([CASE WHEN lane = 3 THEN 'not JSON' END, CASE WHEN lane = 0 THEN 'schema: lane must be >= 1' END, CASE WHEN lane = 4 THEN 'schema: missing required field runner' END, CASE WHEN lane = 5 AND m > 0 THEN 'violations differ from those planted' END,
+  CASE WHEN lane = 2 AND m = 2 THEN 'holds a word that only crediting may use: all PARTIAL' END], lambda x: x IS NOT NULL)) AS reason FROM e),
+s AS (SELECT surface, lane, list_sort(coalesce(list('m' || m) FILTER (WHERE m > 0), [])) AS found FROM e WHERE name NOT IN (SELECT name FROM r) GROUP BY ALL), w AS (SELECT DISTINCT surface, lane FROM e WHERE lane > 0)
+SELECT name, reason FROM r UNION ALL SELECT surface || ':lane' || lane, CASE WHEN found IS NULL THEN 'rows are missing' ELSE 'other twins than expected' END FROM w LEFT JOIN s USING (surface, lane) WHERE found IS NULL OR found <> ['m1', 'm2', 'm3']""",
     "twin_checks": _TWINS + "SELECT surface, CASE WHEN mutation = '' THEN 'live' ELSE 'twin' END AS cell, mutation, CASE WHEN max(violations) OVER (PARTITION BY surface, mutation) > 0 THEN 'RED' ELSE 'GREEN' END AS result, \"check\", violations, evaluated, violations AS planted FROM c",
     "twin_credit": _TWINS + "SELECT surface, 'CLAIMABLE' AS status, count(DISTINCT mutation) FILTER (WHERE mutation <> '') AS twins FROM c GROUP BY surface",
     "replay_digest": _sql(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,17 +15,32 @@ from ..functions.schema import flat
 _OUT = "file string, row string, reason string"
 
 
+class _Repeated(ValueError):
+    """A key that an object has twice."""
+
+
 def _unique(pairs: list[tuple]) -> dict:
     if len({k for k, _ in pairs}) < len(pairs):
-        raise KeyError
+        raise _Repeated
     return dict(pairs)
 
 
+def _finite(text: str) -> float:
+    value = float(text)
+    if not math.isfinite(value):
+        raise ValueError(f"{text} is beyond all numbers")
+    return value
+
+
+def _refuse(constant: str):
+    raise ValueError(f"{constant} is not JSON")
+
+
 def parse_row(content: bytes) -> tuple[str | None, str | None]:
-    """(canonical text, None) of a JSON object without repeated keys at any depth, else (None, why not)."""
+    """(text with sorted keys, None) of a JSON object without repeated keys at any depth, else (None, why not). NaN and numbers that overflow are not JSON."""
     try:
-        value = json.loads(content.decode(), object_pairs_hook=_unique)
-    except KeyError:
+        value = json.loads(content.decode(), object_pairs_hook=_unique, parse_constant=_refuse, parse_float=_finite)
+    except _Repeated:
         return None, "a key is repeated"
     except (ValueError, RecursionError):
         return None, "not JSON"
