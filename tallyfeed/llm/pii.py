@@ -66,7 +66,7 @@ GENERATORS = {
         r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
         r"(?:\([0-9]{3}\) ?|(?<![0-9])[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
     ],
-    "secret": [r"(?<![A-Z0-9])AKIA[0-9A-Z]{16}(?![A-Z0-9])", r"(?i)(?:token|secret|password|passwd|api_?key) {0,3}[=:] {0,3}[\"']?[A-Za-z0-9_+/=-]{8,128}[\"']?"],
+    "secret": [r"(?<![A-Z0-9])AKIA[0-9A-Z]{16}(?![A-Z0-9])", r"(?i)(?:token|secret|password|passwd|api_?key) {0,3}[=:] {0,3}(?:\"[A-Za-z0-9_+/=-]{8,128}\"|'[A-Za-z0-9_+/=-]{8,128}'|[\"']?[A-Za-z0-9_+/=-]{8,128})"],
 }
 #: Words before a candidate that speak for its kind, or against any.
 _CUES = {"email": "mail|contact|write", "ip": r"\bip\b|host|server|addr", "card": "card|visa|paid|credit", "phone": "phone|tel|call|mobile", "secret": "token|secret|passw|key"}

