@@ -22,10 +22,10 @@ their parent, by digest), each with
 
 After a node come the rows of the conversations that end there (kind ``end``),
 whose ``attend`` covers the whole conversation. The order is a distributed sort
-by path, kept on the executors' disks for the two passes over it (a lost part is
-sorted again, in the same order); offsets and open ancestors at partition borders
-come from one small row per partition, so neither a frequent first turn nor copies
-of a conversation gather anywhere.
+by path, written once to the shared folder with places that count from the start of
+a partition; what came before one (tokens, open ancestors) follows from one small row
+per partition and is added in a join on the partition's number, so neither a frequent
+first turn nor copies of a conversation gather anywhere.
 
 Null texts and roles are empty; rows of equal (conversation, turn) follow by role
 and text; a null conv_id is one conversation; an empty table gives no rows. One
@@ -34,11 +34,10 @@ conversation's turns are gathered in one task, as its digest needs them in order
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, produce
+from .common import map_rows, materialize, produce
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: What must not appear inside a text: openings of the template's markers, and those of other common templates.
@@ -87,39 +86,34 @@ def _encode(roles, texts, learn):
     return ids, lo, hi, n
 
 
-def _stream(carried):
-    """Place rows sorted by path; carried: None to summarise each partition, else its (base, open ancestors)."""
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        at, stack = carried.value[part] if carried else (0, [])
-        stack = list(stack)
-        for b in batches:
-            cols = {n: b.column(n).to_pylist() for n in ("path", "n", "conv_id", "ids", "loss_from", "loss_to")} if carried else {n: b.column(n).to_pylist() for n in ("path", "n", "conv_id")}
-            out = {n: [] for n in ("start", "stop", "position", "attend")}
-            for path, n in zip(cols["path"], cols["n"], strict=True):
-                depth = len(path) // STEP - (n is not None)
-                # an ancestor that opened before this partition has no place yet while summarising
-                while len(stack) > depth:
-                    stack.pop()
-                while len(stack) < depth:
-                    stack.append((None, 0))
-                if carried:
-                    out["attend"].append([{"start": s, "stop": s + m} for s, m in stack])
-                    out["position"].append(sum(m for _, m in stack))
-                    out["start"].append(at)
-                    out["stop"].append(at + (n or 0))
-                if n is not None:
-                    stack.append((at, n))
-                    at += n
-            if carried:
-                yield {"kind": ["end" if n is None else "turn" for n in cols["n"]], "node": [p[-STEP:].hex() for p in cols["path"]], **{n: cols[n] for n in ("conv_id", "ids", "loss_from", "loss_to")}, **out}
-        if not carried:
-            yield {"part": [part], "total": [at], "open": [[{"start": -1 if s is None else s, "stop": m} for s, m in stack]]}
-
-    return run
+def _place(batches):
+    """Rows sorted by path, placed from the start of their partition; then a row about its borders (kind ``border``).
+
+    ``outside`` counts a row's ancestors that opened before the partition, which are its first ones.
+    """
+    from pyspark import TaskContext
+
+    part, at, stack, seen = TaskContext.get().partitionId(), 0, [], False
+    for b in batches:
+        cols = {n: b.column(n).to_pylist() for n in ("path", "n", "conv_id", "ids", "loss_from", "loss_to")}
+        out = {n: [] for n in ("start", "stop", "outside", "attend")}
+        for path, n in zip(cols["path"], cols["n"], strict=True):
+            depth = len(path) // STEP - (n is not None)
+            del stack[depth:]
+            stack += [None] * (depth - len(stack))
+            outside = stack.count(None)
+            out["outside"].append(outside)
+            out["attend"].append([{"start": s, "stop": s + m} for s, m in stack[outside:]])
+            out["start"].append(at)
+            out["stop"].append(at + (n or 0))
+            if n is not None:
+                stack.append((at, n))
+                at += n
+        seen = True
+        yield {"part": [part] * b.num_rows, "kind": ["end" if n is None else "turn" for n in cols["n"]], "node": [p[-STEP:].hex() for p in cols["path"]], **{n: cols[n] for n in ("conv_id", "ids", "loss_from", "loss_to")}, **out}
+    if seen:
+        outside = stack.count(None)
+        yield {"part": [part], "kind": ["border"], "start": [0], "stop": [at], "outside": [outside], "attend": [[{"start": s, "stop": s + m} for s, m in stack[outside:]]]} | {n: [None] for n in ("node", "conv_id", "ids", "loss_from", "loss_to")}
 
 
 def prefix_tree(conversations: DataFrame) -> DataFrame:
@@ -136,18 +130,20 @@ def prefix_tree(conversations: DataFrame) -> DataFrame:
     ends = paths.select("path", *[F.lit(None).cast(t).alias(c) for c, t in (("ids", "binary"), ("loss_from", "bigint"), ("loss_to", "bigint"), ("n", "bigint"))], "conv_id")
     rows = nodes.withColumn("conv_id", F.lit(None).cast(id_type)).unionByName(ends).withColumn("rank", F.col("n").isNull().cast("int"))
     order = ["path", "rank", "conv_id"]
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("path", "n", "conv_id", "ids", "loss_from", "loss_to").persist(StorageLevel.DISK_ONLY)
-    # one row a partition: its tokens, and the ancestors that are open at its end
-    summary = {r["part"]: r for r in produce(placed.select("path", "n", "conv_id"), _stream(None), f"part int, total bigint, open {_INTERVALS}").collect()}
-    base, stack, carried = 0, [], {}
-    for part in range(max(summary, default=-1) + 1):
-        carried[part] = base, list(stack)
-        if r := summary.get(part):
-            if r["total"] or r["open"]:
-                stack = [stack[i] if x["start"] < 0 else (base + x["start"], x["stop"]) for i, x in enumerate(r["open"])]
-            base += r["total"]
-    out = f"kind string, node string, conv_id {id_type}, ids binary, loss_from bigint, loss_to bigint, start bigint, stop bigint, position bigint, attend {_INTERVALS}"
-    return produce(placed, _stream(spark.sparkContext.broadcast(carried)), out)
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("path", "n", "conv_id", "ids", "loss_from", "loss_to")
+    out = f"part int, kind string, node string, conv_id {id_type}, ids binary, loss_from bigint, loss_to bigint, start bigint, stop bigint, outside int, attend {_INTERVALS}"
+    done = materialize(produce(placed, _place, out), "chat-stream")
+    # a row a partition: its tokens, and the ancestors that are open at its end
+    base, stack, carried = 0, [], []
+    for r in done.where("kind = 'border'").select("part", "stop", "outside", "attend").orderBy("part").collect():
+        carried.append((r["part"], base, list(stack)))
+        stack = stack[: r["outside"]] + [(base + x["start"], base + x["stop"]) for x in r["attend"]]
+        base += r["stop"]
+    before = spark.createDataFrame(carried, f"part int, base bigint, open {_INTERVALS}")
+    moved = F.transform("attend", lambda x: F.struct((x["start"] + F.col("base")).alias("start"), (x["stop"] + F.col("base")).alias("stop")))
+    placed = done.where("kind <> 'border'").join(F.broadcast(before), "part").withColumn("attend", F.concat(F.slice("open", F.lit(1), F.col("outside")), moved))
+    position = F.aggregate("attend", F.lit(0).cast("bigint"), lambda n, x: n + x["stop"] - x["start"])
+    return placed.select("kind", "node", "conv_id", "ids", "loss_from", "loss_to", (F.col("start") + F.col("base")).alias("start"), (F.col("stop") + F.col("base")).alias("stop"), position.alias("position"), "attend")
 
 
 def _decode(ids, lo, hi):
