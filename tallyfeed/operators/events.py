@@ -47,7 +47,7 @@ def from_records(records: DataFrame) -> dict[str, DataFrame]:
     return {
         "fills": fills.withColumn("key", fill_key(F.col("trade_id"), F.col("venue"))),
         "prices": of("price", s("instrument"), i("price")),
-        "actions": of("action", s("action_id"), s("instrument"), s("kind"), i("ratio"), i("rate")),
+        "actions": of("action", s("action_id"), s("instrument"), s("kind"), i("ratio"), i("rate"), fill_key(_typed(F.col("v"), "trade_id", "STRING"), _typed(F.col("v"), "venue", "STRING")).alias("key")),
         "amendments": of("action_amendment", s("action_id"), i("ratio"), i("rate")),
         "unknown": base.where(~F.col("type").isin(*EVENT_TYPES)).select("seq", "event_id", "effective", "type"),
     }

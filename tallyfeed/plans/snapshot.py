@@ -52,7 +52,8 @@ def ledger(tables: dict[str, DataFrame], points: DataFrame, force_global: bool =
     valued = value(positions(folded), E.latest_prices(E.visible(prices.where("good"), points)))
 
     seen = fills.select("seq", "event_id", "key")
-    others = actions.select("seq", "event_id").withColumn("key", F.lit(None).cast("string"))
+    # an action whose payload names a trade has its key too
+    others = actions.select("seq", "event_id", F.col("key") if "key" in actions.columns else F.lit(None).cast("string").alias("key"))
     late = refusals(folded).join(seen.unionByName(others), "seq").select("viewpoint", "seq", "event_id", F.coalesce("key", F.lit("")).alias("key"), "kind", "detail")
     blank = F.lit("").alias("key")
     early = [

@@ -21,10 +21,11 @@ from .operators.leaves import leaf_differences
 from .operators.generate import count_true, generated_events, repeated_ids
 from .operators.valuation import unevaluable, value
 from .plans import properties, replay, twins, verdict
+from .plans.reread import chain_again
 from .plans.snapshot import applicable, ledger
-from .plans.verify import chain_faults
+from .plans.verify import chain_faults, verify
 from .sources.feed import GENESIS, read_lines
-from .sources.ledger_feed import read_feed, records_of, write_zones
+from .sources.ledger_feed import append_batch, read_feed, records_of, write_zones
 from .sources.rows import altered_files, read_rows
 from .store import materialize, shared_dir
 from .streaming.book import start_folded
@@ -462,6 +463,27 @@ def verdict_folder(spark, sf_dir):
     return verdict.judge_folder(rows, want)
 
 
+def appended_feed(spark, sf_dir):
+    """A feed of the events, appended in three batches and one that is replayed, verified and read a second time in another way."""
+    path = f"{shared_dir(spark)}/appended-{uuid.uuid4().hex}"
+    events = _read(spark, sf_dir, "events").select(F.lit("note").alias("type"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), F.lit("2026-01-01").alias("effective"), F.concat(F.lit('{"user":'), F.col("user_id").cast("string"), F.lit("}")).alias("payload"), "event_id")
+    for part in (0, 1, 2, 1):
+        append_batch(events.where(F.col("event_id") % 3 == part), path, f"part-{part}", ["event_id"])
+    feed = verify(spark, path)
+    return chain_again(spark, path).select("records", "head", F.coalesce("first_break", F.lit(0)).alias("first_break"), F.lit(feed.count).cast("bigint").alias("verified"), F.lit(feed.residue).cast("bigint").alias("residue"), F.lit(feed.prefix_hash(feed.count)).alias("prefix_hash"))
+
+
+def ledger_summary(spark, sf_dir):
+    """The ledger at three viewpoints with some prices below one: totals, unrealized profit, what can't be valued (in order) and refusals."""
+    t = event_tables(spark, sf_dir)
+    t["prices"] = t["prices"].withColumn("price", F.when(F.floor(F.col("seq") / _STEP) % 5 == 0, -F.col("price")).when(F.floor(F.col("seq") / _STEP) % 7 == 0, 0).otherwise(F.col("price")))
+    told = ledger(t, _points(spark, sf_dir, True))
+    out = told.unevaluable.groupBy("viewpoint").agg(F.array_join(F.array_sort(F.collect_list("instrument")), ",").alias("unevaluable"))
+    refused = told.refusals.groupBy("viewpoint").agg(F.count("*").alias("refusals"), F.count_if(F.col("detail") == "price fields invalid").alias("bad_prices"), F.min("seq").alias("first_refused"), F.max("seq").alias("last_refused"))
+    absorbed = told.absorbed.groupBy("viewpoint").agg(F.count("*").alias("absorbed"))
+    return told.totals.join(out, "viewpoint", "left").join(refused, "viewpoint", "left").join(absorbed, "viewpoint", "left").na.fill("").na.fill(0)
+
+
 def streamed_book(spark, sf_dir):
     """The book at the end, kept in streaming state over micro-batches in which events arrive in no order."""
     path = f"{shared_dir(spark)}/streamed-{uuid.uuid4().hex}"
@@ -547,7 +569,7 @@ def _sql(base: str, several: bool, select: str) -> str:
     return base.replace("__POINTS__", "[1, 2, 4]" if several else "[4]").rstrip().rstrip(",") + "\n" + select
 
 
-QUERIES = {f.__name__: f for f in (feed_prefix, document_diffs, verdict_folder, twin_checks, twin_credit, replay_digest, replay_difference, marked_fills, valued_fills, terms_in_force, many_viewpoints, streamed_book, feed_lines, chain_sequence, invalid_events, valuation_overflow, generated_positions, holdings_diff, property_checks, verdict_row_faults, verdict_set_faults, verdict_expected, verdict_agreement, emitted_rows, altered_pages, event_counts, fill_dedupe, fill_absorbed, fill_collisions, latest_price, amended_terms, unknown_actions, positions_at_end, positions_at_viewpoints, totals_at_viewpoints, oversell_refusals, valuation, unevaluable_positions, refusal_kinds, reconcile_mismatches, set_symdiff, multiset_symdiff, chain_verify, verdict_credit, relieve_cost_table)}
+QUERIES = {f.__name__: f for f in (feed_prefix, appended_feed, ledger_summary, document_diffs, verdict_folder, twin_checks, twin_credit, replay_digest, replay_difference, marked_fills, valued_fills, terms_in_force, many_viewpoints, streamed_book, feed_lines, chain_sequence, invalid_events, valuation_overflow, generated_positions, holdings_diff, property_checks, verdict_row_faults, verdict_set_faults, verdict_expected, verdict_agreement, emitted_rows, altered_pages, event_counts, fill_dedupe, fill_absorbed, fill_collisions, latest_price, amended_terms, unknown_actions, positions_at_end, positions_at_viewpoints, totals_at_viewpoints, oversell_refusals, valuation, unevaluable_positions, refusal_kinds, reconcile_mismatches, set_symdiff, multiset_symdiff, chain_verify, verdict_credit, relieve_cost_table)}
 ORACLES = {
     "feed_prefix": f"""WITH l AS (SELECT event_id AS seq, 'e' || event_id AS id, '{{"type":"' || event_type || '","user":' || user_id || '}}' AS payload FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events))
 SELECT seq, id, 'record' AS class, payload, sha256('{{"effective":"2026-01-01","id":"' || id || '","payload":' || payload || ',"prev":"{GENESIS}","seq":' || seq || ',"type":"note"}}') AS line_hash FROM l""",
@@ -560,6 +582,17 @@ SELECT seq, id, 'record' AS class, payload, sha256('{{"effective":"2026-01-01","
 SELECT f.seq, f.instrument, f.qty, x.e AS price_effective, x.s AS price_seq, x.p AS mark FROM f1 f LEFT JOIN best USING (seq)""",
     ),
     "terms_in_force": _BASE.replace("p_partkey * 100000 + 96000 AS seq", "p_partkey * 100000 + 96000 - CASE WHEN p_partkey % 3 = 0 THEN 2000000 ELSE 0 END AS seq").replace("t * i // 4 *", "t * i // 40 *").replace("__POINTS__", "range(1, 41)").rstrip().rstrip(",") + "\nSELECT viewpoint, action_id, kind, coalesce(ratio, rate) AS term FROM terms",
+    "appended_feed": f"""WITH l AS (SELECT event_id, user_id, row_number() OVER (ORDER BY event_id % 3, event_id) AS seq FROM events),
+h AS (SELECT list_reduce(list('{{"effective":"2026-01-01","id":"e' || event_id || '","payload":{{"user":' || user_id || '}},"prev":"@","seq":' || seq || ',"type":"note"}}' ORDER BY seq), lambda a, x: sha256(replace(x, '@', a)), '{GENESIS}') AS head, count(*) AS n FROM l)
+SELECT n AS records, head, 0::BIGINT AS first_break, n AS verified, 0::BIGINT AS residue, 'sha256:' || head AS prefix_hash FROM h""",
+    "ledger_summary": _sql(
+        _FOLD.replace("cast(cast(o_totalprice AS DECIMAL(18, 2)) * 100 AS BIGINT) AS price FROM orders", "cast(cast(o_totalprice AS DECIMAL(18, 2)) * 100 AS BIGINT) * CASE WHEN o_orderkey % 5 = 0 THEN -1 WHEN o_orderkey % 7 = 0 THEN 0 ELSE 1 END AS price FROM orders").replace("FROM prices JOIN points ON prices.seq <= viewpoint GROUP BY ALL", "FROM prices JOIN points ON prices.seq <= viewpoint WHERE price > 0 GROUP BY ALL"),
+        True,
+        """, r AS (SELECT viewpoint, seq, 0 AS bad FROM over UNION ALL SELECT viewpoint, seq, 0 FROM fills JOIN points ON seq <= viewpoint WHERE status IN ('collision', 'malformed') UNION ALL SELECT viewpoint, seq, 0 FROM vm WHERE akind IS NULL UNION ALL SELECT viewpoint, prices.seq, 1 FROM prices JOIN points ON prices.seq <= viewpoint WHERE price <= 0)
+SELECT p.viewpoint, coalesce(cash, 0) AS cash, coalesce(realized_pnl, 0) AS realized_pnl, coalesce(dividend_income, 0) AS dividend_income, coalesce((SELECT cast(sum(unrealized) AS BIGINT) FROM val v WHERE v.viewpoint = p.viewpoint), 0) AS unrealized_pnl,
+  coalesce((SELECT string_agg(instrument, ',' ORDER BY instrument) FROM val v WHERE v.viewpoint = p.viewpoint AND price IS NULL), '') AS unevaluable, (SELECT count(*) FROM r WHERE r.viewpoint = p.viewpoint) AS refusals, (SELECT count(*) FROM r WHERE r.viewpoint = p.viewpoint AND bad = 1) AS bad_prices,
+  coalesce((SELECT min(seq) FROM r WHERE r.viewpoint = p.viewpoint), 0) AS first_refused, coalesce((SELECT max(seq) FROM r WHERE r.viewpoint = p.viewpoint), 0) AS last_refused, (SELECT count(*) FROM fills WHERE seq <= p.viewpoint AND status = 'absorbed') AS absorbed FROM points p LEFT JOIN tot ON tot.viewpoint = p.viewpoint""",
+    ),
     "document_diffs": """WITH o AS (SELECT o_orderkey AS k, 'o' || o_orderkey AS id, o_custkey AS c, o_orderstatus AS s, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders),
 x AS (SELECT id, 'customer.key' AS path, cast(c AS VARCHAR) AS want, CASE WHEN k % 7 = 0 THEN '<absent>' ELSE cast(c + 1 AS VARCHAR) END AS got FROM o WHERE k % 7 = 0 OR k % 5 = 0
 UNION ALL SELECT id, 'customer.tags', '["a","' || s || '"]', CASE WHEN k % 7 = 0 THEN '<absent>' ELSE '["' || s || '","a"]' END FROM o WHERE k % 7 = 0 OR k % 17 = 0
