@@ -1,10 +1,12 @@
 """Streaming: a feed's arriving events keep positions current.
 
-An event that arrives late (by effective date) or an amendment restates history,
-so each micro-batch appends its events to the event table, folds the touched
-instruments anew from it and writes their positions under its number; others keep
-their rows. Written for foreachBatch: a batch that is replayed writes the same rows
-again.
+An event that arrives late (by effective date) or an amendment restates history.
+``streaming.book`` keeps positions in keyed state and refolds from a saved one: use it
+to keep a book current. Here is the event store, from which a book can be folded anew:
+each micro-batch appends its events, by buckets of instruments, folds the touched
+instruments from their buckets and writes their positions under its number; others
+keep their rows. Written for foreachBatch: a batch that is replayed writes the same
+rows again.
 """
 
 from __future__ import annotations
@@ -14,16 +16,23 @@ from pyspark.sql import functions as F
 
 from ..operators.fold import EVENT_COLUMNS, fold, positions
 
+#: Folders of a batch's events, by instrument.
+BUCKETS = 64
+
 
 def upsert(events_path: str, positions_path: str | None = None):
     """A foreachBatch function that stores a micro-batch of fold events by batch id, and the positions of what it touches."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         part = f"batch={batch_id:012d}"
-        batch.select(*EVENT_COLUMNS).write.mode("overwrite").parquet(f"{events_path}/{part}")
+        bucket = F.pmod(F.xxhash64("instrument"), F.lit(BUCKETS))
+        batch.select(*EVENT_COLUMNS, bucket.alias("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{events_path}/{part}")
         if positions_path:
             stored = batch.sparkSession.read.parquet(events_path)
-            touched = stored.where(F.col("batch") == batch_id).select("viewpoint", "instrument").distinct()
+            here = stored.where(F.col("batch") == batch_id)
+            # other buckets' folders aren't read
+            stored = stored.where(F.col("bucket").isin([r["bucket"] for r in here.select("bucket").distinct().collect()]))
+            touched = here.select("viewpoint", "instrument").distinct()
             # an instrument that is sold off has a row of zero
             rows = touched.join(current_positions(stored, touched), ["viewpoint", "instrument"], "left").na.fill(0)
             rows.write.mode("overwrite").parquet(f"{positions_path}/{part}")
