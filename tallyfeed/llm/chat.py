@@ -28,7 +28,8 @@ per partition and is added in a join on the partition's number, so neither a fre
 first turn nor copies of a conversation gather anywhere.
 
 Null texts and roles are empty; rows of equal (conversation, turn) follow by role
-and text; a null conv_id is one conversation; an empty table gives no rows. One
+and text; a null conv_id is one conversation; an empty table gives no rows; other
+columns, of any name, are ignored. One
 conversation's turns are gathered in one task, as its digest needs them in order.
 """
 

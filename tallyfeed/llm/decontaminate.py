@@ -11,13 +11,15 @@ patterns in it are compared directly.
 Benchmark text is broadcast in blocks of some ``BLOCK_CHARS`` characters, each a
 broadcast of its own. A block's tables hold words as numbers and patterns packed
 in one string, some 40 MB; a worker keeps the tables of ``KEPT`` blocks and, if
-there are more, builds them anew for each ``SLICE`` documents, so its memory does
-not grow with the benchmark and documents are read once, whatever its size.
+there are more, builds them anew for each ``SLICE`` documents. Documents are read once,
+whatever the benchmark's size; of each block that a worker has used, its text stays in
+the worker's memory (the broadcast's value), tables do not.
 
 Nulls and texts without words have no windows: a document gets n_words 0 and is
 clean, an item matches nothing. An item with a null id hits words like any other,
 but has no id to be counted or listed. Repeated items and repeated rows are judged
-each for itself. Input columns named like an output column (in any case) are
+each for itself. Empty tables: no documents give no rows, no items leave all clean. A
+text of any length is matched as a whole. Input columns named like an output column (in any case) are
 replaced.
 """
 

@@ -35,7 +35,9 @@ Components of the links come from repeated minimum exchange with pointer jumping
 written out between rounds.
 
 Null and blank texts have no words and no set: they are linked with nothing. A
-text of fewer words than a shingle is one shingle. Repeated rows are copies.
+text of fewer words than a shingle is one shingle. Repeated rows are copies. A text of
+any length is one set, held whole by the task that describes or compares it; an empty
+table gives no rows.
 doc_id identifies a document; rows with a null doc_id take part, and get a null
 component_id unless a document with an id is in their component; where there is
 none, all are kept. Rows that repeat a kept doc_id are kept too. Input columns named

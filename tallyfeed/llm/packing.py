@@ -13,7 +13,9 @@ which are not padded. Memory: ids and positions of ``FLUSH`` tokens; the
 programme continues over a flush at the last window but one.
 
 A null or empty text is the end id alone. Ids fall in exactly one piece each;
-pieces of a window are gapless from offset 0. An empty table gives no rows.
+pieces of a window are gapless from offset 0. Repeated rows are packed each for itself.
+A text of any length is one stream of ids, encoded as a whole by its task. An empty
+table gives no rows.
 Input columns of the output's names (in any case) are replaced.
 """
 

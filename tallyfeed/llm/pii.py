@@ -25,7 +25,7 @@ are equal to the formats they stand for (see the comments). Work is linear in a
 text's length and number of matches but for terms divided by ``GROUP`` or ``CUT``:
 running sums are taken in two levels, overlaps are found by sorting, texts are
 redacted in pieces. A row is handled by itself: no shuffle. Null texts are empty:
-no spans. Repeated rows get equal results. Input columns named like an output
+no spans. Repeated rows get equal results; an empty table gives no rows. Input columns named like an output
 column (in any case) are replaced.
 """
 

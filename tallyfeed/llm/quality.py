@@ -17,7 +17,8 @@ Scores come from texts alone. A null or blank text has features of zero and a
 score like any other. Labels of unknown documents or null labels are ignored;
 with labels of one class only (or none) all scores are that class's share (0.5).
 Repeated rows get equal scores. Where texts share a labelled doc_id, the one of the
-smallest hash is learned from. Input columns named like an output column (in any
+smallest hash is learned from. A text of any length is read as a whole by its task; an empty
+table gives no rows. Input columns named like an output column (in any
 case) are replaced.
 """
 

@@ -25,7 +25,8 @@ A worker holds the arrays of some ``CHUNK_WORDS`` words and ``OUT_ROWS`` output
 at a time. Null or empty texts have no words; texts of fewer than ``k`` words keep
 all. Repeated rows repeat each other's windows. Rows are matched by (doc_id, text
 hash), so null or repeated ids are no problem: rows equal in both get equal
-results. Input columns named like an output column (in any case) are replaced.
+results. A text of any length is one chunk of its task; an empty table gives no rows.
+Input columns named like an output column (in any case) are replaced.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ for a context limit L: documents and tokens at least L long, the tokens that
 remain when each document is cut at L, the tokens lost, and how many documents
 come before (ranks for quantiles). Suffix sums are taken in two levels, inside
 blocks of ``BLOCK`` lengths and over the block totals, so no task holds the
-whole histogram. A null or empty text has length 0; an empty table has no rows.
+whole histogram. A null or empty text has length 0; an empty table has no rows. Repeated rows count
+each for itself; other columns, of any name, are ignored. A text of any length is
+encoded as a whole by its task and only its length kept.
 """
 
 from __future__ import annotations

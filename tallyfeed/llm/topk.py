@@ -24,7 +24,10 @@ rows but itself. Ties go to the smaller vec_id. Vectors that are null, or hold n
 or non-finite components, take no part, nor do rows with a null vec_id. Vectors of
 different length than the query's are no candidates for it. Components are kept
 within int64, and a score beyond int64 is its nearest limit. Repeated rows are
-candidates each for itself. An empty table gives no rows.
+candidates each for itself; other columns, of any name, are ignored. Queries and
+candidates that meet are shipped to their pair of blocks, and past ``MAX_NEEDS`` pairs
+of query block and bucket a candidate goes to every query block: what is shipped grows
+with the product of both in blocks. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ join is on the canonical URL against distinct listed ones, so a frequent URL or
 host makes a skewed probe side only, which adaptive execution splits.
 
 Rules are a parameter, at most ``MAX_RULES``. Repeated rows each get their
-verdict; an empty list allows all; input columns named like an output column (in
+verdict; an empty list allows all, an empty table gives no rows; input columns named like an output column (in
 any case) are replaced.
 """
 
