@@ -61,7 +61,8 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in windows of 4096 token ids."""
-    return pack(docs, tokenizer_path(), keep=["doc_id", "source"])
+    there = {c.lower() for c in docs.columns}
+    return pack(docs, tokenizer_path(), keep=[c for c in ("doc_id", "source") if c in there])
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", pii), ("packing", packing)]
