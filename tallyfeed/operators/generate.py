@@ -31,6 +31,22 @@ def generated_events(spark: SparkSession, n: int, instruments: int = 50) -> Data
     )
 
 
+def traded_events(rows: DataFrame) -> DataFrame:
+    """Fold events of one viewpoint, one for each row (seq, pick, amount, effective) of a table: the kind follows seq as above, the instrument and price follow pick, the quantity or term follows amount."""
+    kind = F.when(F.col("k") < 9, "buy").when(F.col("k") < 14, "sell").when((F.col("k") == 14) & (F.col("seq") % 997 == 0), "split").otherwise("dividend")
+    trade = F.col("k") < 14
+    return rows.select("*", _number("kind", 16).alias("k")).select(
+        F.lit(0).cast("bigint").alias("viewpoint"),
+        F.concat(F.lit("G"), F.pmod("pick", F.lit(50)).cast("string")).alias("instrument"),
+        "effective",
+        "seq",
+        kind.alias("kind"),
+        F.when(trade, F.pmod("amount", F.lit(90)) + 1).alias("qty"),
+        F.when(trade, F.pmod("pick", F.lit(9000)) + 100).alias("price"),
+        F.when(~trade, F.when(kind == "split", 2).otherwise(F.pmod("amount", F.lit(5)))).cast("bigint").alias("term"),
+    )
+
+
 def repeated_ids(events: DataFrame, column: str = "id") -> DataFrame:
     """(id, n): ids that more than one event has."""
     return events.groupBy(F.col(column).alias("id")).agg(F.count("*").alias("n")).where("n > 1")

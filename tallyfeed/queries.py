@@ -18,7 +18,7 @@ from .operators.asof import as_of, in_force
 from .operators.book import fold_at_viewpoints, known_events, term_intervals
 from .operators.fold import fold, positions, refusals, totals
 from .operators.leaves import leaf_differences
-from .operators.generate import count_true, generated_events, repeated_ids
+from .operators.generate import count_true, repeated_ids, traded_events
 from .operators.valuation import unevaluable, value
 from .plans import properties, replay, twins, verdict
 from .plans.reread import chain_again
@@ -261,9 +261,9 @@ def valuation_overflow(spark, sf_dir):
 
 
 def generated_positions(spark, sf_dir):
-    """The book of as many generated events as there are line items."""
-    events = generated_events(spark, _read(spark, sf_dir, "lineitem").count())
-    return positions(fold(events)).drop("viewpoint")
+    """The book of trades generated from the events: users trade what their number says, in amounts of the events' values."""
+    rows = _read(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("seq"), F.col("user_id").alias("pick"), F.floor("value").cast("bigint").alias("amount"), F.date_format("ts", "yyyy-MM-dd HH").alias("effective"))
+    return positions(fold(traded_events(rows))).drop("viewpoint")
 
 
 def holdings_diff(spark, sf_dir):
@@ -300,7 +300,7 @@ def verdict_row_faults(spark, sf_dir):
 
 
 def verdict_set_faults(spark, sf_dir):
-    return verdict.set_reasons(_verdict_rows(spark, sf_dir).where("CAST(file AS BIGINT) % 10 = 1").withColumn("file", F.lpad("file", 9, "0")))
+    return verdict.set_reasons(_verdict_rows(spark, sf_dir).withColumn("file", F.lpad("file", 12, "0")))
 
 
 def verdict_expected(spark, sf_dir):
@@ -325,9 +325,9 @@ def emitted_rows(spark, sf_dir):
 
 def altered_pages(spark, sf_dir):
     """Pages against a list of their hashes in which some are missing, repeated or of other content; line ends don't count."""
-    pages = _read(spark, sf_dir, "pages").select("page_id", F.col("page_id").cast("string").alias("name"), F.coalesce("url", F.lit("")).alias("url"))
-    found = pages.where("page_id % 11 <> 3").select("name", F.concat("url", F.lit("\r\n")).cast("binary").alias("content"))
-    listed = pages.where("page_id % 7 <> 2").select("name", "page_id", F.sha2(F.concat("url", F.when(F.col("page_id") % 5 == 1, "\n\n").otherwise("\n")), 256).alias("sha256"))
+    pages = _read(spark, sf_dir, "pages").select("page_id", F.col("page_id").cast("string").alias("name"), F.coalesce("html", F.lit("")).alias("html"))
+    found = pages.where("page_id % 11 <> 3").select("name", F.concat("html", F.lit("\r\n")).cast("binary").alias("content"))
+    listed = pages.where("page_id % 7 <> 2").select("name", "page_id", F.sha2(F.concat(F.regexp_replace("html", "\r\n", "\n"), F.when(F.col("page_id") % 5 == 1, "\n\n").otherwise("\n")), 256).alias("sha256"))
     return altered_files(listed.drop("page_id").union(listed.where("page_id % 13 = 4").drop("page_id")), found)
 
 
@@ -538,12 +538,12 @@ tot AS (SELECT viewpoint, cast(sum(z.cash) AS BIGINT) AS cash, cast(sum(z.gain)
 over AS (SELECT viewpoint, cast(z.over[i] AS BIGINT) AS seq, 'sell ' || z.over[i + 1] || ' exceeds held ' || z.over[i + 2] AS detail FROM folded, unnest(range(1, len(z.over) + 1, 3)) AS u(i)),
 """
 _FOLD = _BASE + _FOLDED + "val AS (SELECT pos.*, price, price_seq, cast(qty::HUGEINT * price - total_cost AS BIGINT) AS unrealized FROM pos LEFT JOIN lp USING (viewpoint, instrument))\n"
-_NUMBER = {"instrument": "((seq * 7919 + 13) % 1000003)", "kind": "((seq * 104729 + 7) % 1000003)", "qty": "((seq * 31337 + 3) % 1000003)", "price": "((seq * 27644437 + 11) % 1000003)", "day": "((seq * 611953 + 5) % 1000003)"}
+_NUMBER = {"kind": "((seq * 104729 + 7) % 1000003)"}
 _GENERATED = f"""
-WITH g AS (SELECT (SELECT count(*) FROM lineitem) AS viewpoint, seq, {_NUMBER['kind']} % 16 AS k FROM range(1, (SELECT count(*) + 1 FROM lineitem)) AS t(seq)),
-ev AS (SELECT viewpoint, 'G' || ({_NUMBER['instrument']} % 50) AS instrument, '2026-' || lpad(cast({_NUMBER['day']} % 12 + 1 AS VARCHAR), 2, '0') AS effective, seq,
-  CASE WHEN k < 9 THEN 'buy' WHEN k < 14 THEN 'sell' WHEN k = 14 AND seq % 997 = 0 THEN 'split' ELSE 'dividend' END AS kind, CASE WHEN k < 14 THEN {_NUMBER['qty']} % 90 + 1 END AS qty, CASE WHEN k < 14 THEN {_NUMBER['price']} % 9000 + 100 END AS price,
-  CASE WHEN k = 14 AND seq % 997 = 0 THEN 2 WHEN k >= 14 THEN {_NUMBER['qty']} % 5 END AS term FROM g),
+WITH g AS (SELECT *, event_id + 1 AS seq, floor(value)::BIGINT AS amount FROM events), g2 AS (SELECT *, {_NUMBER['kind']} % 16 AS k FROM g),
+ev AS (SELECT 0 AS viewpoint, 'G' || (user_id % 50) AS instrument, strftime(ts, '%Y-%m-%d %H') AS effective, seq,
+  CASE WHEN k < 9 THEN 'buy' WHEN k < 14 THEN 'sell' WHEN k = 14 AND seq % 997 = 0 THEN 'split' ELSE 'dividend' END AS kind, CASE WHEN k < 14 THEN amount % 90 + 1 END AS qty, CASE WHEN k < 14 THEN user_id % 9000 + 100 END AS price,
+  CASE WHEN k = 14 AND seq % 997 = 0 THEN 2 WHEN k >= 14 THEN amount % 5 END AS term FROM g2),
 """ + _FOLDED
 _ROWS = """WITH r AS (SELECT event_id AS e, event_type AS surface, user_id % 40 AS lane, event_id % 2 = 1 AS twin, CASE event_id % 3 WHEN 0 THEN 'GREEN' WHEN 1 THEN 'RED' ELSE 'UNEVALUABLE' END AS result,
   event_id % 5 = 0 AS told, event_id % 4 AS c, event_id % 11 = 0 AS other, event_id % 5 AS ev, (event_id % 2 = 1) <> (event_id % 13 = 0) AS planted, event_id % 4 + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS want, 'm' || (event_id % 9) AS mutation FROM events)
@@ -658,7 +658,7 @@ UNION ALL SELECT 'silent_zero', 0, count(*) FROM pos UNION ALL SELECT 'stale_pri
   CASE WHEN result <> 'UNEVALUABLE' AND ev = 0 THEN 'nothing was evaluated, yet the result is not UNEVALUABLE: ' || CASE WHEN other THEN 'd' ELSE 'c' END END, CASE WHEN NOT twin AND result = 'GREEN' AND c > 0 THEN 'GREEN in spite of violations' END, CASE WHEN twin AND result = 'RED' AND c = 0 THEN 'RED without a violation' END,
   CASE WHEN twin AND result = 'RED' AND planted AND c <> want THEN 'violations differ from those planted' END, CASE WHEN e % 17 = 0 THEN 'holds a word that only crediting may use: all PARTIAL here' END], lambda x: x IS NOT NULL)) AS reason FROM r""",
     "verdict_set_faults": _ROWS
-    + """, n AS (SELECT *, lpad(cast(e AS VARCHAR), 9, '0') AS file, CASE WHEN twin THEN 'twin' ELSE 'live' END AS cell, surface || ':lane' || lane AS cell_key FROM r WHERE e % 10 = 1),
+    + """, n AS (SELECT *, lpad(cast(e AS VARCHAR), 12, '0') AS file, CASE WHEN twin THEN 'twin' ELSE 'live' END AS cell, surface || ':lane' || lane AS cell_key FROM r),
 m AS (SELECT *, row_number() OVER c AS i, first_value(file) OVER c AS f, row_number() OVER t AS j, first_value(file) OVER t AS g FROM n WINDOW c AS (PARTITION BY surface, lane, cell ORDER BY file), t AS (PARTITION BY surface, lane, cell, mutation ORDER BY file))
 SELECT file, unnest(list_filter([CASE WHEN NOT twin AND i > 1 THEN 'live row of ' || cell_key || ' already in ' || f END, CASE WHEN twin AND j > 1 THEN 'twin ' || mutation || ' of ' || cell_key || ' already in ' || g END, CASE WHEN NOT twin AND result = 'RED' THEN 'look at it: live data fails' END, CASE WHEN twin AND result = 'GREEN' THEN 'look at it: a planted defect went unseen' END], lambda x: x IS NOT NULL)) AS reason FROM m""",
     "verdict_expected": _ROWS
