@@ -338,20 +338,27 @@ class FeedWriter(DataSourceArrowWriter):
 
     def write(self, iterator):
         store, folder = open_path(self.path)
-        part, seq, head = f"{folder}/_{self.batch_id}-{uuid.uuid4().hex}", self.seq, self.head
-        with store.open_output_stream(part) as out:
-            for batch in iterator:
-                rows = batch.select(self.columns).to_pylist()
-                for r in rows:
-                    if not r["type"] or not r["id"]:
-                        raise MissingIdentity(f"an event needs a type and an id, not {r['type']!r} and {r['id']!r}")
-                    payload = decode(r["payload"]) if r["payload"] is not None else {}
-                    if not isinstance(payload, dict):
-                        raise CanonError(f"the payload of {r['id']} is no object")
-                    seq += 1
-                    line = encode({"effective": r["effective"] or "", "id": r["id"], "payload": payload, "prev": head, "seq": seq, "type": r["type"]})
-                    out.write(line + b"\n")
-                    head = sha256_hex(line)
+        part = f"{folder}/_{self.batch_id}-{uuid.uuid4().hex}"
+        try:
+            with store.open_output_stream(part) as out:
+                return self._chain(iterator, out, part)
+        except BaseException:
+            store.delete_file(part)
+            raise
+
+    def _chain(self, iterator, out, part: str) -> Written:
+        seq, head = self.seq, self.head
+        for batch in iterator:
+            for r in batch.select(self.columns).to_pylist():
+                if not r["type"] or not r["id"]:
+                    raise MissingIdentity(f"an event needs a type and an id, not {r['type']!r} and {r['id']!r}")
+                payload = decode(r["payload"]) if r["payload"] is not None else {}
+                if not isinstance(payload, dict):
+                    raise CanonError(f"the payload of {r['id']} is no object")
+                seq += 1
+                line = encode({"effective": r["effective"] or "", "id": r["id"], "payload": payload, "prev": head, "seq": seq, "type": r["type"]})
+                out.write(line + b"\n")
+                head = sha256_hex(line)
         return Written(part, seq - self.seq, head)
 
     def commit(self, messages):
