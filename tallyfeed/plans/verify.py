@@ -61,20 +61,33 @@ def chain_faults(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.withColumn("fault", fault), per
 
 
+def summary(rows: DataFrame, per: DataFrame) -> DataFrame:
+    """One row about numbered lines and their segments: records, residue, head, and the first fault (seq, fault; null if none).
+
+    The first fault of a line counts. Where there is none, a feed whose last residue is a whole line with no record
+    after it is at fault at the seq that would come next.
+    """
+    first = rows.where("fault IS NOT NULL").agg(F.min(F.struct("segment", "line_no", "seq", "fault")).alias("x"))
+    with_residue, with_records = F.col("last_residue").isNotNull(), F.col("n") > 0
+    told = per.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("records"),
+        F.coalesce(F.sum("residue"), F.lit(0)).alias("residue"),
+        F.max_by("last_hash", F.when(with_records, F.col("segment"))).alias("head"),
+        F.max(F.when(with_residue, F.struct("segment", F.col("last_residue").alias("line_no"), "residue_terminated"))).alias("residue_at"),
+        F.max(F.when(with_records, F.struct("segment", F.col("last_record").alias("line_no")))).alias("record_at"),
+    )
+    at = lambda c: F.struct(f"{c}.segment", f"{c}.line_no")
+    open_end = F.col("residue_at.residue_terminated") & (F.col("record_at").isNull() | (at("residue_at") > at("record_at")))
+    late = F.when(F.coalesce(open_end, F.lit(False)), F.struct((F.col("records") + 1).alias("seq"), F.lit(UNFINISHED).alias("fault")))
+    found = F.when(F.col("x").isNotNull(), F.struct(F.col("x.seq").alias("seq"), F.col("x.fault").alias("fault"))).otherwise(late)
+    return told.crossJoin(first).select("records", "residue", F.coalesce("head", F.lit(GENESIS)).alias("head"), found.alias("f")).select("records", "residue", "head", "f.seq", "f.fault")
+
+
 def verify(spark: SparkSession, path: str) -> VerifiedFeed:
     """The verified feed at the path; raises FeedNotFound or ChainError."""
     rows, per = chain_faults(read_lines(spark, path))
     rows, per = materialize(rows, "records"), materialize(per, "segments")
-    first = rows.where("fault IS NOT NULL").agg(F.min(F.struct("segment", "line_no", "seq", "fault")).alias("x")).first()["x"]
-    if first:
-        raise ChainError(first["seq"], first["fault"])
-    segments = per.orderBy("segment").collect()
-    count = sum(r["n"] for r in segments)
-    with_residue = [r for r in segments if r["last_residue"] is not None]
-    if with_residue and with_residue[-1]["residue_terminated"]:
-        last = with_residue[-1]
-        later = any(r["n"] for r in segments if r["segment"] > last["segment"]) or (last["last_record"] is not None and last["last_record"] > last["last_residue"])
-        if not later:
-            raise ChainError(count + 1, UNFINISHED)
-    head = next((r["last_hash"] for r in reversed(segments) if r["n"]), GENESIS)
-    return VerifiedFeed(rows.select("seq", "type", "id", "effective", "payload", "prev", "line_hash"), count, sum(r["residue"] for r in segments), head)
+    told = summary(rows, per).first()
+    if told["fault"]:
+        raise ChainError(told["seq"], told["fault"])
+    return VerifiedFeed(rows.select("seq", "type", "id", "effective", "payload", "prev", "line_hash"), told["records"], told["residue"], told["head"])

@@ -23,7 +23,7 @@ from .operators.valuation import unevaluable, value
 from .plans import properties, replay, twins, verdict
 from .plans.reread import chain_again
 from .plans.snapshot import applicable, ledger
-from .plans.verify import chain_faults, verify
+from .plans.verify import chain_faults, summary, verify
 from .sources.feed import GENESIS, read_lines
 from .sources.ledger_feed import append_batch, read_feed, records_of, write_zones
 from .sources.rows import altered_files, read_rows
@@ -473,6 +473,42 @@ def appended_feed(spark, sf_dir):
     return chain_again(spark, path).select("records", "head", F.coalesce("first_break", F.lit(0)).alias("first_break"), F.lit(feed.count).cast("bigint").alias("verified"), F.lit(feed.residue).cast("bigint").alias("residue"), F.lit(feed.prefix_hash(feed.count)).alias("prefix_hash"))
 
 
+def feed_endings(spark, sf_dir):
+    """What is wrong with a feed of the events in each of its endings: whole, after blanks, in residue torn or whole, at a break before that, or with a record after it."""
+    events = _read(spark, sf_dir, "events").select("event_id", F.sha2(F.col("event_id").cast("string"), 256).alias("h"))
+    before = events.select((F.col("event_id") + 1).alias("event_id"), F.col("h").alias("p"))
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    text = lambda x: F.lit(x).cast("string")
+    segment = F.lpad(F.floor((F.col("event_id") - low) / 700).cast("string"), 12, "0")
+    n = F.col("event_id") - low + 1
+    lines = events.join(before, "event_id", "left").select(segment.alias("segment"), (F.col("event_id") * 10).alias("line_no"), F.lit(True).alias("terminated"), F.lit("record").alias("class"), n.alias("seq"), F.coalesce("p", F.lit(GENESIS)).alias("prev"), F.col("h").alias("line_hash"), text(None).alias("reason"))
+    lines = materialize(lines, "endings")
+    last = lines.agg(F.max("segment")).first()[0]
+    extra = lambda kind, where, whole: spark.createDataFrame([(last, where, whole, kind)], "segment string, line_no bigint, terminated boolean, class string")
+    broken = lines.withColumn("prev", F.when(F.col("seq") == (high - low) // 2, "f" * 64).otherwise(F.col("prev")))
+    end, early = high * 10 + 1, high * 10 - 1
+    endings = {
+        "whole": (lines, []), "blank": (lines, [extra("blank", end, True)]), "torn": (lines, [extra("residue", end, False)]), "unfinished": (lines, [extra("residue", end, True)]), "torn_then_blank": (lines, [extra("residue", end, False), extra("blank", end + 1, True)]),
+        "broken": (broken, [extra("residue", end, True)]), "residue_before": (lines, [extra("residue", early, True)]),
+    }
+    out = None
+    for name, (rows, more) in endings.items():
+        for x in more:
+            rows = rows.unionByName(x, allowMissingColumns=True)
+        told = summary(*chain_faults(rows)).select(F.lit(name).alias("ending"), "records", "residue", "head", F.coalesce("seq", F.lit(0)).alias("seq"), F.coalesce("fault", F.lit("")).alias("fault"))
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
+def overflow_refusals(spark, sf_dir):
+    """Purchases so large that a cost, or the one cash balance of all, leaves int64: each refused event and why."""
+    rows = _read(spark, sf_dir, "events").select(
+        F.lit(0).cast("bigint").alias("viewpoint"), F.concat(F.lit("E"), F.col("event_id").cast("string")).alias("instrument"), F.date_format("ts", "yyyy-MM-dd").alias("effective"), F.col("event_id").alias("seq"), F.lit("buy").alias("kind"),
+        (1 + F.col("user_id") % 10).cast("bigint").alias("qty"), ((F.col("event_id") % 900 + 1) * 10**16).cast("bigint").alias("price"), F.lit(None).cast("bigint").alias("term"),
+    )
+    return refusals(fold(rows)).select("seq", "kind", "detail")
+
+
 def ledger_summary(spark, sf_dir):
     """The ledger at three viewpoints with some prices below one: totals, unrealized profit, what can't be valued (in order) and refusals."""
     t = event_tables(spark, sf_dir)
@@ -569,7 +605,7 @@ def _sql(base: str, several: bool, select: str) -> str:
     return base.replace("__POINTS__", "[1, 2, 4]" if several else "[4]").rstrip().rstrip(",") + "\n" + select
 
 
-QUERIES = {f.__name__: f for f in (feed_prefix, appended_feed, ledger_summary, document_diffs, verdict_folder, twin_checks, twin_credit, replay_digest, replay_difference, marked_fills, valued_fills, terms_in_force, many_viewpoints, streamed_book, feed_lines, chain_sequence, invalid_events, valuation_overflow, generated_positions, holdings_diff, property_checks, verdict_row_faults, verdict_set_faults, verdict_expected, verdict_agreement, emitted_rows, altered_pages, event_counts, fill_dedupe, fill_absorbed, fill_collisions, latest_price, amended_terms, unknown_actions, positions_at_end, positions_at_viewpoints, totals_at_viewpoints, oversell_refusals, valuation, unevaluable_positions, refusal_kinds, reconcile_mismatches, set_symdiff, multiset_symdiff, chain_verify, verdict_credit, relieve_cost_table)}
+QUERIES = {f.__name__: f for f in (feed_prefix, feed_endings, overflow_refusals, appended_feed, ledger_summary, document_diffs, verdict_folder, twin_checks, twin_credit, replay_digest, replay_difference, marked_fills, valued_fills, terms_in_force, many_viewpoints, streamed_book, feed_lines, chain_sequence, invalid_events, valuation_overflow, generated_positions, holdings_diff, property_checks, verdict_row_faults, verdict_set_faults, verdict_expected, verdict_agreement, emitted_rows, altered_pages, event_counts, fill_dedupe, fill_absorbed, fill_collisions, latest_price, amended_terms, unknown_actions, positions_at_end, positions_at_viewpoints, totals_at_viewpoints, oversell_refusals, valuation, unevaluable_positions, refusal_kinds, reconcile_mismatches, set_symdiff, multiset_symdiff, chain_verify, verdict_credit, relieve_cost_table)}
 ORACLES = {
     "feed_prefix": f"""WITH l AS (SELECT event_id AS seq, 'e' || event_id AS id, '{{"type":"' || event_type || '","user":' || user_id || '}}' AS payload FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events))
 SELECT seq, id, 'record' AS class, payload, sha256('{{"effective":"2026-01-01","id":"' || id || '","payload":' || payload || ',"prev":"{GENESIS}","seq":' || seq || ',"type":"note"}}') AS line_hash FROM l""",
@@ -582,6 +618,14 @@ SELECT seq, id, 'record' AS class, payload, sha256('{{"effective":"2026-01-01","
 SELECT f.seq, f.instrument, f.qty, x.e AS price_effective, x.s AS price_seq, x.p AS mark FROM f1 f LEFT JOIN best USING (seq)""",
     ),
     "terms_in_force": _BASE.replace("p_partkey * 100000 + 96000 AS seq", "p_partkey * 100000 + 96000 - CASE WHEN p_partkey % 3 = 0 THEN 2000000 ELSE 0 END AS seq").replace("t * i // 4 *", "t * i // 40 *").replace("__POINTS__", "range(1, 41)").rstrip().rstrip(",") + "\nSELECT viewpoint, action_id, kind, coalesce(ratio, rate) AS term FROM terms",
+    "feed_endings": f"""WITH e AS (SELECT min(event_id) AS low, max(event_id) AS high, count(*) AS n, sha256(cast(max(event_id) AS VARCHAR)) AS h FROM events)
+SELECT x.ending, n AS records, x.residue::BIGINT AS residue, h AS head, CASE x.ending WHEN 'unfinished' THEN n + 1 WHEN 'broken' THEN (high - low) // 2 ELSE 0 END AS seq,
+  CASE x.ending WHEN 'unfinished' THEN 'the feed ends in a complete line that is no record' WHEN 'broken' THEN 'prev is not the hash of the line before' ELSE '' END AS fault
+FROM e, (SELECT unnest([{{'ending': 'whole', 'residue': 0}}, {{'ending': 'blank', 'residue': 1}}, {{'ending': 'torn', 'residue': 1}}, {{'ending': 'unfinished', 'residue': 1}}, {{'ending': 'torn_then_blank', 'residue': 2}}, {{'ending': 'broken', 'residue': 1}}, {{'ending': 'residue_before', 'residue': 1}}], recursive := true)) AS x""",
+    "overflow_refusals": """WITH e AS (SELECT event_id AS s, strftime(ts, '%Y-%m-%d') AS d, (1 + user_id % 10)::HUGEINT * ((event_id % 900 + 1) * 10000000000000000)::HUGEINT AS p FROM events),
+z AS (SELECT list_reduce(list({'s': s, 'p': p, 'cash': 0::HUGEINT, 'out': []::BIGINT[]} ORDER BY d, s), lambda a, x: {'s': x.s, 'p': x.p, 'cash': CASE WHEN x.p <= 9223372036854775807 AND a.cash - x.p >= -9223372036854775808 THEN a.cash - x.p ELSE a.cash END,
+  'out': CASE WHEN x.p <= 9223372036854775807 AND a.cash - x.p < -9223372036854775808 THEN list_append(a.out, x.s) ELSE a.out END}, {'s': 0::BIGINT, 'p': 0::HUGEINT, 'cash': 0::HUGEINT, 'out': []::BIGINT[]}) AS z FROM e)
+SELECT s AS seq, 'malformed' AS kind, 'buy cost (qty*price) overflows int64' AS detail FROM e WHERE p > 9223372036854775807 UNION ALL SELECT unnest(z.out), 'malformed', 'buy would overflow cash balance' FROM z""",
     "appended_feed": f"""WITH l AS (SELECT event_id, user_id, row_number() OVER (ORDER BY event_id % 3, event_id) AS seq FROM events),
 h AS (SELECT list_reduce(list('{{"effective":"2026-01-01","id":"e' || event_id || '","payload":{{"user":' || user_id || '}},"prev":"@","seq":' || seq || ',"type":"note"}}' ORDER BY seq), lambda a, x: sha256(replace(x, '@', a)), '{GENESIS}') AS head, count(*) AS n FROM l)
 SELECT n AS records, head, 0::BIGINT AS first_break, n AS verified, 0::BIGINT AS residue, 'sha256:' || head AS prefix_hash FROM h""",
