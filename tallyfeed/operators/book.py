@@ -77,8 +77,10 @@ def advance(position: tuple, events: list[tuple]) -> tuple[tuple, tuple]:
     ledger, refused = Ledger(False), 0
     if position[0]:
         ledger.held[None] = position
+    apply = ledger.apply
     for _, _, kind, qty, price, term in events:
-        refused += ledger.apply(None, kind, qty, price, term) is not None
+        if apply(None, kind, qty, price, term) is not None:
+            refused += 1
     return ledger.held.get(None, EMPTY), (ledger.cash, ledger.realized, ledger.dividends, ledger.reach, refused)
 
 

@@ -32,6 +32,9 @@ EVENT_COLUMNS = ["viewpoint", "instrument", "effective", "seq", "kind", "qty", "
 OUT = flat("what string, viewpoint bigint, instrument string, qty bigint, total_cost bigint, seq bigint, kind string, detail string, cash string, realized string, dividends string, reach string")
 
 
+_NONE = (0, 0)
+
+
 class Ledger:
     """Running state of one group. ``checked``: whether balances are global and their overflow refuses."""
 
@@ -47,8 +50,8 @@ class Ledger:
 
     def apply(self, instrument: str, kind: str, qty: int, price: int, term: int) -> tuple[str, str] | None:
         """The refusal (kind, detail) of an event, or None and the state has moved."""
-        held, cost = self.held.get(instrument, (0, 0))
-        out = lambda x: self.checked and not fits(x)
+        held, cost = self.held.get(instrument, _NONE)
+        checked = self.checked
         if kind == "buy":
             paid = qty * price
             if paid > INT64_MAX:
@@ -57,20 +60,21 @@ class Ledger:
                 return "malformed", "buy would overflow position quantity"
             if cost + paid > INT64_MAX:
                 return "malformed", "buy would overflow position total cost"
-            if out(self.cash - paid):
+            if checked and not fits(self.cash - paid):
                 return "malformed", "buy would overflow cash balance"
             self.held[instrument] = held + qty, cost + paid
-            self.move(-paid)
+            self.cash -= paid
+            self.reach += paid
         elif kind == "sell":
             if qty > held:
                 return "oversell", f"sell {qty} exceeds held {held}"
             got = qty * price
             if got > INT64_MAX:
                 return "malformed", "sell proceeds (qty*price) overflows int64"
-            if out(self.cash + got):
+            if checked and not fits(self.cash + got):
                 return "malformed", "sell would overflow cash balance"
             gone = relieve(cost, qty, held)
-            if out(self.realized + got - gone):
+            if checked and not fits(self.realized + got - gone):
                 return "malformed", "sell would overflow realized P&L"
             if held == qty:
                 del self.held[instrument]
@@ -85,9 +89,9 @@ class Ledger:
             paid = held * term
             if paid > INT64_MAX:
                 return "malformed", "dividend qty*rate overflows int64"
-            if out(self.cash + paid):
+            if checked and not fits(self.cash + paid):
                 return "malformed", "dividend would overflow cash balance"
-            if out(self.dividends + paid):
+            if checked and not fits(self.dividends + paid):
                 return "malformed", "dividend would overflow dividend income"
             self.move(paid, 0, paid)
         return None
