@@ -102,9 +102,14 @@ def folded(stream: DataFrame) -> DataFrame:
 
 def start_folded(stream: DataFrame, checkpoint: str, book_path: str):
     """Keep the book at ``book_path`` (a folder per batch, see ``positions.latest_positions``) current with a stream of fold events."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{book_path}/batch={batch_id:012d}")
 
-    return folded(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    before = conf.get(name, None)
+    conf.set(name, ROCKSDB)
+    try:  # a query keeps the settings that it was started with
+        return folded(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
