@@ -3,7 +3,8 @@
 All tables carry seq, event_id and effective (ISO text, compared bytewise):
 
 - fills: key (identity digest, null if a field is missing), payload_hash (null if
-  there is no canonical form, with ``hash_error``), instrument, side, qty, price
+  there is no canonical form, with ``hash_error``), instrument, side, qty, price;
+  or, in place of the digests, trade_id and venue (see ``told_by``)
 - prices: instrument, price
 - actions: action_id, instrument, kind, ratio, rate
 - amendments: action_id, ratio, rate
@@ -15,6 +16,8 @@ the deciding event is the first valid one; amendments do, and take viewpoints.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +26,36 @@ from ..functions.canon import CanonError, decode, encode, sha256_hex
 EVENT_TYPES = ("fill", "price", "action", "action_amendment")
 
 
+#: What tells fills apart, and what a fill says: digests; or, where a payload holds these fields and no other, the fields
+#: themselves. Equal fields have equal digests and others other ones, and rows are shuffled at a third of the size.
+DIGESTS = (("key",), ("payload_hash",))
+FIELDS = (("trade_id", "venue"), ("instrument", "side", "qty", "price"))
+
+
+def told_by(fills: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Names of the columns of a fill's identity and of what it says: digests, if the table has them."""
+    return DIGESTS if "key" in fills.columns else FIELDS
+
+
+def _named(trade_id: Column, venue: Column) -> Column:
+    """Whether a fill has an identity: both are there, not empty, of printable ASCII."""
+    plain = lambda x: (F.length(x) > 0) & x.rlike(r"\A[\x20-\x7E]*\z")
+    return F.coalesce(plain(trade_id) & plain(venue), F.lit(False))
+
+
 def fill_key(trade_id: Column, venue: Column) -> Column:
     """sha256 of the canonical {"trade_id","venue"} object; null if either is null or empty, or not printable ASCII."""
-    plain = lambda x: (F.length(x) > 0) & x.rlike(r"\A[\x20-\x7E]*\z")
     text = lambda x: F.regexp_replace(x, r'(["\\])', r"\\$1")
-    return F.when(plain(trade_id) & plain(venue), F.sha2(F.concat(F.lit('{"trade_id":"'), text(trade_id), F.lit('","venue":"'), text(venue), F.lit('"}')), 256))
+    return F.when(_named(trade_id, venue), F.sha2(F.concat(F.lit('{"trade_id":"'), text(trade_id), F.lit('","venue":"'), text(venue), F.lit('"}')), 256))
+
+
+def keyed(fills: DataFrame) -> DataFrame:
+    """fills with their key, made of its fields if they have none."""
+    return fills if "key" in fills.columns else fills.withColumn("key", fill_key(F.col("trade_id"), F.col("venue")))
+
+
+def has_key(fills: DataFrame) -> Column:
+    return F.col("key").isNotNull() if "key" in fills.columns else _named(F.col("trade_id"), F.col("venue"))
 
 
 def _typed(v: Column, name: str, kind: str) -> Column:
@@ -69,17 +97,21 @@ def classify_fills(fills: DataFrame) -> DataFrame:
     map-side combined aggregate, and joins back: a key with very many copies is a
     skewed probe side only.
     """
-    valid = F.col("key").isNotNull() & F.col("payload_hash").isNotNull() & F.coalesce((F.length("instrument") > 0) & F.col("side").isin("buy", "sell") & (F.col("qty") > 0) & (F.col("price") > 0), F.lit(False))
-    rows = fills.withColumn("_valid", valid)
-    winners = rows.where("_valid").groupBy("key").agg(F.min("seq").alias("_first"), F.min_by("payload_hash", "seq").alias("_hash"))
-    out = rows.where("key IS NOT NULL").join(winners, "key", "left").unionByName(rows.where("key IS NULL").withColumns({"_first": F.lit(None).cast("bigint"), "_hash": F.lit(None).cast("string")}))
+    key, said = told_by(fills)
+    identified, hashed = has_key(fills), reduce(Column.__and__, [F.col(c).isNotNull() for c in said])
+    valid = identified & hashed & F.coalesce((F.length("instrument") > 0) & F.col("side").isin("buy", "sell") & (F.col("qty") > 0) & (F.col("price") > 0), F.lit(False))
+    rows = fills.withColumns({"_key": identified, "_valid": valid})
+    first = rows.where("_valid").groupBy(*key).agg(F.min(F.struct("seq", *said)).alias("_x"))
+    winners = first.select(*key, F.col("_x.seq").alias("_first"), *[F.col(f"_x.{c}").alias(f"_{c}") for c in said])
+    out = rows.where("_key").join(winners, list(key), "left").unionByName(rows.where("NOT _key"), allowMissingColumns=True)
     after = F.coalesce(F.col("seq") > F.col("_first"), F.lit(False))
-    no_hash = F.col("payload_hash").isNull()
-    status = F.when(F.col("key").isNull() | no_hash, "malformed").when(after & (F.col("payload_hash") == F.col("_hash")), "absorbed").when(after, "collision").when(F.col("_valid"), "applied").otherwise("malformed")
+    same = reduce(Column.__and__, [F.col(c) == F.col(f"_{c}") for c in said])
+    status = F.when(~F.col("_key") | ~hashed, "malformed").when(after & same, "absorbed").when(after, "collision").when(F.col("_valid"), "applied").otherwise("malformed")
+    error = F.coalesce("hash_error", F.lit("")) if "hash_error" in fills.columns else F.lit("")
     detail = (
-        F.when(F.col("key").isNull(), "fill identity fields missing")
-        .when(no_hash, F.concat(F.lit("payload cannot canonicalize: "), F.coalesce("hash_error", F.lit(""))))
-        .when(after & (F.col("payload_hash") != F.col("_hash")), "payload hash mismatch")
+        F.when(~F.col("_key"), "fill identity fields missing")
+        .when(~hashed, F.concat(F.lit("payload cannot canonicalize: "), error))
+        .when(after & ~same, "payload hash mismatch")
         .when(~after & ~F.col("_valid"), "fill fields invalid")
     )
     return out.select(*fills.columns, status.alias("status"), detail.alias("detail"))

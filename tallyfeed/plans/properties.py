@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.events import has_key, told_by
+
 
 def _counted(name: str, df: DataFrame, violation) -> DataFrame:
     return df.agg(F.count_if(violation).alias("violations"), F.count("*").alias("evaluated")).select(F.lit(name).alias("check"), "violations", "evaluated")
@@ -32,10 +34,18 @@ def latest_prices_again(prices: DataFrame) -> DataFrame:
 
 def at_most_once(fills: DataFrame) -> DataFrame:
     """Of classified fills: keys applied more than once; absorbed fills that differ from the applied one; collisions that equal it."""
-    of = fills.where("key IS NOT NULL").groupBy("key").agg(F.count_if(F.col("status") == "applied").alias("n"), F.max(F.when(F.col("status") == "applied", F.col("payload_hash"))).alias("hash"))
-    late = fills.where("status IN ('absorbed', 'collision')").select("key", "status", "payload_hash").join(of, "key")
-    absorbed, collided = late.where("status = 'absorbed'"), late.where("status = 'collision'")
-    return reduce(DataFrame.union, [_counted("applied_once", of, F.col("n") > 1), _counted("absorbed_equal", absorbed, F.col("payload_hash") != F.col("hash")), _counted("collision_differs", collided, F.col("payload_hash") == F.col("hash"))])
+    key, said = told_by(fills)
+    fills = fills.withColumn("said", F.struct(*said))
+    rows = fills.where(has_key(fills)).select(*key, "status", "said")
+    applied = F.col("status") == "applied"
+    of = rows.groupBy(*key).agg(F.count_if(applied).alias("n"), F.max(F.when(applied, F.col("said"))).alias("was"))
+    late = rows.where("status IN ('absorbed', 'collision')").join(of.select(*key, "was"), list(key))
+    absorbed = F.col("status") == "absorbed"
+    same = reduce(Column.__and__, [F.col(f"said.{c}") == F.col(f"was.{c}") for c in said])
+    both = late.agg(F.count_if(absorbed & ~same).alias("a"), F.count_if(absorbed).alias("b"), F.count_if(~absorbed & same).alias("c"), F.count_if(~absorbed).alias("d"))
+    row = lambda name, x, y: F.struct(F.lit(name).alias("check"), F.col(x).alias("violations"), F.col(y).alias("evaluated"))
+    told = both.select(F.inline(F.array(row("absorbed_equal", "a", "b"), row("collision_differs", "c", "d"))))
+    return _counted("applied_once", of, F.col("n") > 1).union(told)
 
 
 def fail_closed(valued: DataFrame, prices: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def applicable(fills: DataFrame, terms: DataFrame, points: DataFrame) -> DataFra
 def ledger(tables: dict[str, DataFrame], points: DataFrame, force_global: bool = False) -> LedgerTables:
     """All results of typed event tables (see operators.events) at the viewpoints of a one-column DataFrame."""
     # each is read by several results below
-    fills, actions = materialize(E.classify_fills(tables["fills"]), "fills"), materialize(E.classify_actions(tables["actions"]), "actions")
+    fills, actions = E.keyed(materialize(E.classify_fills(tables["fills"]), "fills")), materialize(E.classify_actions(tables["actions"]), "actions")
     terms, notes = E.resolve_amendments(actions, tables["amendments"], points)
     folded = fold(applicable(fills, terms, points), force_global)
     good = F.coalesce((F.length("instrument") > 0) & (F.col("price") > 0), F.lit(False))

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from ..operators import events as E
 from ..operators.asof import in_force
 from ..operators.book import fold_at_viewpoints, known_events, term_intervals
+from ..operators.events import has_key, told_by
 from ..operators.fold import EVENT_COLUMNS, fold, positions
 from ..operators.valuation import value
 from ..store import materialize
@@ -48,6 +49,7 @@ def _chosen(df: DataFrame, *order) -> DataFrame:
 def worlds(tables: dict[str, DataFrame], viewpoint: int) -> dict[str, DataFrame]:
     """Of typed event tables, at a viewpoint: fills, valued (a row per world and position), terms, prices, and the truths."""
     spark = tables["fills"].sparkSession
+    key, named = told_by(tables["fills"])[0], has_key(tables["fills"]).alias("named")
     fills, actions = materialize(E.classify_fills(tables["fills"]), "fills"), materialize(E.classify_actions(tables["actions"]), "actions")
     points, end = E.viewpoints(spark, [viewpoint]), E.viewpoints(spark, [(1 << 62)])
     known = materialize(known_events(fills, actions, tables["amendments"]), "known")
@@ -103,7 +105,7 @@ def worlds(tables: dict[str, DataFrame], viewpoint: int) -> dict[str, DataFrame]
     drifted = statement.join(at(first), F.col("instrument") == F.col("here"), "left").select("instrument", "qty", (F.col("total_cost") + F.when(hit, 4).otherwise(0)).alias("total_cost"))
     each = lambda name: F.lit(name).alias("mutation")
     return {
-        "fills": seen.select(each("live"), "seq", "key", "status").unionByName(seen.select(each("nodedupe"), "seq", "key", F.when(F.col("status").isin("absorbed", "collision"), "applied").otherwise(F.col("status")).alias("status"))),
+        "fills": seen.select(each("live"), "seq", *key, named, "status").unionByName(seen.select(each("nodedupe"), "seq", *key, named, F.when(F.col("status").isin("absorbed", "collision"), "applied").otherwise(F.col("status")).alias("status"))),
         "valued": materialize(told(rows), "worlds"),
         "terms": right.select(each("live"), "action_id", F.coalesce("ratio", "rate").alias("term")).unionByName(leaked.select(each("leak"), "action_id", F.coalesce("ratio", "rate").alias("term"))),
         "statement": statement.select(each("live"), "*").unionByName(drifted.select(each("drift"), "*")),
@@ -120,7 +122,8 @@ def _count(rows: DataFrame, name: str, violation, key=("mutation",)) -> DataFram
 
 def examine(w: dict[str, DataFrame]) -> DataFrame:
     """mutation, check, violations, evaluated: every check in every world that has what it looks at."""
-    keys = w["fills"].where("key IS NOT NULL").groupBy("mutation", "key").agg(F.count_if(F.col("status") == "applied").alias("n"))
+    key = told_by(w["fills"])[0]
+    keys = w["fills"].where("named").groupBy("mutation", *key).agg(F.count_if(F.col("status") == "applied").alias("n"))
     out = _count(keys, "applied_once", F.col("n") > 1)
     terms = w["terms"].join(w["truth_terms"].withColumnRenamed("term", "want"), "action_id", "left")
     out = out.unionByName(_count(terms, "term_known", ~F.col("term").eqNullSafe(F.col("want"))))
@@ -144,7 +147,7 @@ def plants(w: dict[str, DataFrame]) -> DataFrame:
     one = lambda name, check, df, n: df.agg(n.alias("planted")).select(F.lit(name).alias("mutation"), F.lit(check).alias("check"), "planted")
     live = w["valued"].where("mutation = 'live'")
     some = F.least(F.count("*"), F.lit(1))
-    out = one("nodedupe", "applied_once", w["fills"].where("mutation = 'live'").groupBy("key").agg(F.count_if(F.col("status") == "applied").alias("a"), F.count_if(F.col("status").isin("absorbed", "collision")).alias("b")).where("a > 0 AND b > 0"), F.count("*"))
+    out = one("nodedupe", "applied_once", w["fills"].where("mutation = 'live' AND named").groupBy(*told_by(w["fills"])[0]).agg(F.count_if(F.col("status") == "applied").alias("a"), F.count_if(F.col("status").isin("absorbed", "collision")).alias("b")).where("a > 0 AND b > 0"), F.count("*"))
     out = out.unionByName(one("leak", "term_known", w["truth_terms"].join(w["leaks"], "action_id").where("term <> leaked"), F.count("*")))
     bought = w["fills"].where("mutation = 'live' AND status = 'applied'")
     out = out.unionByName(one("fill", "position", bought, some)).unionByName(one("phantom", "position", bought.where("false"), F.count("*") + 1))

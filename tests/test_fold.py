@@ -1,13 +1,17 @@
 import random
+from functools import reduce
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from tallyfeed.functions.money import relieve
 from tallyfeed.operators import events as E
 from tallyfeed.operators.compare import multiset_difference, set_difference
 from tallyfeed.operators.fold import Ledger, fold, positions, refusals, totals
 from tallyfeed.operators.valuation import value
+from tallyfeed.plans.properties import at_most_once
 
 BIG = (1 << 63) - 1
 FILLS = "seq bigint, event_id string, effective string, key string, payload_hash string, hash_error string, instrument string, side string, qty bigint, price bigint"
@@ -39,6 +43,26 @@ def test_fill_rules(spark):
     assert E.classify_fills(spark.createDataFrame([], FILLS)).count() == 0
 
 
+def test_fills_told_apart_by_fields_as_by_digests(spark):
+    rng = random.Random(4)
+    pick = lambda *x: rng.choice(x)
+    rows = [(i, "", pick("t", "u", "t", "é", "", f"n{i}", None), pick("v", "w", None), pick("A", "A", "B", "", None), pick("buy", "sell", "short", None), pick(1, 5, 0, None), pick(3, -1)) for i in range(1, 600)]
+    fields = spark.createDataFrame(rows, "seq bigint, effective string, trade_id string, venue string, instrument string, side string, qty bigint, price bigint")
+    said = ("instrument", "side", "qty", "price")
+    whole = F.when(reduce(Column.__and__, [F.col(c).isNotNull() for c in said]), F.sha2(F.concat_ws("|", *said), 256))
+    digests = E.keyed(fields).withColumns({"payload_hash": whole, "hash_error": F.lit(None).cast("string")}).drop("trade_id", "venue")
+    got, want = ({(r["seq"], r["status"], r["detail"]) for r in E.classify_fills(df).collect()} for df in (fields, digests))
+    assert got == want and {s for _, s, _ in got} == {"applied", "absorbed", "collision", "malformed"}
+    checks = [sorted(map(tuple, at_most_once(E.classify_fills(df)).collect())) for df in (fields, digests)]
+    assert checks[0] == checks[1] and all(bad == 0 and n > 0 for _, bad, n in checks[0])
+
+
+def test_at_most_once_sees_what_is_planted(spark):
+    rows = [("a", "h", "applied"), ("a", "h", "absorbed"), ("a", "x", "absorbed"), ("a", "x", "collision"), ("a", "h", "collision"), ("b", "h", "applied"), ("b", "i", "applied"), ("c", "h", "collision"), (None, "h", "malformed")]
+    got = sorted(map(tuple, at_most_once(spark.createDataFrame(rows, "key string, payload_hash string, status string")).collect()))
+    assert got == [("absorbed_equal", 1, 2), ("applied_once", 1, 3), ("collision_differs", 1, 3)]
+
+
 def test_actions_and_amendments(spark):
     schema = "seq bigint, event_id string, effective string, action_id string, instrument string, kind string, ratio bigint, rate bigint"
     rows = [(1, "", "", "a", "I", "split", 0, None), (2, "", "", "a", "I", "split", 2, None), (3, "", "", "a", "I", "split", 4, None), (4, "", "", "b", "I", "dividend", None, 0), (5, "", "", None, "I", "split", 2, None), (6, "", "", "c", "I", "merger", 2, None)]
