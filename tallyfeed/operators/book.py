@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import INT64_MAX
 from ..store import materialize
-from .fold import EVENT_COLUMNS, OUT, Ledger, fold
+from .fold import EVENT_COLUMNS, OUT, Ledger, fold, values
 
 RUN = 64
 #: Viewpoints that a broadcast list may hold: 8 MB of numbers.
@@ -197,7 +197,7 @@ def _pass(points: list[int]):
                     yield batch()
 
         for b in batches:
-            for instrument, known, *event in zip(*[b.column(i).to_pylist() for i in range(8)], strict=True):
+            for instrument, known, *event in zip(*map(values, b.columns), strict=True):
                 if runs is None or instrument != now:
                     if runs is not None:
                         yield from until(None)

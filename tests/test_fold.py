@@ -1,3 +1,4 @@
+import glob
 import random
 from functools import reduce
 
@@ -12,6 +13,7 @@ from tallyfeed.operators.compare import multiset_difference, set_difference
 from tallyfeed.operators.fold import Ledger, fold, positions, refusals, totals
 from tallyfeed.operators.valuation import value
 from tallyfeed.plans.properties import at_most_once
+from tallyfeed.store import shared_dir
 
 BIG = (1 << 63) - 1
 FILLS = "seq bigint, event_id string, effective string, key string, payload_hash string, hash_error string, instrument string, side string, qty bigint, price bigint"
@@ -101,6 +103,24 @@ def test_global_overflow_takes_the_sequence(spark):
     assert {(r["seq"], r["detail"]) for r in refusals(done).collect()} == {(2, "buy would overflow cash balance"), (3, "buy cost (qty*price) overflows int64")}
 
 
+def test_a_global_sequence_is_sorted_in_parts(spark):
+    rng = random.Random(6)
+    rows = [(view, f"I{rng.randint(0, 9)}", f"d{rng.randint(0, 99):02}", i, rng.choice(["buy", "sell"]), rng.randint(1, 9), rng.randint(1, 9) * 10**17, None) for view in (1, 2, 3) for i in range(700)]
+    before = set(glob.glob(f"{shared_dir(spark).removeprefix('file://')}/sequence-*"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        done = fold(spark.createDataFrame(rows, EVENTS))
+        for view in (1, 2, 3):
+            ledger, refused = brute([r for r in rows if r[0] == view])
+            assert {(r["instrument"], r["qty"], r["total_cost"]) for r in positions(done).where(f"viewpoint = {view}").collect()} == {(k, *v) for k, v in ledger.held.items()}
+            assert sorted((r["seq"], r["kind"], r["detail"]) for r in refusals(done).where(f"viewpoint = {view}").collect()) == sorted(refused)
+            assert any("cash balance" in detail for _, _, detail in refused)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    (folder,) = set(glob.glob(f"{shared_dir(spark).removeprefix('file://')}/sequence-*")) - before
+    assert len(glob.glob(f"{folder}/part-*")) > 1  # no task sorted the whole
+
+
 @settings(max_examples=200)
 @given(st.integers(0, BIG), st.integers(1, BIG), st.data())
 def test_relief_stays_within_cost(cost, held, data):
