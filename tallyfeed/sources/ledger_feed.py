@@ -10,8 +10,8 @@ are lines: segment, offset, line (without its line feed), terminated, and seq, r
 from the tail of a line as canonical records have it (null elsewhere), so that seq
 can be filtered on before any line is parsed.
 
-*Batch.* Files are read in blocks of ``blockBytes``; a line belongs to the block it
-begins in. ``write_zones`` keeps the least and greatest seq of every block; a reader
+*Batch.* Files are read in blocks of ``blockBytes``, several to a task if they are small;
+a line belongs to the block it begins in. ``write_zones`` keeps the least and greatest seq of every block; a reader
 that is told where drops blocks that can't meet the filters on seq. A block that has
 grown since is read. Filters are still evaluated after the scan. Pruning is for what
 reads a verified feed: ``plans.verify`` reads everything, as a break after seq V makes
@@ -23,8 +23,8 @@ every record in it, and its first one against the record before the block, which
 looks up; so a stream hands out a verified chain, however it is split, or fails with
 the sequence number at fault. Lines after the last record wait for the next one.
 
-*Writer.* A chain is sequential: one task writes a batch's lines, chained to the head
-that the driver found, as a segment under a name of its attempt; the driver notes the
+*Writer.* A chain is sequential: many tasks make a batch's lines but for their links,
+one task links and writes them, beginning with the head that the driver found, as a segment under a name of its attempt; the driver notes the
 batch id with the head that the batch leads to and commits by linking the segment to
 the name of its first seq, which fails if that is taken. A batch counts as committed
 if that segment ends in its head: a replay is a no-op, a writer that lost a race to
@@ -43,6 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..functions.canon import CanonError, decode, encode, sha256_hex
 from ..functions.schema import flat
@@ -52,6 +53,8 @@ from .feed import GENESIS, ChainError, FeedNotFound, MissingIdentity, classified
 ROWS = flat("segment string, offset bigint, line binary, terminated boolean, seq bigint")
 BLOCK_BYTES = 64 << 20
 PIECE = 4 << 20
+#: Tasks that a batch read of small blocks is dealt to.
+TASKS = 64
 _INT64 = 1 << 63
 
 
@@ -176,12 +179,25 @@ def _rows(name: str, lines) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
+def packed(blocks: list[Block], most: int = TASKS) -> list[Block]:
+    """Blocks that follow each other as one task's work, so that small blocks don't make a task each: some ``most`` tasks, or as many as ``BLOCK_BYTES`` need."""
+    share = min(BLOCK_BYTES, -(-sum(b.end - b.start for b in blocks) // most))
+    out: list[Block] = []
+    for b in blocks:
+        last = out[-1] if out else None
+        if last and (last.name, last.end) == (b.name, b.start) and last.end - last.start < share:
+            out[-1] = Block(b.path, b.name, last.start, b.end)
+        else:
+            out.append(b)
+    return out
+
+
 class FeedReader(DataSourceReader):
     def __init__(self, path: str, block_bytes: int):
         self.path, self.block_bytes = path, block_bytes
 
     def partitions(self):
-        return blocks_of(self.path, self.block_bytes) or [Block(self.path, "", 0, 0)]
+        return packed(blocks_of(self.path, self.block_bytes)) or [Block(self.path, "", 0, 0)]
 
     def read(self, block: Block):
         if not block.name:
@@ -228,7 +244,7 @@ class ZonedReader(FeedReader):
         if (self.low, self.high) != (-_INT64, _INT64 - 1):
             known = read_zones(self.zones)
             blocks = [b for b in blocks if _meets(known.get((b.name, b.start, b.end)), self.low, self.high)]
-        return blocks or [Block(self.path, "", 0, 0)]
+        return packed(blocks) or [Block(self.path, "", 0, 0)]
 
 
 def _meets(zone: tuple | None, low: int, high: int) -> bool:
@@ -323,6 +339,25 @@ class FeedStream(DataSourceStreamReader):
 EVENTS = "type string, id string, effective string, payload string"
 
 
+def _around(columns: list[str]):
+    """Canonical lines of events but for what a chain adds: ``left`` ends where the hash before begins, ``right`` begins after seq."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left, right = [], []
+            for kind, name, effective, text in zip(*[b.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("type", "id", "effective", "payload")], strict=True):
+                if not kind or not name:
+                    raise MissingIdentity(f"an event needs a type and an id, not {kind!r} and {name!r}")
+                payload = decode(text) if text is not None else {}
+                if not isinstance(payload, dict):
+                    raise CanonError(f"the payload of {name} is no object")
+                left.append(encode({"effective": effective or "", "id": name, "payload": payload})[:-1] + b',"prev":"')
+                right.append(b"," + encode({"type": kind})[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary()), *[b.column(c) for c in columns]], names=["left", "right", *columns])
+
+    return run
+
+
 @dataclass
 class Written(WriterCommitMessage):
     part: str
@@ -349,16 +384,14 @@ class FeedWriter(DataSourceArrowWriter):
     def _chain(self, iterator, out, part: str) -> Written:
         seq, head = self.seq, self.head
         for batch in iterator:
-            for r in batch.select(self.columns).to_pylist():
-                if not r["type"] or not r["id"]:
-                    raise MissingIdentity(f"an event needs a type and an id, not {r['type']!r} and {r['id']!r}")
-                payload = decode(r["payload"]) if r["payload"] is not None else {}
-                if not isinstance(payload, dict):
-                    raise CanonError(f"the payload of {r['id']} is no object")
+            lines = []
+            for left, right in zip(*[batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("left", "right")], strict=True):
                 seq += 1
-                line = encode({"effective": r["effective"] or "", "id": r["id"], "payload": payload, "prev": head, "seq": seq, "type": r["type"]})
-                out.write(line + b"\n")
+                line = b'%b%b","seq":%d%b' % (left, head.encode(), seq, right)
+                lines.append(line)
                 head = sha256_hex(line)
+            if lines:
+                out.write(b"\n".join(lines) + b"\n")
         return Written(part, seq - self.seq, head)
 
     def commit(self, messages):
@@ -436,9 +469,13 @@ def append_batch(events: DataFrame, path: str, batch_id: str, order: list[str] |
         return False
     files = segments(path)
     last = last_record(store, files, len(files) - 1, _INT64) or {"seq": 0, "head": GENESIS}
-    rows = events.select("type", "id", "effective", "payload", *(order or [])).coalesce(1)
-    rows = rows.sortWithinPartitions(*order) if order else rows
-    rows.select("type", "id", "effective", "payload").write.format("ledger_feed").option("batchId", batch_id).option("seq", last["seq"]).option("head", last["head"]).mode("append").save(path)
+    # all but the hashes is many tasks' work, each row's own; one task links them
+    keys = [f"_order{i}" for i in range(len(order or []))]
+    rows = events.select("type", "id", "effective", "payload", *[F.col(c).alias(k) for c, k in zip(order or [], keys, strict=True)])
+    kept = [f for f in rows.schema if f.name in keys]
+    rows = rows.mapInArrow(_around(keys), StructType([StructField("left", BinaryType()), StructField("right", BinaryType()), *kept]))
+    rows = rows.repartition(1).sortWithinPartitions(*keys) if order else rows.coalesce(1)
+    rows.select("left", "right").write.format("ledger_feed").option("batchId", batch_id).option("seq", last["seq"]).option("head", last["head"]).mode("append").save(path)
     return True
 
 

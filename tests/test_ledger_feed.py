@@ -4,10 +4,10 @@ import threading
 
 import pytest
 
-from tallyfeed.functions.canon import encode, sha256_hex
+from tallyfeed.functions.canon import Number, encode, sha256_hex
 from tallyfeed.plans.verify import verify
 from tallyfeed.sources.feed import GENESIS, ChainError, FeedNotFound, classify
-from tallyfeed.sources.ledger_feed import ROWS, Block, FeedStream, LedgerFeed, LostRace, ZonedReader, append_batch, blocks_of, committed, read_feed, read_lines_of, records_of, seq_of, write_zones
+from tallyfeed.sources.ledger_feed import ROWS, Block, FeedReader, FeedStream, LedgerFeed, LostRace, ZonedReader, append_batch, blocks_of, committed, packed, read_feed, read_lines_of, read_zones, records_of, segments, seq_of, write_zones
 
 
 def chain(n, start=1, prev=GENESIS, pad=0):
@@ -67,6 +67,35 @@ def test_zones_skip_blocks(spark, tmp_path):
         blocks_of(str(tmp_path / "none"), 10)
 
 
+def test_small_blocks_share_tasks(spark, tmp_path):
+    lines, _ = chain(900, pad=31)
+    path = write(tmp_path / "feed", [b"\n".join(lines[:600]) + b"\n", b"\n".join(lines[600:]) + b"\n"])
+    zones = write_zones(spark, path, 512)
+    assert len(read_zones(zones)) == len(blocks_of(path, 512)) > 350
+    tasks = FeedReader(path, 512).partitions()
+    assert len(tasks) <= 66 and sum(t.end - t.start for t in tasks) == sum(size for _, size in segments(path))
+    assert sorted(r["seq"] for r in read_feed(spark, path, block_bytes=512).collect()) == list(range(1, 901))
+    some = read_feed(spark, path, zones, 512).where("seq > 200 AND seq <= 700")
+    assert some.rdd.getNumPartitions() <= 70 and sorted(r["seq"] for r in some.collect()) == list(range(201, 701))
+    blocks = [Block(path, "f", i * 10, i * 10 + 10) for i in (0, 1, 2, 5, 6)] + [Block(path, "g", 70, 80)]
+    assert packed(blocks, 1) == [Block(path, "f", 0, 30), Block(path, "f", 50, 70), Block(path, "g", 70, 80)] and packed(blocks, 6) == blocks
+
+
+def test_lines_are_made_before_the_task_that_links_them(spark, tmp_path):
+    """Also of an order by several columns, of which one has the name of an event's."""
+    rows = [("note", f"e{i}", None if i % 2 else "2026", None if i % 3 == 0 else f'{{"b":"\\"{i}","a":1.50}}', i % 5, -i) for i in range(40)]
+    events = spark.createDataFrame(rows, "type string, id string, effective string, payload string, k int, id2 int").repartition(4)
+    path = str(tmp_path / "feed")
+    assert append_batch(events, path, "a", ["k", "id2"]) and append_batch(events.limit(0), path, "b", ["id"])
+    want, head = [], GENESIS
+    for seq, (kind, name, effective, _, k, i) in enumerate(sorted(rows, key=lambda r: r[4:]), 1):
+        payload = {} if i % 3 == 0 else {"a": Number("1.50"), "b": f'"{-i}'}
+        want.append(encode({"effective": effective or "", "id": name, "payload": payload, "prev": head, "seq": seq, "type": kind}))
+        head = sha256_hex(want[-1])
+    (segment,) = glob.glob(f"{path}/*.jsonl")
+    assert open(segment, "rb").read() == b"\n".join(want) + b"\n" and verify(spark, path).head == head
+
+
 def test_records_equal_the_verified_feed(spark, tmp_path):
     lines, _ = chain(50, pad=7)
     path = write(tmp_path / "feed", [b"\n".join(lines[:20]) + b"\n", b"torn", b"\n\n" + b"\r\n".join(lines[20:]) + b"\r\n"])
