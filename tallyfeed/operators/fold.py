@@ -114,14 +114,16 @@ def _fold(group_by_instrument: bool):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(OUT)
-        blank = dict.fromkeys(OUT.names)
-        rows: list[dict] = []
+        rows: list[tuple] = []
         now, ledger = None, None
 
         def close():
             for instrument, (qty, cost) in ledger.held.items():
-                rows.append(blank | {"what": "position", "viewpoint": now[0], "instrument": instrument, "qty": qty, "total_cost": cost})
-            rows.append(blank | {"what": "sums", "viewpoint": now[0], "instrument": now[1], "cash": str(ledger.cash), "realized": str(ledger.realized), "dividends": str(ledger.dividends), "reach": str(ledger.reach)})
+                rows.append(("position", now[0], instrument, qty, cost, None, None, None, None, None, None, None))
+            rows.append(("sums", *now, None, None, None, None, None, str(ledger.cash), str(ledger.realized), str(ledger.dividends), str(ledger.reach)))
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for b in batches:
             for view, instrument, seq, kind, qty, price, term in zip(*map(values, b.columns), strict=True):
@@ -131,14 +133,14 @@ def _fold(group_by_instrument: bool):
                         close()
                     now, ledger = key, Ledger(not group_by_instrument)
                 if refused := ledger.apply(instrument, kind, qty, price, term):
-                    rows.append(blank | {"what": "refusal", "viewpoint": view, "instrument": instrument, "seq": seq, "kind": refused[0], "detail": refused[1]})
+                    rows.append(("refusal", view, instrument, None, None, seq, *refused, None, None, None, None))
             if len(rows) >= 5000:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                yield batch()
                 rows = []
         if ledger:
             close()
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            yield batch()
 
     return run
 
