@@ -1,15 +1,14 @@
-"""Exact token ids through caches of white-space separated chunks.
-
-The tokenizer drops white space, so no token spans it and a text's ids are the
-ids of its chunks in order. ``Encoder`` keeps the ids of the chunks it has met
-(as little-endian unsigned 32-bit bytes), at most ``limit`` of them, which takes
-some 80 MB in a worker. A chunk of
-ASCII and Latin letters alone that it hasn't met is split by the tokenizer's own
-rule and only its unknown pieces go to the tokenizer's model; any other chunk,
-and one that may hold a special token, goes through the whole tokenizer. Tests
-hold the result against the tokenizer on hostile strings. The encoder is kept
-for the life of a worker process, since one chunk in eight of a task's text is
-new to it and costs some twenty times a known one.
+"""Exact token ids through a cache of the pieces that the tokenizer's rule splits texts into.
+
+A text of printable ASCII, Latin letters and white space is split by the
+tokenizer's own rule, and only pieces that ``Encoder`` hasn't met go to the
+tokenizer's model; their ids are kept (as little-endian unsigned 32-bit bytes), at
+most ``limit`` of them, which takes some 60 MB in a worker. Of any other text, or
+one that may hold a special token, the white-space separated chunks are taken one by
+one (no token spans white space): those of such characters go the same way, others
+through the whole tokenizer, and a third of ``limit`` of chunks is kept. Tests hold the
+result against the tokenizer on hostile strings. The encoder is kept for the life of a
+worker process, since a piece that is new to it costs some twenty times a known one.
 """
 
 from __future__ import annotations
@@ -18,10 +17,11 @@ import re
 
 #: str.split() also splits at these, which the tokenizer takes for symbols.
 _ODD = re.compile("[\x1c-\x1f]")
-#: Characters whose normal form, lower case and class are beyond doubt.
+#: Characters whose normal form, lower case and class are beyond doubt; what else a text holds than them and white space.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-#: The tokenizer's splitting rule for them.
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_OTHER = re.compile("[^\t-\r -~À-ÖØ-öø-ÿ]")
+#: The tokenizer's splitting rule for them; letters first, as no other piece begins with one.
+_PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r a-zß-öø-ÿ0-9]+")
 
 
 def _byte_characters() -> dict[int, str]:
@@ -44,10 +44,12 @@ class _Pieces(dict):
         self.model, self.pack, self.limit = model, pack, limit
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        ids = [t.id for t in self.model.tokenize(piece.translate(_LETTERS))]
-        value = self[piece] = self.pack(f"<{len(ids)}I", *ids)
+        ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(_LETTERS))]
+        value = self.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= 64:
+            if len(self) >= self.limit:
+                self.clear()
+            self[piece] = value
         return value
 
 
@@ -57,8 +59,8 @@ class Encoder(dict):
 
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.pack = Tokenizer.from_file(path), limit, struct.pack
-        self.pieces = _Pieces(self.tokenizer.model, self.pack, limit // 3)
+        self.tokenizer, self.limit, self.pack = Tokenizer.from_file(path), limit // 3, struct.pack
+        self.pieces = _Pieces(self.tokenizer.model, self.pack, limit)
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -87,6 +89,8 @@ class Encoder(dict):
         """Ids as little-endian unsigned 32-bit bytes; none for a null or blank text."""
         if not text:
             return b""
+        if not _OTHER.search(text) and "<|" not in text:
+            return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
         if _ODD.search(text):
             return self.ids(text)
         return b"".join(map(self.__getitem__, text.split()))

@@ -150,6 +150,16 @@ def test_tokens_match_the_tokenizer():
         assert encoder.encode(s) == encoder.ids(s or "")
 
 
+def test_plain_texts_are_encoded_by_piece():
+    encoder = Encoder(tokenizer_path(), 50)
+    for s in ("Eringin, (eringin) eringin's", "\x0bErin-gin\x0c.Gin\r7'll" + "\u00c0\u00df" * 2, "'sS'T '' t's"):
+        assert encoder.encode(s) == encoder.ids(s), s
+    # chunks of known pieces cost no entry and no call of the model each
+    assert len(encoder) == 0 and {"eringin", "'s", ",", "àßàß"} <= set(encoder.pieces)
+    long = "x" * 500
+    assert encoder.encode(long) == encoder.ids(long) and long not in encoder.pieces
+
+
 def ids_of(text):
     return np.append(np.frombuffer(Encoder.of(tokenizer_path()).ids(text or ""), "<u4"), 2).astype("<u4")
 
