@@ -3,7 +3,9 @@
 Events are hash partitioned by (viewpoint, instrument) and sorted inside the
 partition, so a task streams over them with one position in memory: an
 instrument with very many events costs time, not memory, and the sort spills.
-Arithmetic is in exact integers with int64 checks.
+Of a few viewpoints (``fold_views``) an event is shuffled once, with a bit for each
+that sees it, and a task holds a position for each set of viewpoints that have seen
+the same events so far. Arithmetic is in exact integers with int64 checks.
 
 Cash, realised profit and dividend income are one running balance over all
 instruments, whose overflow refuses an event. Where the sum of absolute changes
@@ -36,6 +38,8 @@ OUT = flat("what string, viewpoint bigint, instrument string, qty bigint, total_
 
 
 _NONE = (0, 0)
+#: Viewpoints that ``fold_views`` takes, a bit each.
+MOST_VIEWS = 62
 
 
 class Ledger:
@@ -45,6 +49,12 @@ class Ledger:
         self.checked, self.held = checked, {}
         self.cash = self.realized = self.dividends = self.reach = 0
 
+    def copy(self) -> Ledger:
+        other = Ledger(self.checked)
+        other.held = dict(self.held)
+        other.cash, other.realized, other.dividends, other.reach = self.cash, self.realized, self.dividends, self.reach
+        return other
+
     def move(self, cash: int, realized: int = 0, dividends: int = 0) -> None:
         self.cash += cash
         self.realized += realized
@@ -107,40 +117,82 @@ def values(column: pa.Array) -> list:
     return column.to_numpy(zero_copy_only=False).tolist()
 
 
+def _closed(view: int, instrument: str | None, ledger: Ledger) -> Iterator[tuple]:
+    """Rows of ``OUT``: a group's positions and sums."""
+    for held, (qty, cost) in ledger.held.items():
+        yield "position", view, held, qty, cost, None, None, None, None, None, None, None
+    yield "sums", view, instrument, None, None, None, None, None, str(ledger.cash), str(ledger.realized), str(ledger.dividends), str(ledger.reach)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(OUT)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
 def _fold(group_by_instrument: bool):
     """Of events without ``effective``, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        schema = to_arrow_schema(OUT)
         rows: list[tuple] = []
         now, ledger = None, None
-
-        def close():
-            for instrument, (qty, cost) in ledger.held.items():
-                rows.append(("position", now[0], instrument, qty, cost, None, None, None, None, None, None, None))
-            rows.append(("sums", *now, None, None, None, None, None, str(ledger.cash), str(ledger.realized), str(ledger.dividends), str(ledger.reach)))
-
-        def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
         for b in batches:
             for view, instrument, seq, kind, qty, price, term in zip(*map(values, b.columns), strict=True):
                 key = (view, instrument if group_by_instrument else None)
                 if key != now:
                     if ledger:
-                        close()
+                        rows += _closed(*now, ledger)
                     now, ledger = key, Ledger(not group_by_instrument)
                 if refused := ledger.apply(instrument, kind, qty, price, term):
                     rows.append(("refusal", view, instrument, None, None, seq, *refused, None, None, None, None))
             if len(rows) >= 5000:
-                yield batch()
+                yield _batch(rows)
                 rows = []
         if ledger:
-            close()
+            rows += _closed(*now, ledger)
+        if rows:
+            yield _batch(rows)
+
+    return run
+
+
+def _fold_views(views: list[int]):
+    """Of events without ``effective``, in order, by instrument; ``views`` in place of ``viewpoint``: bit i for views[i]."""
+    every, bits = (1 << len(views)) - 1, range(len(views))
+    names = lambda mask: [views[i] for i in bits if mask >> i & 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        # ledgers of sets of viewpoints that have seen the same; all that have seen any event
+        now, ledgers, seen = None, [], 0
+
+        def close() -> None:
+            for mask, ledger in ledgers:
+                for view in names(mask & seen):
+                    rows.extend(_closed(view, now, ledger))
+
+        for b in batches:
+            for shown, instrument, seq, kind, qty, price, term in zip(*map(values, b.columns), strict=True):
+                if instrument != now or not ledgers:
+                    close()
+                    now, ledgers, seen = instrument, [(every, Ledger(False))], 0
+                seen |= shown
+                for i, (mask, ledger) in enumerate(ledgers):
+                    here = mask & shown
+                    if not here:
+                        continue
+                    if here != mask:
+                        ledgers[i] = here, ledger
+                        ledgers.append((mask & ~shown, ledger.copy()))
+                    if refused := ledger.apply(instrument, kind, qty, price, term):
+                        rows.extend(("refusal", view, instrument, None, None, seq, *refused, None, None, None, None) for view in names(here))
+            if len(rows) >= 5000:
+                yield _batch(rows)
+                rows.clear()
+        close()
         if rows:
-            yield batch()
+            yield _batch(rows)
 
     return run
 
@@ -185,12 +237,31 @@ def fold(events: DataFrame, force_global: bool = False) -> DataFrame:
         return materialize(_in_sequence(events), "fold")
     keys = ["viewpoint", "instrument"]
     done = materialize(events.repartition(*keys).sortWithinPartitions(*keys, "effective", "seq").select(*_PASSED).mapInArrow(_fold(True), OUT), "fold")
+    return _checked(done, lambda late: events.where(F.col("viewpoint").isin(late)))
+
+
+def fold_views(events: DataFrame, views: list[int]) -> DataFrame:
+    """As ``fold``, of events that come once, with ``views`` in place of ``viewpoint``: bit i is set if views[i] sees the event."""
+    if len(views) > MOST_VIEWS:
+        raise ValueError(f"more than {MOST_VIEWS} viewpoints: fold a copy of the events for each")
+    rows = events.select("views", *EVENT_COLUMNS[1:])
+    done = materialize(rows.repartition("instrument").sortWithinPartitions("instrument", "effective", "seq").select("views", *_PASSED[1:]).mapInArrow(_fold_views(views), OUT), "fold")
+
+    def copies(late: list[int]) -> DataFrame:
+        at = F.array(*[F.when(F.col("views").bitwiseAND(F.lit(1 << i)) != 0, F.lit(v).cast("bigint")) for i, v in enumerate(views) if v in late])
+        return rows.withColumn("viewpoint", F.explode(F.array_compact(at))).select(*EVENT_COLUMNS)
+
+    return _checked(done, copies)
+
+
+def _checked(done: DataFrame, events_of) -> DataFrame:
+    """A fold's result, whose viewpoints that may overflow are folded again, of ``events_of`` them, as one sequence each."""
     # what each instrument's balances moved in all, up or down: where the sum fits, no order of events can overflow
     reach = done.where("what = 'sums'").groupBy("viewpoint").agg(F.sum(F.col("reach").cast("decimal(38,0)")).alias("reach"))
     late = [r["viewpoint"] for r in reach.where(F.col("reach") > F.lit(INT64_MAX).cast("decimal(38,0)")).collect()]
     if not late:
         return done
-    again = materialize(_in_sequence(events.where(F.col("viewpoint").isin(late))), "fold")
+    again = materialize(_in_sequence(events_of(late)), "fold")
     return done.where(~F.col("viewpoint").isin(late)).unionByName(again)
 
 

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.canon import Number, decode, encode, sha256_hex
 from ..operators import events as E
-from ..operators.fold import EVENT_COLUMNS, fold, positions, refusals, totals
+from ..operators.fold import EVENT_COLUMNS, MOST_VIEWS, fold, fold_views, positions, refusals, totals
 from ..operators.valuation import unevaluable, unrealized_total, value
 from ..store import materialize
 from .verify import VerifiedFeed, verify
@@ -41,12 +42,33 @@ def applicable(fills: DataFrame, terms: DataFrame, points: DataFrame) -> DataFra
     return trades.unionByName(actions).select(*EVENT_COLUMNS)
 
 
+def folded_at(fills: DataFrame, terms: DataFrame, points: DataFrame, force_global: bool = False) -> DataFrame:
+    """The fold of ``applicable`` events; of a few viewpoints, each event goes through it once."""
+    views = sorted(r[0] for r in points.select("viewpoint").distinct().limit(MOST_VIEWS + 1).collect())
+    if force_global or not views or len(views) > MOST_VIEWS:
+        return fold(applicable(fills, terms, points), force_global)
+    none, bit = F.lit(None).cast("bigint"), lambda i: F.lit(1 << i).cast("bigint")
+    # they rise: what the i-th sees, all after it see
+    upto = reduce(lambda c, i: c.when(F.col("seq") <= views[i], F.lit((1 << len(views)) - (1 << i)).cast("bigint")), range(1, len(views)), F.when(F.col("seq") <= views[0], F.lit((1 << len(views)) - 1).cast("bigint")))
+    trades = fills.where("status = 'applied'").where(F.col("seq") <= views[-1]).select(upto.alias("views"), "instrument", "effective", "seq", F.col("side").alias("kind"), "qty", "price", none.alias("term"))
+    own = reduce(lambda c, i: c.when(F.col("viewpoint") == views[i], bit(i)), range(1, len(views)), F.when(F.col("viewpoint") == views[0], bit(0)))
+    return fold_views(trades.unionByName(shared_terms(terms.withColumn("views", own))), views)
+
+
+def shared_terms(terms: DataFrame) -> DataFrame:
+    """Fold events of terms with their ``views``: one of a term that several viewpoints share."""
+    none = F.lit(None).cast("bigint")
+    same = terms.select("views", "action_id", "instrument", "effective", "seq", "kind", F.coalesce("ratio", "rate").alias("term"))
+    same = same.groupBy("action_id", "instrument", "effective", "seq", "kind", "term").agg(F.bit_or("views").alias("views"))
+    return same.select("views", "instrument", "effective", "seq", "kind", none.alias("qty"), none.alias("price"), "term")
+
+
 def ledger(tables: dict[str, DataFrame], points: DataFrame, force_global: bool = False) -> LedgerTables:
     """All results of typed event tables (see operators.events) at the viewpoints of a one-column DataFrame."""
     # each is read by several results below
     fills, actions = E.keyed(materialize(E.classify_fills(tables["fills"]), "fills")), materialize(E.classify_actions(tables["actions"]), "actions")
     terms, notes = E.resolve_amendments(actions, tables["amendments"], points)
-    folded = fold(applicable(fills, terms, points), force_global)
+    folded = folded_at(fills, terms, points, force_global)
     good = F.coalesce((F.length("instrument") > 0) & (F.col("price") > 0), F.lit(False))
     prices = tables["prices"].withColumn("good", good)
     valued = value(positions(folded), E.latest_prices(E.visible(prices.where("good"), points)))

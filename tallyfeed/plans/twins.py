@@ -1,10 +1,10 @@
 """Planted defects: every check of the ledger must turn red where its defect is planted, exactly as planted, and nowhere else.
 
 A twin is the same ledger with one defect. Live data and all twins are worlds of one
-fold: a world's number takes the viewpoint's place in the fold's key, so that one job
-folds, prices and judges all of them; a twin that changes no fold is made of the live
-world's rows behind it. Every world is held against truths that are derived in
-another way: positions against the checkpointed fold over viewpoints
+fold: a world's number takes the viewpoint's place, and an event goes through the fold
+once, with a bit for each world that holds it, so that one job folds, prices and judges
+all of them; a twin that changes no fold is made of the live world's rows behind it.
+Every world is held against truths that are derived in another way: positions against the checkpointed fold over viewpoints
 (``operators.book``), prices by ranking, terms as intervals.
 
 - ``nodedupe``: fills that were absorbed or collide are applied (check applied_once)
@@ -30,10 +30,11 @@ from ..operators import events as E
 from ..operators.asof import in_force
 from ..operators.book import fold_at_viewpoints, known_events, term_intervals
 from ..operators.events import has_key, told_by
-from ..operators.fold import EVENT_COLUMNS, fold, positions
+from ..operators.fold import fold_views, positions
 from ..operators.valuation import value
 from ..store import materialize
 from .properties import latest_prices_again
+from .snapshot import shared_terms
 
 #: Twins that are folded, and those made of the live world's rows. Surface: check that must turn red.
 FOLDED, VALUED = ("live", "nodedupe", "leak", "fill"), ("price", "silent_zero", "stale", "omission", "phantom", "drift")
@@ -52,24 +53,24 @@ def worlds(tables: dict[str, DataFrame], viewpoint: int) -> dict[str, DataFrame]
     key, named = told_by(tables["fills"])[0], has_key(tables["fills"]).alias("named")
     fills, actions = materialize(E.classify_fills(tables["fills"]), "fills"), materialize(E.classify_actions(tables["actions"]), "actions")
     points, end = E.viewpoints(spark, [viewpoint]), E.viewpoints(spark, [(1 << 62)])
-    known = materialize(known_events(fills, actions, tables["amendments"]), "known")
+    known = known_events(fills, actions, tables["amendments"])
     seen = fills.where(F.col("seq") <= viewpoint)
     number = {name: i for i, name in enumerate((*FOLDED, *VALUED))}
     none, world = F.lit(None).cast("bigint"), lambda name: F.lit(number[name]).cast("bigint").alias("viewpoint")
 
-    trade = lambda rows, name: rows.select(world(name), "instrument", "effective", "seq", F.col("side").alias("kind"), "qty", "price", none.alias("term"))
+    bits = lambda *names: F.lit(sum(1 << number[n] for n in names)).cast("bigint")
+    trade = lambda rows, held: rows.select(held.alias("views"), "instrument", "effective", "seq", F.col("side").alias("kind"), "qty", "price", none.alias("term"))
     right = materialize(E.resolve_amendments(actions, tables["amendments"], points)[0], "terms")
     leaked = materialize(E.resolve_amendments(actions, tables["amendments"], end)[0].where(F.col("seq") <= viewpoint), "leaked")
-    acts = lambda terms, name: terms.select(world(name), "instrument", "effective", "seq", "kind", none.alias("qty"), none.alias("price"), F.coalesce("ratio", "rate").alias("term"))
     applied = seen.where("status = 'applied'")
     # the last purchase of the instrument that comes last: nothing sells it afterwards
     bought = applied.groupBy("instrument").agg(F.max(F.struct("effective", "seq", "side")).alias("x")).where("x.side = 'buy'")
-    target = _chosen(bought, F.desc("x")).select(F.col("x.seq").alias("more"))
-    grown = applied.join(F.broadcast(target), F.col("seq") == F.col("more"), "left").withColumn("qty", F.col("qty") + F.col("more").isNotNull().cast("bigint")).drop("more")
-    events = trade(applied, "live").unionByName(acts(right, "live"))
-    for rows, terms, name in ((seen.where("status IN ('applied', 'absorbed', 'collision')"), right, "nodedupe"), (applied, leaked, "leak"), (grown, right, "fill")):
-        events = events.unionByName(trade(rows, name)).unionByName(acts(terms, name))
-    folded = fold(events.select(*EVENT_COLUMNS))
+    target = materialize(_chosen(bought, F.desc("x")).select(F.col("x.seq").alias("more")), "target")
+    of = F.when(F.col("status") != "applied", bits("nodedupe")).when(F.col("more").isNotNull(), bits("live", "nodedupe", "leak")).otherwise(bits(*FOLDED))
+    events = trade(seen.where("status IN ('applied', 'absorbed', 'collision')").join(F.broadcast(target), F.col("seq") == F.col("more"), "left"), of)
+    events = events.unionByName(trade(applied.join(F.broadcast(target), F.col("seq") == F.col("more")).withColumn("qty", F.col("qty") + 1), bits("fill")))
+    acts = right.drop("viewpoint").withColumn("views", bits("live", "nodedupe", "fill")).unionByName(leaked.drop("viewpoint").withColumn("views", bits("leak")))
+    folded = fold_views(events.unionByName(shared_terms(acts)), [number[n] for n in FOLDED])
     all_worlds = E.viewpoints(spark, [number[n] for n in FOLDED])
     prices = materialize(tables["prices"].where(F.col("seq") <= viewpoint), "prices")
     latest = E.latest_prices(prices.withColumn("viewpoint", F.lit(0).cast("bigint"))).drop("viewpoint")
@@ -104,8 +105,13 @@ def worlds(tables: dict[str, DataFrame], viewpoint: int) -> dict[str, DataFrame]
     statement = live.select("instrument", "qty", "total_cost")
     drifted = statement.join(at(first), F.col("instrument") == F.col("here"), "left").select("instrument", "qty", (F.col("total_cost") + F.when(hit, 4).otherwise(0)).alias("total_cost"))
     each = lambda name: F.lit(name).alias("mutation")
+    # how often an identity is applied in the live world, and how often more without deduplication
+    late = F.col("status").isin("absorbed", "collision")
+    counts = seen.select(*key, named, "status").where("named").groupBy(*key).agg(F.count_if(F.col("status") == "applied").alias("a"), F.count_if(late).alias("b"))
+    keys = counts.groupBy("a", "b").agg(F.count("*").alias("keys"))
     return {
-        "fills": seen.select(each("live"), "seq", *key, named, "status").unionByName(seen.select(each("nodedupe"), "seq", *key, named, F.when(F.col("status").isin("absorbed", "collision"), "applied").otherwise(F.col("status")).alias("status"))),
+        "keys": materialize(keys, "keys"),
+        "applied": applied,
         "valued": materialize(told(rows), "worlds"),
         "terms": right.select(each("live"), "action_id", F.coalesce("ratio", "rate").alias("term")).unionByName(leaked.select(each("leak"), "action_id", F.coalesce("ratio", "rate").alias("term"))),
         "statement": statement.select(each("live"), "*").unionByName(drifted.select(each("drift"), "*")),
@@ -122,9 +128,11 @@ def _count(rows: DataFrame, name: str, violation, key=("mutation",)) -> DataFram
 
 def examine(w: dict[str, DataFrame]) -> DataFrame:
     """mutation, check, violations, evaluated: every check in every world that has what it looks at."""
-    key = told_by(w["fills"])[0]
-    keys = w["fills"].where("named").groupBy("mutation", *key).agg(F.count_if(F.col("status") == "applied").alias("n"))
-    out = _count(keys, "applied_once", F.col("n") > 1)
+    out = None
+    for name, n in (("live", F.col("a")), ("nodedupe", F.col("a") + F.col("b"))):
+        rows = w["keys"].groupBy(F.lit(name).alias("mutation")).agg(F.coalesce(F.sum(F.when(n > 1, F.col("keys"))), F.lit(0)).alias("violations"), F.sum("keys").alias("evaluated"))
+        rows = rows.select("mutation", F.lit("applied_once").alias("check"), "violations", "evaluated")
+        out = out.unionByName(rows) if out else rows
     terms = w["terms"].join(w["truth_terms"].withColumnRenamed("term", "want"), "action_id", "left")
     out = out.unionByName(_count(terms, "term_known", ~F.col("term").eqNullSafe(F.col("want"))))
     # each instrument of the truth or of the world, in either
@@ -147,9 +155,9 @@ def plants(w: dict[str, DataFrame]) -> DataFrame:
     one = lambda name, check, df, n: df.agg(n.alias("planted")).select(F.lit(name).alias("mutation"), F.lit(check).alias("check"), "planted")
     live = w["valued"].where("mutation = 'live'")
     some = F.least(F.count("*"), F.lit(1))
-    out = one("nodedupe", "applied_once", w["fills"].where("mutation = 'live' AND named").groupBy(*told_by(w["fills"])[0]).agg(F.count_if(F.col("status") == "applied").alias("a"), F.count_if(F.col("status").isin("absorbed", "collision")).alias("b")).where("a > 0 AND b > 0"), F.count("*"))
+    out = one("nodedupe", "applied_once", w["keys"].where("a > 0 AND b > 0"), F.coalesce(F.sum("keys"), F.lit(0)))
     out = out.unionByName(one("leak", "term_known", w["truth_terms"].join(w["leaks"], "action_id").where("term <> leaked"), F.count("*")))
-    bought = w["fills"].where("mutation = 'live' AND status = 'applied'")
+    bought = w["applied"]
     out = out.unionByName(one("fill", "position", bought, some)).unionByName(one("phantom", "position", bought.where("false"), F.count("*") + 1))
     for name, check, rows in (("price", "latest_price", live.where("reason IS NULL")), ("stale", "latest_price", live.where("reason IS NULL")), ("silent_zero", "silent_zero", live.where("reason = 'no_price_in_prefix'")), ("omission", "undeclared", live.where("reason = 'no_price_in_prefix'")), ("drift", "statement", live.where("reason IS NULL"))):
         out = out.unionByName(one(name, check, rows, some))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyfeed.functions.money import relieve
 from tallyfeed.operators import events as E
 from tallyfeed.operators.compare import multiset_difference, set_difference
-from tallyfeed.operators.fold import Ledger, fold, positions, refusals, totals
+from tallyfeed.operators.fold import Ledger, fold, fold_views, positions, refusals, totals
 from tallyfeed.operators.valuation import value
 from tallyfeed.plans.properties import at_most_once
 from tallyfeed.store import shared_dir
@@ -140,3 +140,16 @@ def test_set_differences(spark):
     assert tuple(set_difference(a, b).first()) == (4, 5)
     assert tuple(set_difference(a, b, spark.range(7).select("id")).first()) == (4, 7)
     assert tuple(multiset_difference(a, b).first()) == (6,)
+
+
+def test_events_that_several_viewpoints_share(spark):
+    rng = random.Random(8)
+    schema = EVENTS.replace("viewpoint", "views", 1)
+    for price in (9, BIG // 60):  # the second may overflow the balances
+        rows = [(rng.choice([1, 5, 7, 7, 7]), rng.choice("ABC"), str(rng.randint(1, 5)), i, *rng.choice([("buy", rng.randint(1, 9), price, None), ("sell", rng.randint(1, 6), price, None), ("split", None, None, 2), ("dividend", None, None, 3)])) for i in range(300)]
+        rows += [(2, "D", "1", 301, "buy", 1, 1, None), (4, "E", "1", 301, "sell", 1, 1, None)]
+        got = fold_views(spark.createDataFrame(rows, schema), [10, 20, 30])
+        want = fold(spark.createDataFrame([(v, *r[1:]) for i, v in enumerate((10, 20, 30)) for r in rows if r[0] >> i & 1], EVENTS))
+        for part in (positions, refusals, totals):
+            assert sorted(map(tuple, part(got).collect())) == sorted(map(tuple, part(want).collect()))
+        assert refusals(got).count() and {r["viewpoint"] for r in totals(got).collect()} == {10, 20, 30}
