@@ -151,9 +151,17 @@ def known_events(fills: DataFrame, actions: DataFrame, amendments: DataFrame) ->
 
     An amendment that holds an action's term replaces the action's event from then on (see ``term_intervals``).
     """
+    return _known(fills, term_intervals(actions, amendments))
+
+
+def last_events(fills: DataFrame, actions: DataFrame, amendments: DataFrame) -> DataFrame:
+    """``known_events`` that hold at the end: one of each action."""
+    return _known(fills, term_intervals(actions, amendments).where("stop IS NULL"))
+
+
+def _known(fills: DataFrame, terms: DataFrame) -> DataFrame:
     none = F.lit(None).cast("bigint")
     trades = fills.where("status = 'applied'").select(F.col("seq").alias("known"), "instrument", "effective", "seq", F.col("side").alias("kind"), "qty", "price", none.alias("term"))
-    terms = term_intervals(actions, amendments)
     return trades.unionByName(terms.select(F.col("start").alias("known"), "instrument", "effective", "seq", "kind", none.alias("qty"), none.alias("price"), "term"))
 
 

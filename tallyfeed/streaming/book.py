@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.book import EMPTY, KEY, NOTHING, take
@@ -83,8 +84,7 @@ class Positions(StatefulProcessor):
         refolded = 0
         runs = StateRuns(self.ends, self.runs)
         for frame in rows:
-            whole = lambda c: [None if pd.isna(x) else int(x) for x in frame[c]]  # noqa: B023, E731
-            events = {(e, s): (e, s, *rest) for e, s, *rest in zip(frame["effective"], whole("seq"), frame["kind"], whole("qty"), whole("price"), whole("term"), strict=True)}
+            events = {(e, s): (e, s, *rest) for e, s, *rest in zip(*(frame[c].tolist() for c in ("effective", "seq", "kind", "qty", "price", "term")), strict=True)}
             refolded += take(runs, [events[k] for k in sorted(events)])
             runs.read = {}  # memory is bounded by a frame and the runs that it touches
         runs.save()
@@ -97,7 +97,9 @@ class Positions(StatefulProcessor):
 
 def folded(stream: DataFrame) -> DataFrame:
     """A row (``OUT``) for each instrument that a micro-batch of fold events touches, in update mode."""
-    return stream.select(*EVENT_COLUMNS).groupBy("viewpoint", "instrument").transformWithStateInPandas(statefulProcessor=Positions(), outputStructType=OUT, outputMode="Update", timeMode="None")
+    # a column with nulls would come as floats, which hold no large integer
+    whole = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("qty", "price", "term")]
+    return stream.select(*[c for c in EVENT_COLUMNS if c not in ("qty", "price", "term")], *whole).groupBy("viewpoint", "instrument").transformWithStateInPandas(statefulProcessor=Positions(), outputStructType=OUT, outputMode="Update", timeMode="None")
 
 
 def start_folded(stream: DataFrame, checkpoint: str, book_path: str):

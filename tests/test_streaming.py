@@ -1,4 +1,5 @@
 from tallyfeed.operators.fold import fold, positions
+from tallyfeed.streaming.book import start_folded
 from tallyfeed.streaming.positions import current_positions, latest_positions, start, tumbling_volume
 
 EVENTS = "viewpoint bigint, instrument string, effective string, seq bigint, kind string, qty bigint, price bigint, term bigint"
@@ -26,3 +27,12 @@ def test_tumbling_volume(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["qty"] for r in spark.table("volume").collect()) == [1, 5]
+
+
+def test_large_integers_beside_nulls(spark, tmp_path):
+    price = (1 << 60) + 1
+    rows = [(9, "A", "1", 1, "buy", 1, price, None), (9, "A", "2", 2, "dividend", None, None, price + 2)]
+    spark.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    start_folded(spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in")), str(tmp_path / "check"), str(tmp_path / "book")).awaitTermination()
+    row = spark.read.parquet(str(tmp_path / "book")).first()
+    assert (row["total_cost"], row["cash"], row["dividends"]) == (price, "2", str(price + 2))
